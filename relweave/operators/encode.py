@@ -175,6 +175,10 @@ class MultiCategoryEncoder:
             ranks[c] = small_map(ranked, "v", "r", T.IntegerType())
         return cls(columns, method, ranks, cap)
 
+    def _rank_of(self, column: str):
+        known = self.ranks[column]
+        return lambda x: F.coalesce(known.get(x), F.lit(self.cap))
+
     def transform(self, df: DataFrame, keep: bool = False) -> DataFrame:
         out = []
         for c in self.columns:
@@ -182,9 +186,7 @@ class MultiCategoryEncoder:
             if self.method == "count":
                 out.append(typed(set_size(F.col(c)), f"c_mvcount__{c}", CAT))
             else:
-                known = self.ranks[c]
-                code = F.array_min(F.transform(m, lambda x, k=known: F.coalesce(k.get(x), F.lit(self.cap))))
-                out.append(typed(code, f"c_mvcode__{c}", CAT))
+                out.append(typed(F.array_min(F.transform(m, self._rank_of(c))), f"c_mvcode__{c}", CAT))
         rest = [c for c in df.columns if keep or c not in self.columns]
         return df.select(*rest, *out)
 

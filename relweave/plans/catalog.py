@@ -29,13 +29,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Comparable output: rounded doubles (deviations to four digits at most), 64-bit integers,
-    times as epoch milliseconds."""
+    """Comparable output: rounded doubles (deviations to four digits at most, running means
+    to nine), 64-bit integers, times as epoch milliseconds."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.DoubleType | T.FloatType):
-            c = F.round(c.cast("double"), min(digits, 4) if "std" in f.name else digits) + F.lit(0.0)
+            places = 9 if "cummean" in f.name else min(digits, 4) if "std" in f.name else digits
+            c = F.round(c.cast("double"), places) + F.lit(0.0)
         elif isinstance(f.dataType, T.IntegerType | T.ShortType | T.ByteType | T.BooleanType):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.TimestampType):
