@@ -103,12 +103,13 @@ def null_importance(
     ``*_log``: log ratio of the actual importance to the upper quartile of the null ones;
     ``*_score``: percentage of null importances below the actual one.
     """
+    df = materialize(df.select(row_id, label, *features))
     actual = forest_importance(df, features, label, seed=seed, **kw).select(
         "feature", F.col("gain").alias("gain_actual"), F.col("split").alias("split_actual")
     )
     nulls = None
     for run in range(runs):
-        shuffled = permute_label(df.select(row_id, label, *features), label, f"{seed}-{run}", row_id, "__y")
+        shuffled = materialize(permute_label(df, label, f"{seed}-{run}", row_id, "__y"))
         one = forest_importance(shuffled, features, "__y", seed=seed + run + 1, **kw).withColumn("run", F.lit(run))
         nulls = one if nulls is None else nulls.unionByName(one)
     return null_scores(actual, nulls)

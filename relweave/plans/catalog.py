@@ -29,14 +29,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Comparable output: rounded doubles (deviations to four digits at most, running means
-    to nine), 64-bit integers, times as epoch milliseconds."""
+    """Comparable output: rounded doubles (deviations to four digits at most), 64-bit integers,
+    times as epoch milliseconds."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
-        if isinstance(f.dataType, T.DoubleType | T.FloatType):
-            places = 9 if "cummean" in f.name else min(digits, 4) if "std" in f.name else digits
-            c = F.round(c.cast("double"), places) + F.lit(0.0)
+        if isinstance(f.dataType, T.DoubleType | T.FloatType | T.DecimalType):
+            c = F.round(c.cast("double"), min(digits, 4) if "std" in f.name else digits) + F.lit(0.0)
         elif isinstance(f.dataType, T.IntegerType | T.ShortType | T.ByteType | T.BooleanType):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.TimestampType):
@@ -51,6 +50,11 @@ def rnd(expression: str, name: str | None = None, digits: int = 6) -> str:
     return f"{text} as {name}" if name else text
 
 
+def rnd_half_up(expression: str, name: str, digits: int = 6) -> str:
+    """Like ``rnd``, but rounds the decimal digits of the double half up, as Spark does."""
+    return f"cast(round(cast(cast({expression} as varchar) as decimal(38, 17)), {digits}) as double) as {name}"
+
+
 # SQL of the shared input views.
 EVENTS = """(select event_id as row_id, user_id as c_user, event_type as c_type, value as n_value, ts as t_01,
   cast(event_type = 'purchase' as bigint) as label from events)"""

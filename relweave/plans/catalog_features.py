@@ -12,28 +12,34 @@ from relweave.operators import encode as E
 from relweave.operators import generate as G
 from relweave.operators.sampling import folds
 from relweave.plans import inputs as I
-from relweave.plans.catalog import DOCUMENTS, EVENTS, LINES, ORDERS, PARTS, millis, query, rnd, tidy
+from relweave.plans.catalog import DOCUMENTS, EVENTS, LINES, ORDERS, PARTS, millis, query, rnd, rnd_half_up, tidy
 
 # ------------------------------------------------------------------ ordered functions
 
 _BY_TIME = "over (order by t_01, row_id rows unbounded preceding)"
 
 
-def _events(spark, sf):
-    return I.events(spark, sf).select("row_id", "c_user", "c_type", "n_value", "t_01", "label")
+_MONEY = "cast(n_value as decimal(18, 2))"
+
+
+def _events(spark, sf, exact=False):
+    """Events; ``exact`` gives the values as decimals, whose sums do not depend on the order."""
+    value = F.col("n_value").cast("decimal(18,2)").alias("n_value") if exact else F.col("n_value")
+    return I.events(spark, sf).select("row_id", "c_user", "c_type", value, "t_01", "label")
 
 
 @query(
     "cumulative",
     f"""select row_id, {rnd(f"sum(n_value) {_BY_TIME}", "n_cumsum__n_value")},
-      {rnd(f"sum(n_value) {_BY_TIME} / row_number() over (order by t_01, row_id)", "n_cummean__n_value", 9)},
+      {rnd_half_up(f"sum({_MONEY}) {_BY_TIME} / row_number() over (order by t_01, row_id)", "n_cummean__n_value")},
       {rnd(f"max(n_value) {_BY_TIME}", "n_cummax__n_value")}, {rnd(f"min(n_value) {_BY_TIME}", "n_cummin__n_value")},
       count(*) {_BY_TIME} as n_cumcount from {EVENTS}""",
 )
 def cumulative(spark, sf):
     v = F.col("n_value")
     scans = {f"n_cum{k}__n_value": Scan(k, v) for k in ("sum", "mean", "max", "min")}
-    out = prefix_scan(_events(spark, sf).select("row_id", "t_01", "n_value"), ["t_01", "row_id"], scans | {"n_cumcount": Scan("index")})
+    e = _events(spark, sf, exact=True).select("row_id", "t_01", "n_value")
+    out = prefix_scan(e, ["t_01", "row_id"], scans | {"n_cumcount": Scan("index")})
     return tidy(out.drop("t_01", "n_value"))
 
 
@@ -455,12 +461,12 @@ _GEN_PARTS = ", ".join(f"{p}(t_01) * 1.0 as n_{p}__t_01" for p in ("month", "day
       b as (select c_type as v, row_number() over (order by min(row_id)) - 1 as code, count(*) as n from e group by 1)
     select row_id, label, a.code as c_user, b.code as c_type, {rnd("a.n / t", "n_freq__c_user")}, {rnd("b.n / t", "n_freq__c_type")},
       {rnd("n_value", "n_value")}, {rnd("sum(n_value) over w", "n_cumsum__n_value")},
-      {rnd("sum(n_value) over w / count(*) over w", "n_cummean__n_value", 9)}, {rnd("max(n_value) over w", "n_cummax__n_value")},
+      {rnd_half_up(f"sum({_MONEY}) over w / count(*) over w", "n_cummean__n_value")}, {rnd("max(n_value) over w", "n_cummax__n_value")},
       {rnd("min(n_value) over w", "n_cummin__n_value")}, {_GEN_PARTS}
     from e join a on a.v = c_user join b on b.v = c_type, tot window w as (order by row_id rows unbounded preceding)""",
 )
 def generate_default(spark, sf):
-    e = _events(spark, sf)
+    e = _events(spark, sf, exact=True)
     gen = G.FeatureGenerator("t_01", passthrough=("label",))
     return tidy(gen.fit_transform(e))
 
@@ -472,7 +478,7 @@ def generate_default(spark, sf):
       g as (select c_lang as v, row_number() over (order by min(row_id)) - 1 as code, count(*) as n from d group by 1)
     select d.row_id, s.code as c_source, g.code as c_lang, {rnd("s.n * 1.0 / (select count(*) from d)", "n_freq__c_source")},
       {rnd("g.n * 1.0 / (select count(*) from d)", "n_freq__c_lang")}, code.c as c_mvcode__m_words, {rnd("n_chars", "n_chars")},
-      {rnd("sum(n_chars) over w", "n_cumsum__n_chars")}, {rnd("sum(n_chars) over w / count(*) over w", "n_cummean__n_chars", 9)},
+      {rnd("sum(n_chars) over w", "n_cumsum__n_chars")}, {rnd_half_up("sum(n_chars) over w / count(*) over w", "n_cummean__n_chars")},
       {rnd("max(n_chars) over w", "n_cummax__n_chars")}, {rnd("min(n_chars) over w", "n_cummin__n_chars")}
     from d join code using (row_id) join s on s.v = c_source join g on g.v = c_lang
     window w as (order by d.row_id rows unbounded preceding)""",
