@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from relweave.functions.ordered import Scan, key_sizes, prefix_scan, row_index
 from relweave.schema import CAT, MULTI, NUM, PREFIXES, TIME, aggregate_name, logical_type
-from relweave.session import DEFAULT_SCALE, Scale
+from relweave.session import DEFAULT_SCALE, Scale, materialize
 
 # ------------------------------------------------------------------- type-driven registry
 
@@ -76,18 +76,41 @@ def aggregate_by_key(
                 medians[aggregate_name("median", c)] = c
             fn = AGGREGATES[s] if isinstance(s, str) else s
             aggs[aggregate_name(name, c)] = fn(F.col(c))
-    hot = key_sizes(rows.select(key), [key], scale).hot if medians else None
-    if hot is None:
+    if not medians:
         return rows.groupBy(key).agg(*[a.alias(n) for n, a in aggs.items()])
+    hot = key_sizes(rows.select(key), [key], scale).hot
+    if hot is None:
+        return _with_medians(rows, key, aggs, medians)
+    hot = F.broadcast(hot)
+    small = _with_medians(rows.join(hot, key, "left_anti"), key, aggs, medians)
+    large_rows = rows.join(hot, key, "left_semi")
     others = [a.alias(n) for n, a in aggs.items() if n not in medians]
-    base = rows.groupBy(key).agg(*(others or [F.count(F.lit(1)).alias("__n")]))
-    exact = [F.median(c).alias(n) for n, c in medians.items()]
-    middle = rows.join(F.broadcast(hot), key, "left_anti").groupBy(key).agg(*exact)
-    large = hot
+    large = large_rows.groupBy(key).agg(*(others or [F.count(F.lit(1)).alias("__n")]))
     for n, c in medians.items():
-        part = rows.join(F.broadcast(hot), key, "left_semi").select(key, c)
-        large = large.join(quantiles(part, c, {n: 0.5}, [key], scale), key, "left")
-    return base.join(middle.unionByName(large), key, "left").select(key, *aggs)
+        large = large.join(quantiles(large_rows.select(key, c), c, {n: 0.5}, [key], scale), key, "left")
+    return small.unionByName(large.select(key, *aggs))
+
+
+def _with_medians(rows: DataFrame, key: str, aggs: dict[str, Column], medians: dict[str, str]) -> DataFrame:
+    """All statistics of keys small enough to be ordered within one task.
+
+    The rows are shuffled once by key and sorted once per median column; the median is the
+    mean of the one or two middle rows. Spark's own median would keep a hash map per key and
+    column and fall back to sorting serialized maps when there are many keys.
+    """
+    group = Window.partitionBy(key)
+    picks, out = [], []
+    for i, c in enumerate(medians.values()):
+        picks.append(F.row_number().over(group.orderBy(F.col(c).asc_nulls_last())).alias(f"__r{i}"))
+        picks.append(F.count(c).over(group).alias(f"__c{i}"))
+    names = list(medians)
+    for n, a in aggs.items():
+        if n in medians:
+            i, value = names.index(n), F.col(medians[n]).cast("double")
+            twice = 2 * F.col(f"__r{i}") - F.col(f"__c{i}")
+            a = F.avg(F.when(twice.between(0, 2), value))
+        out.append(a.alias(n))
+    return rows.select("*", *picks).groupBy(key).agg(*out)
 
 
 # -------------------------------------------------------------------- counts and ranks
@@ -122,7 +145,7 @@ def mode_of(df: DataFrame, column: str) -> DataFrame:
 
 def value_ranks(df: DataFrame, column: str, name: str = "rank", scale: Scale = DEFAULT_SCALE) -> DataFrame:
     """Every value with its count and its 0-based rank by (count descending, value)."""
-    counts = value_counts(df, column).withColumn("__neg", -F.col("n"))
+    counts = materialize(value_counts(df, column).withColumn("__neg", -F.col("n")))
     return row_index(counts, ["__neg", column], name, scale=scale).drop("__neg")
 
 
@@ -151,7 +174,7 @@ def quantiles(
     quantile position: no group is ever held in one buffer.
     """
     key = list(key)
-    vc = df.filter(F.col(column).isNotNull()).groupBy(*key, column).agg(F.count(F.lit(1)).alias("__n"))
+    vc = materialize(df.filter(F.col(column).isNotNull()).groupBy(*key, column).agg(F.count(F.lit(1)).alias("__n")))
     run = prefix_scan(vc, [column], {"__to": Scan("sum", F.col("__n"))}, key, scale)
     run = run.withColumn("__from", F.col("__to") - F.col("__n"))
     if key:
@@ -175,8 +198,8 @@ def quantiles(
 
 def average_rank(df: DataFrame, column: str, name: str, scale: Scale = DEFAULT_SCALE) -> DataFrame:
     """Rank of each value in [0, 1], ties averaged; null stays null."""
-    vc = value_counts(df, column)
-    total = df.agg(F.count(column)).first()[0]
+    vc = materialize(value_counts(df, column))
+    total = vc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     run = prefix_scan(vc, [column], {"__to": Scan("sum", F.col("n"))}, scale=scale)
     mean_rank = F.col("__to") - (F.col("n") - 1) / F.lit(2.0)
     ranks = run.select(column, (mean_rank / F.lit(max(total, 1))).alias(name))
@@ -208,6 +231,7 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), scale
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("__p"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("__q"),
     )
+    counts = materialize(counts)
     run = prefix_scan(counts, [score], {"__below": Scan("sum", F.col("__q"))}, by, scale)
     won = F.col("__p") * (F.col("__below") - F.col("__q") + F.col("__q") / F.lit(2.0))
     sums = run.groupBy(*by).agg(F.sum(won).alias("w"), F.sum("__p").alias("p"), F.sum("__q").alias("q"))

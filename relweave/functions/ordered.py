@@ -39,34 +39,30 @@ class KeySizes:
 
     rows: int
     null_rows: int
-    largest: int
     hot: DataFrame | None
     hot_keys: int
     hot_rows: int
 
 
 def key_sizes(df: DataFrame, key: Sequence[str], scale: Scale = DEFAULT_SCALE) -> KeySizes:
-    """Count rows per key and list the keys too large for one task.
+    """List the keys too large for one task.
 
-    The hot list is small by construction: each of its keys holds more than
+    A table no larger than a block has none, which one narrow count shows; otherwise rows are
+    counted per key. The hot list is small by construction: each of its keys holds more than
     ``max(block_rows, rows / max_hot_keys)`` rows.
     """
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    no_null = ~_any_null(key)
+    total, nulls = df.agg(F.count(F.lit(1)), F.count_if(_any_null(key))).first()
+    if total <= scale.block_rows:
+        return KeySizes(total, nulls, None, 0, 0)
     n = F.col("__n")
-    total, nulls, largest = counts.agg(
-        F.coalesce(F.sum(n), F.lit(0)),
-        F.coalesce(F.sum(F.when(_any_null(key), n)), F.lit(0)),
-        F.coalesce(F.max(F.when(no_null, n)), F.lit(0)),
-    ).first()
+    counts = df.filter(~_any_null(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
     limit = max(scale.block_rows, total // scale.max_hot_keys)
-    if largest <= limit:
-        return KeySizes(total, nulls, largest, None, 0, 0)
-    hot = counts.filter(no_null & (n > limit))
-    rows = hot.collect()
+    rows = counts.filter(n > limit).collect()
+    if not rows:
+        return KeySizes(total, nulls, None, 0, 0)
     schema = T.StructType([df.schema[k] for k in key])
     listed = df.sparkSession.createDataFrame([tuple(r[k] for k in key) for r in rows], schema)
-    return KeySizes(total, nulls, largest, listed, len(rows), sum(r["__n"] for r in rows))
+    return KeySizes(total, nulls, listed, len(rows), sum(r["__n"] for r in rows))
 
 
 def _any_null(key: Sequence[str]) -> Column:

@@ -19,7 +19,7 @@ from relweave.plans.catalog import DOCUMENTS, EVENTS, LINES, ORDERS, PARTS, mill
 _BY_TIME = "over (order by t_01, row_id rows unbounded preceding)"
 
 
-_MONEY = "cast(n_value as decimal(18, 2))"
+_CENTS = "cast(round(n_value * 100) as bigint)"
 
 
 def _events(spark, sf, exact=False):
@@ -31,7 +31,7 @@ def _events(spark, sf, exact=False):
 @query(
     "cumulative",
     f"""select row_id, {rnd(f"sum(n_value) {_BY_TIME}", "n_cumsum__n_value")},
-      {rnd_half_up(f"sum({_MONEY}) {_BY_TIME} / row_number() over (order by t_01, row_id)", "n_cummean__n_value")},
+      {rnd_half_up(f"cast(sum({_CENTS}) {_BY_TIME} as double) / (100.0 * row_number() over (order by t_01, row_id))", "n_cummean__n_value")},
       {rnd(f"max(n_value) {_BY_TIME}", "n_cummax__n_value")}, {rnd(f"min(n_value) {_BY_TIME}", "n_cummin__n_value")},
       count(*) {_BY_TIME} as n_cumcount from {EVENTS}""",
 )
@@ -340,12 +340,12 @@ def category_pairs(spark, sf):
 @query(
     "time_bucket_stats",
     f"""select row_id, {millis("date_trunc('day', t_01)")} as t_day__t_01, count(*) over w as n_count__t_day__t_01_c_type,
-      {rnd("avg(n_value) over w", "n_mean__n_value__by__t_day__t_01_c_type", 4)} from {EVENTS}
+      {rnd("sum(n_value) over w", "n_sum__n_value__by__t_day__t_01_c_type", 4)} from {EVENTS}
     window w as (partition by date_trunc('day', t_01), c_type)""",
 )
 def time_bucket_stats(spark, sf):
     e = _events(spark, sf).select("row_id", "c_type", "n_value", "t_01")
-    out = G.bucket_statistics(e, "t_01", "c_type", ["n_value"]).drop("c_type", "n_value", "t_01")
+    out = G.bucket_statistics(e, "t_01", "c_type", ["n_value"], statistics=["sum"]).drop("c_type", "n_value", "t_01")
     return tidy(out, 4)
 
 
@@ -461,7 +461,7 @@ _GEN_PARTS = ", ".join(f"{p}(t_01) * 1.0 as n_{p}__t_01" for p in ("month", "day
       b as (select c_type as v, row_number() over (order by min(row_id)) - 1 as code, count(*) as n from e group by 1)
     select row_id, label, a.code as c_user, b.code as c_type, {rnd("a.n / t", "n_freq__c_user")}, {rnd("b.n / t", "n_freq__c_type")},
       {rnd("n_value", "n_value")}, {rnd("sum(n_value) over w", "n_cumsum__n_value")},
-      {rnd_half_up(f"sum({_MONEY}) over w / count(*) over w", "n_cummean__n_value")}, {rnd("max(n_value) over w", "n_cummax__n_value")},
+      {rnd_half_up(f"cast(sum({_CENTS}) over w as double) / (100.0 * count(*) over w)", "n_cummean__n_value")}, {rnd("max(n_value) over w", "n_cummax__n_value")},
       {rnd("min(n_value) over w", "n_cummin__n_value")}, {_GEN_PARTS}
     from e join a on a.v = c_user join b on b.v = c_type, tot window w as (order by row_id rows unbounded preceding)""",
 )
