@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relweave.functions.lookup import lookup_join
 from relweave.functions.ordered import Scan, key_sizes, prefix_scan, row_index
 from relweave.schema import CAT, MULTI, NUM, PREFIXES, TIME, aggregate_name, logical_type
 from relweave.session import DEFAULT_SCALE, Scale, materialize
@@ -178,7 +179,8 @@ def quantiles(
     run = prefix_scan(vc, [column], {"__to": Scan("sum", F.col("__n"))}, key, scale)
     run = run.withColumn("__from", F.col("__to") - F.col("__n"))
     if key:
-        run = run.join(vc.groupBy(*key).agg(F.sum("__n").alias("__all")), key)
+        sizes = vc.groupBy(*key).agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__w"))
+        run = lookup_join(run, materialize(sizes), key, weight="__w", scale=scale)
     else:
         run = run.withColumn("__all", F.lit(vc.agg(F.sum("__n")).first()[0]))
     picks = []
@@ -202,8 +204,8 @@ def average_rank(df: DataFrame, column: str, name: str, scale: Scale = DEFAULT_S
     total = vc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     run = prefix_scan(vc, [column], {"__to": Scan("sum", F.col("n"))}, scale=scale)
     mean_rank = F.col("__to") - (F.col("n") - 1) / F.lit(2.0)
-    ranks = run.select(column, (mean_rank / F.lit(max(total, 1))).alias(name))
-    return df.join(ranks, column, "left").select(*df.columns, name)
+    ranks = materialize(run.select(column, "n", (mean_rank / F.lit(max(total, 1))).alias(name)))
+    return lookup_join(df, ranks, [column], weight="n", scale=scale)
 
 
 def extent(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:

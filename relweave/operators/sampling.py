@@ -33,6 +33,7 @@ HOLDOUT_ROWS = 20_000
 HOLDOUT_SHARE = 0.1
 
 _DIGITS = 3  # hex digits of the hash resolved per histogram pass
+_RUN = 10_000  # copies of a row made from one array
 _FEW = 20_000  # rows small enough to look at one by one
 
 
@@ -187,12 +188,21 @@ def balance_up(
     minority = df.filter(F.col(label) == minor)
     cut = nth_hash(minority, hashed, extra) if extra else None
     copies = F.lit(whole) if cut is None else F.lit(whole) + (hashed <= cut).cast("int")
-    repeated = minority.withColumn(copy, F.explode(F.sequence(F.lit(0), copies - 1)))
+    repeated = _repeat(minority, copies.cast("bigint"), copy)
     both = df.filter(F.col(label) == major).withColumn(copy, F.lit(0)).unionByName(repeated)
     pick = draw(f"{seed}|half", F.concat_ws("-", F.col(row_id).cast("string"), F.col(copy).cast("string")))
     return smallest(both, pick, int((few + many) * 0.5))
 
 
+def _repeat(df: DataFrame, times: Column, name: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 0, in runs short enough for one array each."""
+    runs = F.explode(F.sequence(F.lit(0), F.floor((times - 1) / F.lit(_RUN))))
+    started = df.withColumns({"__times": times, "__run": runs})
+    first = F.col("__run") * _RUN
+    last = F.least(first + F.lit(_RUN), F.col("__times")) - 1
+    return started.withColumn(name, F.explode(F.sequence(first, last))).drop("__times", "__run")
+
+
 def fresh_negatives(
     df: DataFrame,
     model: int,
