@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relweave.functions.aggregates import modes, quantiles
+from relweave.functions.aggregates import mode_of, modes, quantiles
 from relweave.schema import CAT, MULTI, NUM, TIME, columns_of, logical_type
 from relweave.session import DEFAULT_SCALE, Scale
 
@@ -67,7 +67,7 @@ class Cleaner:
         protect: Sequence[str] = (),
         scale: Scale = DEFAULT_SCALE,
     ) -> Cleaner:
-        """Fit on a table; ``numeric`` is mean, median or constant; ``protect`` is never dropped.
+        """Fit on a table; ``numeric`` is mean, median, mode or constant; ``protect`` is never dropped.
 
         Null shares and means come from one aggregate over all columns; modes from one count
         over all category columns.
@@ -89,6 +89,9 @@ class Cleaner:
             fills = {c: NUMERIC_CONSTANT for c in fills}
         elif numeric == "median":
             fills = {c: quantiles(df.select(c), c, {"q": 0.5}, scale=scale).first()[0] for c in fills}
+        elif numeric == "mode":
+            found = {c: mode_of(df, c).first()[0] for c in fills}
+            fills = {c: None if v is None else float(v) for c, v in found.items()}
         elif numeric != "mean":
             raise ValueError(f"unknown numeric strategy {numeric!r}")
         nullable = {c for i, c in enumerate(typed_cols) if row[f"n{i}"] < n}

@@ -128,7 +128,7 @@ def gbt_fit_predict(spark, sf):
     data = _urgent(spark, sf)
     marked = folds(data.main, 5)
     options = ModelOptions(
-        merge=MergeOptions(numeric=("mean", "max")), selection_trees=5, trials=2, trial_rounds=2, final_rounds=5,
+        merge=MergeOptions(numeric=("mean", "max")), selection_trees=5, trials=2, trial_rounds=2, folds=2, final_rounds=3,
     )
     model = RelationalModel(options).fit(data.with_table(MAIN, marked.filter("fold > 0").drop("fold")))
     return model.predict(marked.filter("fold = 0").drop("fold", "label"))

@@ -294,6 +294,15 @@ def impute_median(spark, sf):
     return tidy(_cleaned(spark, sf, numeric="median").select("row_id", "n_value"))
 
 
+@query(
+    "impute_numeric_mode",
+    f"""with e as {EVENTS_NULLS}, m as (select n_value from e where n_value is not null group by 1 order by count(*) desc, 1 limit 1)
+    select row_id, {rnd('coalesce(n_value, (select n_value from m))', 'n_value')} from e""",
+)
+def impute_numeric_mode(spark, sf):
+    return tidy(_cleaned(spark, sf, numeric="mode").select("row_id", "n_value"))
+
+
 @query("impute_constant", f"select row_id, {rnd('coalesce(n_value, -1)', 'n_value')} from {EVENTS_NULLS}")
 def impute_constant(spark, sf):
     return tidy(_cleaned(spark, sf, numeric="constant").select("row_id", "n_value"))
