@@ -28,6 +28,7 @@ from relweave.session import DEFAULT_SCALE, Scale, materialize
 
 BLOCK = "__block"
 _HOT = "__hot"
+_KEY = "__key"
 
 
 # ---------------------------------------------------------------------------- hot keys
@@ -96,23 +97,32 @@ def _block_count(rows: int, scale: Scale, parallelism: int) -> int:
     return int(min(max(by_size, by_cores, 1), scale.max_blocks))
 
 
-def block_column(
-    df: DataFrame, order: Sequence[str], rows: int, n_blocks: int, scale: Scale = DEFAULT_SCALE
-) -> Column:
-    """Expression giving each row of ``df`` its block number along ``order``."""
+def with_block(
+    df: DataFrame,
+    order: Sequence[str],
+    rows: int,
+    n_blocks: int,
+    scale: Scale = DEFAULT_SCALE,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Add each row's block number along ``order``; bounds come from ``source`` (``df`` itself).
+
+    The binary search is a chain of projections, one per step, which Spark compiles into one
+    stage; a lambda over the bounds would be interpreted for every row.
+    """
+    found = df.withColumn(BLOCK, F.lit(0))
     if n_blocks <= 1:
-        return F.lit(0)
-    bounds, kind = _sample_bounds(df, order, rows, n_blocks, scale)
+        return found
+    bounds, kind = _sample_bounds(df if source is None else source, order, rows, n_blocks, scale)
     if not bounds:
-        return F.lit(0)
+        return found
     array = F.from_json(F.lit("[" + ",".join(bounds) + "]"), T.ArrayType(kind))
-    k = _sort_struct(df, order)
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda pos, s: F.when(F.get(array, pos + s - 1) <= k, pos + s).otherwise(pos),
-    )
+    found = found.withColumn(_KEY, _sort_struct(df, order))
+    at = F.col(BLOCK)
+    for step in (1 << i for i in reversed(range(len(bounds).bit_length()))):
+        reached = F.get(array, at + (step - 1)) <= F.col(_KEY)
+        found = found.withColumn(BLOCK, F.when(reached, at + step).otherwise(at))
+    return found.drop(_KEY)
 
 
 def _sample_bounds(df, order, rows, n_blocks, scale) -> tuple[list[str], T.StructType]:
@@ -143,8 +153,7 @@ def _blocked(df: DataFrame, order: Sequence[str], key: Sequence[str], scale: Sca
     if not key:
         rows = df.count()
         n = _block_count(rows, scale, df.sparkSession.sparkContext.defaultParallelism)
-        blk = block_column(df, order, rows, n, scale)
-        return _Blocked(df.withColumn(BLOCK, blk), [], n > 1, True, None)
+        return _Blocked(with_block(df, order, rows, n, scale), [], n > 1, True, None)
     sizes = key_sizes(df, key, scale)
     rest = df.filter(_any_null(key)) if sizes.null_rows else None
     body = df.filter(~_any_null(key)) if sizes.null_rows else df
@@ -153,8 +162,8 @@ def _blocked(df: DataFrame, order: Sequence[str], key: Sequence[str], scale: Sca
     marked = body.join(F.broadcast(sizes.hot.withColumn(_HOT, F.lit(True))), key, "left")
     hot_rows = marked.filter(_HOT)
     n = max(2, _block_count(sizes.hot_rows, scale, 1))
-    blk = block_column(hot_rows, order, sizes.hot_rows, n, scale)
-    marked = marked.withColumn(BLOCK, F.when(F.col(_HOT), blk + 1).otherwise(0)).drop(_HOT)
+    marked = with_block(marked, order, sizes.hot_rows, n, scale, hot_rows)
+    marked = marked.withColumn(BLOCK, F.when(F.col(_HOT), F.col(BLOCK) + 1).otherwise(0)).drop(_HOT)
     return _Blocked(marked, key, True, sizes.hot_keys * n <= scale.broadcast_rows, rest)
 
 
