@@ -42,6 +42,8 @@ def build_session(app: str = "relweave", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # wide bundles: the JVM never compiles a generated method above this size
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     for name, value in settings.items():
