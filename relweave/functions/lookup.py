@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relweave.functions.ordered import key_sizes
 from relweave.session import DEFAULT_SCALE, Scale, materialize
 
 _SLOTS = 1024
@@ -48,6 +49,35 @@ def lookup_join(
     return hit.unionByName(other)
 
 
+def salted_left_join(
+    df: DataFrame, table: DataFrame, key: str, base: DataFrame | None = None, scale: Scale = DEFAULT_SCALE
+) -> DataFrame:
+    """Left join on one key whose large groups on the left are dealt over several tasks.
+
+    A key with n rows above the block size gets about n / block_rows salts, and its rows of
+    ``table`` are repeated once per salt; rows without a key are dealt out as well. ``base``
+    is a cheaper table with the same key column, used for counting (``df`` itself if none).
+    """
+    sizes = key_sizes(df if base is None else base, [key], scale)
+    if sizes.hot is None and sizes.null_rows <= scale.block_rows:
+        return df.join(table, key, "left")
+    null_salts = F.lit(max(1, sizes.null_rows // scale.block_rows))
+    left, right = df, table.filter(F.col(key).isNotNull())
+    salts = F.lit(1)
+    if sizes.counted is not None:
+        per_key = F.ceil(F.col("__n") / F.lit(scale.block_rows))
+        hot = F.broadcast(sizes.counted.select(key, per_key.alias("__salts")))
+        left, right = left.join(hot, key, "left"), right.join(hot, key, "left")
+        salts = F.coalesce(F.col("__salts"), F.lit(1))
+        right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    else:
+        right = right.withColumn("__salt", F.lit(0))
+    dealt = F.pmod(F.xxhash64(*df.columns), F.when(F.col(key).isNull(), null_salts).otherwise(salts))
+    left = left.withColumn("__salt", dealt).drop("__salts")
+    right = right.withColumn("__salt", F.col("__salt").cast("bigint"))
+    return left.join(right, [key, "__salt"], "left").drop("__salt")
+
+
 def attach_statistics(
     df: DataFrame, by: Sequence[str], aggs: dict[str, Column], scale: Scale = DEFAULT_SCALE
 ) -> DataFrame:

@@ -43,6 +43,7 @@ class KeySizes:
     hot: DataFrame | None
     hot_keys: int
     hot_rows: int
+    counted: DataFrame | None = None  # the hot keys with their row counts as ``__n``
 
 
 def key_sizes(df: DataFrame, key: Sequence[str], scale: Scale = DEFAULT_SCALE) -> KeySizes:
@@ -61,9 +62,9 @@ def key_sizes(df: DataFrame, key: Sequence[str], scale: Scale = DEFAULT_SCALE) -
     rows = counts.filter(n > limit).collect()
     if not rows:
         return KeySizes(total, nulls, None, 0, 0)
-    schema = T.StructType([df.schema[k] for k in key])
-    listed = df.sparkSession.createDataFrame([tuple(r[k] for k in key) for r in rows], schema)
-    return KeySizes(total, nulls, listed, len(rows), sum(r["__n"] for r in rows))
+    schema = T.StructType([*[df.schema[k] for k in key], T.StructField("__n", T.LongType())])
+    counted = df.sparkSession.createDataFrame([(*[r[k] for k in key], r["__n"]) for r in rows], schema)
+    return KeySizes(total, nulls, counted.drop("__n"), len(rows), sum(r["__n"] for r in rows), counted)
 
 
 def _any_null(key: Sequence[str]) -> Column:

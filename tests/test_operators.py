@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from relweave import DatasetConfig, Relation, RelationalDataset
 from relweave.functions import aggregates as A
 from relweave.functions import scalars as S
-from relweave.functions.lookup import lookup_join, small_map
+from relweave.functions.lookup import lookup_join, salted_left_join, small_map
 from relweave.functions.ordered import rolling
 from relweave.operators import clean as C
 from relweave.operators import encode as E
@@ -112,6 +112,32 @@ def test_lookup_join_splits_heavy_values(skewed, tiny):
     assert got.sort_values("row_id").hi.tolist() == want.tolist()
 
 
+def test_salted_join_equals_plain_join(skewed, tiny):
+    df, _ = skewed
+    left = df.withColumn("c_k", F.when(F.col("row_id") % 4 != 0, F.col("c_k")))
+    right = df.groupBy("c_k").agg(F.max("n_v").alias("hi")).filter("c_k != 'k2'")
+    twice = right.unionByName(right.withColumn("hi", F.col("hi") + 1))
+    for table in (right, twice):
+        a = salted_left_join(left, table, "c_k", scale=tiny).orderBy("row_id", "hi")
+        b = left.join(table, "c_k", "left").orderBy("row_id", "hi")
+        assert a.select(*b.columns).collect() == b.collect()
+    only_null = left.filter("c_k is null")
+    assert salted_left_join(only_null, right, "c_k", scale=tiny).filter("hi is null").count() == 100
+
+
+def test_expand_and_select_equals_the_full_expansion(skewed):
+    df = skewed[0].select("row_id", "label", (F.col("row_id") % 7).cast("double").alias("n_a"), F.col("row_id").cast("double").alias("n_b"))
+    picks = G.pick_pairs(["n_a", "n_b"])
+    got = G.expand_and_select(df, lambda d: G.expand_pairs(d, picks), lambda s: ["n_a_plus_n_b"], sample_rows=50)
+    assert got.columns == [*df.columns, "n_a_plus_n_b"]
+    assert got.filter("n_a_plus_n_b != n_a + n_b").count() == 0 and got.count() == 400
+
+
+def test_hash_codes_are_in_range_and_stable(skewed):
+    codes = skewed[0].select("c_k", E.hash_code("c_k", 8).alias("h")).distinct().collect()
+    assert {r.h for r in codes} <= set(range(8)) and len(codes) == len({r.c_k for r in codes})
+
+
 def test_small_map_takes_any_string(spark):
     odd = ['"', "\\", "a,b", "", "naïve", "\n"]
     pairs = spark.createDataFrame(list(enumerate(odd)), "v int, k string")
