@@ -8,7 +8,6 @@ and the sample is the filter "hash not above it", which moves no data.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
