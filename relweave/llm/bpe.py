@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.llm.common import documents, map_batches, type_of
+from relweave.llm.common import documents, map_batches, type_of, values
 from relweave.llm.tokens import rank_coder, rank_table
 
 CHUNK_CHARS = 16_384
@@ -42,14 +42,14 @@ def encode(
     kind = type_of(docs, "doc_id")
 
     def whole(batch):
-        return {"doc_id": batch["doc_id"], "ids": rank_coder(ranks, pattern).encode(batch["text"].to_pylist())}
+        return {"doc_id": batch["doc_id"], "ids": rank_coder(ranks, pattern).encode(values(batch["text"]))}
 
     short = map_batches(docs.filter(F.length("text") <= chunk_chars), whole, f"doc_id {kind}, ids binary")
     pieces = stitched(docs.filter(F.length("text") > chunk_chars), pattern, chunk_chars, overlap)
 
     def part(batch):
         out = {c: batch[c] for c in ("doc_id", "digest", "copies", "first")}
-        return out | {"ids": rank_coder(ranks, pattern).encode(batch["piece"].to_pylist())}
+        return out | {"ids": rank_coder(ranks, pattern).encode(values(batch["piece"]))}
 
     coded = map_batches(pieces, part, f"doc_id {kind}, digest binary, copies long, first long, ids binary")
     long = coded.groupBy("doc_id", "digest", "copies").agg(
@@ -71,7 +71,7 @@ def stitched(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS, over
 
     def chunks(batch):
         rows = [[] for _ in range(6)]
-        for d, digest, copies, t in zip(*(batch[c].to_pylist() for c in ("doc_id", "digest", "copies", "text"))):
+        for d, digest, copies, t in zip(*(values(batch[c]) for c in ("doc_id", "digest", "copies", "text"))):
             for k, start in enumerate(range(0, max(len(t) - overlap, 1), chunk_chars - overlap)):
                 for column, v in zip(rows, (d, digest, copies, k, start, t[start : start + chunk_chars])):
                     column.append(v)
@@ -84,7 +84,7 @@ def stitched(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS, over
         import regex
 
         find, left, right = regex.compile(pattern).finditer, [], []
-        for start, body in zip(batch["start"].to_pylist(), batch["body"].to_pylist()):
+        for start, body in zip(values(batch["start"]), values(batch["body"])):
             at = np.fromiter((m.start() for m in find(body)), np.int64)
             known = at[at <= len(body) - _LOOKAHEAD]
             left.append((start + known[known < overlap]).tolist())
@@ -117,7 +117,7 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded") -
 
     def back(batch):
         table = rank_table(ranks).__getitem__
-        found = [b"".join(map(table, np.frombuffer(x or b"", "<u4").tolist())) for x in batch[ids].to_pylist()]
+        found = [b"".join(map(table, np.frombuffer(x or b"", "<u4").tolist())) for x in values(batch[ids])]
         return {c: batch[c] for c in batch.schema.names} | {into: found}
 
     return map_batches(df, back, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields))

@@ -33,6 +33,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
     return df.mapInArrow(run, schema)
 
 
+def values(column: pa.Array) -> Iterator[str]:
+    """The values of a column one by one, so that a batch is never held twice."""
+    return (v.as_py() for v in column)
+
+
 def bucket_of(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus``: the fold of a document; a null id has no fold."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

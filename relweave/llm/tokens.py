@@ -10,13 +10,16 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
 #: Pieces a worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
+#: Characters of text that are cut into pieces at a time.
+SLICE_CHARS = 500_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -29,7 +32,17 @@ class PieceCoder:
         self.spaced: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size > SLICE_CHARS:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.spaced) > CACHE_PIECES:
             self.spaced.clear()
         if len(self.first) > CACHE_PIECES:
