@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe
+from relweave.llm import bpe, packing, tokenfiles
+from relweave.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +37,22 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register
+def op4_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = packing.tokenised(table(spark, folder, "documents"), path, 1, public_tokenizers.PATTERN)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return packing.pack(spark, rows, 2).select(*columns)
+
+
+@register
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What the written token files hold for every document."""
+    path = f"{shared_dir(spark).rstrip('/')}/tokens/{uuid.uuid4().hex}"
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    tokenfiles.write(table(spark, folder, "documents"), path, tokenizer, 2, public_tokenizers.PATTERN)
+    n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
+    return tokenfiles.read(spark, path).select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
