@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, packing, tokenfiles
+from relweave.llm import bpe, packing, quality, tokenfiles
 from relweave.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,16 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     tokenfiles.write(table(spark, folder, "documents"), path, tokenizer, 2, public_tokenizers.PATTERN)
     n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
     return tokenfiles.read(spark, path).select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@register
+def op3_risk_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    judged = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select(*OP3_COLUMNS)
+
+
+OP3_COLUMNS = [
+    "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+]
+SQL["op3_risk_rules"] = quality.judge_sql() + f"select {', '.join(OP3_COLUMNS)} from judged"
