@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, packing, quality, tokenfiles
+from relweave.llm import bpe, grades, packing, quality, tokenfiles, toxicity
 from relweave.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,21 @@ OP3_COLUMNS = [
     "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
 ]
 SQL["op3_risk_rules"] = quality.judge_sql() + f"select {', '.join(OP3_COLUMNS)} from judged"
+
+
+@register
+def op5_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade, chance of an acceptable grade and verdict of every document.
+
+    The ratings are 0 for bad, 1 for good but toxic, 2 for good and clean text."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
+    model = grades.fit(docs, labels.select("doc_id", grade.alias("grade")))
+    return grades.rate(docs, model)
+
+
+@register
+def op9_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
