@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, grades, packing, quality, tokenfiles, toxicity
+from relweave.llm import bpe, grades, neardup, packing, quality, tokenfiles, toxicity
 from relweave.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op9_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@register
+def op1_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return neardup.near_duplicates(table(spark, folder, "documents"))
