@@ -8,8 +8,9 @@ intersection of the full shingle sets confirms it.
 Groups of thousands of copies are met without pairs inside a group:
 
 1. Documents with equal shingle sets become one (their least id stands for them).
-2. In every band bucket each document is compared with the bucket's least document, and only with the
-   one of these leaders whose signature agrees best. Confirmed links give first components.
+2. Every band bucket has a leader, drawn by a hash; each document is verified against the one of its
+   buckets' leaders whose signature agrees best. Confirmed links give components. This is repeated with
+   other leaders for the buckets that hold several components, so that large groups grow together.
 3. Buckets that still hold several components are searched for all pairs across components (never
    within one): signatures are compared block by block, and pairs that agree in enough coordinates are
    verified too. That catches every link the leaders missed.
@@ -34,6 +35,8 @@ BANDS, ROWS = 24, 3
 #: half standard deviations under the expected number.
 LEAST_AGREE = 37
 BLOCK = 500
+#: Rounds of leaders before the search across components.
+TURNS = 3
 _K = BANDS * ROWS
 _STEPS = (np.arange(_K, dtype=np.uint64) * np.uint64(0x9E3779B1) % np.uint64(1 << 32)).astype(np.uint32)
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -115,13 +118,6 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     names = materialize(full.select("doc_id", "key").distinct().join(reps.select("key", "rep"), "key").select("doc_id", "rep"))
     same = names.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    # round 1: the best leader of every document. A set is named by its key here: ids may repeat
-    rep = reps.select("key", "rep", "n", "mark", F.posexplode("bands").alias("band", "bucket"))
-    filled = rep.groupBy("band", "bucket").agg(F.min_by(F.struct("key", "rep", "n", "mark"), F.struct("rep", "key")).alias("lead"), F.count(F.lit(1)).alias("m"))
-    leads = materialize(filled.filter("m > 1").drop("m"))
-    near = rep.join(leads, ["band", "bucket"]).filter(F.col("key") != F.col("lead.key"))
-    pairs = near.select(F.col("key").alias("a"), F.col("lead.key").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"), F.col("mark").alias("ma"), F.col("lead.mark").alias("mb"), F.col("lead.rep").alias("rb"))
-
     def close(batch):
         a = np.frombuffer(b"".join(batch["ma"].to_pylist()), np.uint8).reshape(-1, _K)
         b = np.frombuffer(b"".join(batch["mb"].to_pylist()), np.uint8).reshape(-1, _K)
@@ -129,16 +125,31 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         alike = (a == b).sum(1)
         fits = similar[0] * np.maximum(na, nb) <= similar[1] * np.minimum(na, nb)
         keep = pa.array((alike >= LEAST_AGREE) & fits)
-        return {"a": batch["a"].filter(keep), "b": batch["b"].filter(keep), "rb": batch["rb"].filter(keep), "alike": pa.array(alike, pa.int64()).filter(keep)}
-
-    scored = map_batches(pairs, close, f"a binary, b binary, rb {kind}, alike long")
-    best = scored.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
-    links = verified(docs, reps, materialize(best.select("a", "b")), similar)
-
-    # round 2: pairs across the components of a bucket
-    ends = components(links)
-    joined = reps.select("key", "n", "mark", "bands").join(ends, reps["key"] == ends["node"], "left")
-    joined = joined.select("key", "n", "mark", F.coalesce("root", "key").alias("comp"), F.posexplode("bands").alias("band", "bucket"))
+        return {"a": batch["a"].filter(keep), "b": batch["b"].filter(keep), "alike": pa.array(alike, pa.int64()).filter(keep)}
+
+    # sets are named by their keys from here on, as ids may repeat
+    links, joined = None, reps.select("key", "n", "mark", F.col("key").alias("comp"), F.posexplode("bands").alias("band", "bucket"))
+    for turn in range(TURNS):
+        rank = F.xxhash64("key", "band", F.lit(turn))
+        filled = joined.groupBy("band", "bucket").agg(
+            F.min_by(F.struct("key", "n", "mark", "comp"), F.struct(rank, "key")).alias("lead"),
+            (F.min("comp") != F.max("comp")).alias("mixed"),
+        )
+        leads = materialize(filled.filter("mixed").drop("mixed"))
+        near = joined.join(leads, ["band", "bucket"]).filter(F.col("comp") != F.col("lead.comp"))
+        pairs = near.select(
+            F.col("key").alias("a"), F.col("lead.key").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"),
+            F.col("mark").alias("ma"), F.col("lead.mark").alias("mb"),
+        )
+        scored = map_batches(pairs, close, "a binary, b binary, alike long")
+        best = scored.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
+        found = verified(docs, reps, materialize(best.select("a", "b")), similar)
+        links = found if links is None else materialize(links.unionByName(found))
+        ends = components(links)
+        joined = reps.select("key", "n", "mark", "bands").join(ends, reps["key"] == ends["node"], "left")
+        joined = joined.select("key", "n", "mark", F.coalesce("root", "key").alias("comp"), F.posexplode("bands").alias("band", "bucket"))
+
+    # then all pairs across the components that are left in a bucket
     sizes = joined.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("m"), F.max_by("comp", F.struct("m", "comp")).alias("big"), F.max("m").alias("g"))
     mixed = materialize(mixed.filter("c > 1").select("band", "bucket", "big", F.ceil((F.col("m") - F.col("g")) / BLOCK).cast("int").alias("nr"), F.ceil(F.col("g") / BLOCK).cast("int").alias("ng")))
