@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, grades, neardup, packing, quality, tokenfiles, toxicity
+from relweave.llm import bpe, grades, neardup, packing, quality, suffixes, tokenfiles, topk, toxicity
 from relweave.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,28 @@ def op9_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op1_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@register
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document without strings of 200 bytes that occur more than once."""
+    left = suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op7_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best other vectors of every twentieth vector."""
+    whole = F.transform("embedding", lambda v: F.floor(64 * v.cast("double")).cast("double"))
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    rows = table(spark, folder, "embeddings").filter(finite).select("vec_id", whole.alias("embedding"))
+    return topk.top_k(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
+SQL["op7_norm_buckets"] = """with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, p.vec_id, cast(list_dot_product(q.e, p.e) as bigint) as score
+  from v q join v p on p.vec_id <> q.vec_id where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20"""
