@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from relweave.llm import bpe, grades, neardup, packing, quality, suffixes, tokenfiles, topk, toxicity
 from relweave.session import shared_dir
 
@@ -118,3 +119,9 @@ s as (select q.vec_id as query_id, p.vec_id, cast(list_dot_product(q.e, p.e) as
   from v q join v p on p.vec_id <> q.vec_id where q.vec_id % 20 = 0)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20"""
+
+
+@register
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The five stages of corpus_pipeline."""
+    return corpus_pipeline.run(spark, folder)
