@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from relweave.llm import bpe, grades, neardup, packing, quality, suffixes, tokenfiles, topk, toxicity
+from relweave.llm import bpe, grades, katz, neardup, packing, quality, suffixes, tokenfiles, topk, toxicity
 from relweave.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ from s qualify row_number() over (partition by query_id order by score desc, vec
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The five stages of corpus_pipeline."""
     return corpus_pipeline.run(spark, folder)
+
+
+@register
+def op6_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document by the model of the training documents."""
+    docs = table(spark, folder, "documents")
+    return katz.score(docs, katz.fit(docs))
