@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -81,3 +82,23 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over.
+
+    They go when the driver collects the objects that stand for them, which a driver with much memory
+    may not do for hours; a long job of many written steps asks for it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``materialize``d table that nothing will read again; other tables are left alone."""
+    context = df.sparkSession.sparkContext
+    home = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        if home.removeprefix("file:").lstrip("/") in folder:
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
