@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.common import map_batches
-from relweave.session import materialize
+from relweave.session import discard, materialize, release
 
 LENGTH = 200
 ANCHOR = 32
@@ -118,11 +118,15 @@ class SuffixIndex:
         self._note(array)
         rank = 0
         while self.levels and self.levels[-1][0] == rank:  # scanned and merged in one pass
-            array = self._array(self.levels.pop()[1].unionByName(array))
+            old = self.levels.pop()[1]
+            array = self._array(old.unionByName(array))
             self._note(array)
             rank += 1
+            discard(old)
         for _, level in self.levels:
-            self._note(self._array(level.unionByName(batch)))
+            scan = self._array(level.unionByName(batch))
+            self._note(scan)
+            discard(scan)
         self.levels.append((rank, array))
 
     @staticmethod
@@ -133,8 +137,9 @@ class SuffixIndex:
 
     def _note(self, array: DataFrame) -> None:
         several = array.groupBy("head", "lead").agg((F.min("class") != F.max("class")).alias("several"))
-        self.repeated.append(array.filter("n > 1").select("head", "lead", "class"))
-        self.contested.append(several.filter("several").select("head", "lead"))
+        self.repeated.append(materialize(array.filter("n > 1").select("head", "lead", "class")))
+        self.contested.append(materialize(several.filter("several").select("head", "lead")))
+        release(array.sparkSession)
 
     def repeats(self) -> tuple[DataFrame, DataFrame]:
         out = []
@@ -167,8 +172,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES
 
     rivals = suffixes.join(contested, ["head", "lead"]).groupBy("head", "lead", "class")
     rivals = rivals.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", "lo", "hi")).alias("r"))
-    runs = materialize(rivals.groupBy("r.name").agg(F.collect_list(F.struct("r.lo", "r.hi", "n")).alias("runs")))
-    texts = docs.join(runs, "name").dropDuplicates(["name"])
+    runs = rivals.groupBy("r.name").agg(F.collect_list(F.struct("r.lo", "r.hi", "n")).alias("runs"), F.min("lead").alias("near"))
+    runs = materialize(runs)
+    for _, level in index.levels:
+        discard(level)
+    release(rows.sparkSession)
+    # near copies share their least leading hash: side by side, most of their strings are settled at once
+    texts = docs.join(runs, "name").dropDuplicates(["name"]).repartitionByRange("near", "name")
+    texts = texts.sortWithinPartitions("near", "name").drop("near")
 
     def strings(batch):
         hashes, starts, names, many = [], [], [], []
@@ -189,21 +200,28 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES
         settled = (total[where] > 1) & (n == 1)
         once = np.zeros(len(h), bool)
         once[first] = True
-        out = {"hash": _long(h), "name": name, "lo": at, "n": np.minimum(total[where], 2).astype(np.int64)}
-        alone = total[where] == 1
-        tell = once & ~alone
-        parts = [
-            {"hash": pa.array(out["hash"][alone | tell]), "n": pa.array(out["n"][alone | tell]), "name": pa.array(out["name"][alone | tell], mask=tell[alone | tell]), "lo": pa.array(out["lo"][alone | tell])},
-            {"hash": pa.nulls(int(settled.sum()), pa.int64()), "n": pa.array(out["n"][settled]), "name": pa.array(out["name"][settled]), "lo": pa.array(out["lo"][settled])},
-        ]
-        return {c: pa.concat_arrays([p[c] for p in parts]) for c in ("hash", "n", "name", "lo")}
-
-    told = materialize(map_batches(texts, strings, "hash long, n long, name long, lo long"))
-    lone = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "lo")))
+        out_at = at
+        told = (total[where] == 1) | (once & (total[where] > 1))
+        ref = pa.array(name[told], mask=(once & (total[where] > 1))[told])
+        # settled starts go as runs
+        name, at = name[settled], at[settled]
+        new = np.concatenate([[True], (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1 if len(first) else first
+        hashes = pa.concat_arrays([pa.array(_long(h)[told]), pa.nulls(len(first), pa.int64())])
+        many = np.concatenate([np.minimum(total[where], 2)[told], np.zeros(len(first))]).astype(np.int64)
+        names = pa.concat_arrays([ref, pa.array(name[first])])
+        start = np.concatenate([out_at[told], at[first]])
+        end = np.concatenate([out_at[told], at[last]]) + length
+        return {"hash": hashes, "n": many, "name": names, "lo": start, "hi": end}
+
+    told = materialize(map_batches(texts, strings, "hash long, n long, name long, lo long, hi long"))
+    lone = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "lo", "hi")))
     shared = told.filter("hash is not null").groupBy("hash").agg(F.sum("n").alias("n"), lone.alias("at"))
-    shared = shared.filter("n > 1").select(F.explode("at").alias("at")).select("at.name", "at.lo")
-    single = told.filter("hash is null").select("name", "lo").unionByName(shared)
-    found = whole.unionByName(single.select("name", "lo", (F.col("lo") + length).alias("hi")))
+    shared = shared.filter("n > 1").select(F.explode("at").alias("at")).select("at.name", "at.lo", "at.hi")
+    release(rows.sparkSession)
+    single = told.filter("hash is null").select("name", "lo", "hi").unionByName(shared)
+    found = whole.unionByName(single)
     return materialize(found.groupBy("name").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))).withColumnRenamed("name", "__name")
 
 
