@@ -125,7 +125,7 @@ def cutoffs(labelled: DataFrame, good: str = "good", risk: float = RISK, delta:
         ]
     )
     table = materialize(counted.select("stratum", "n", F.explode(cells).alias("c")).select("stratum", "n", "c.*"))
-    level = F.lit(delta) / table.select("stratum").distinct().count() / len(tests) if hits else F.lit(0.0)
+    level = F.lit(delta / max(1, table.select("stratum").distinct().count()) / len(tests))
     ok = table.filter(
         (binomial_tail(F.col("lost"), F.col("n"), risk / len(rules)) <= level) & (F.col("caught") > F.col("lost"))
     )

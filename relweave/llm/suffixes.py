@@ -157,7 +157,7 @@ def named(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
-    """(__name, spans array<struct<lo, hi>>): byte ranges covered by strings that occur more than once.
+    """(__name, __spans array<struct<lo, hi>>): byte ranges covered by strings that occur more than once.
 
     ``rows`` has ``__name`` and ``text`` (binary). Texts under ``length`` bytes have no spans. Spans may
     overlap. A row that repeats another entirely repeats all its strings.
@@ -222,7 +222,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES
     release(rows.sparkSession)
     single = told.filter("hash is null").select("name", "lo", "hi").unionByName(shared)
     found = whole.unionByName(single)
-    return materialize(found.groupBy("name").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))).withColumnRenamed("name", "__name")
+    return materialize(found.groupBy("name").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))).withColumnsRenamed({"name": "__name", "spans": "__spans"})
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
@@ -241,7 +241,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
     def cut(batch):
         kept, size, gone, runs = [], [], [], []
-        for t, found in zip(batch["__bytes"], batch["spans"]):
+        for t, found in zip(batch["__bytes"], batch["__spans"]):
             raw, at, parts, n = t.as_py(), 0, [], 0
             end = -1
             for s in sorted((s["lo"], s["hi"]) for s in found.as_py() or ()):
@@ -254,7 +254,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             size.append(len(raw))
             gone.append(len(raw) - len(kept[-1]))
             runs.append(n)
-        columns = {c: batch[c] for c in batch.schema.names if c not in ("__bytes", "spans")}
+        columns = {c: batch[c] for c in batch.schema.names if c not in ("__bytes", "__spans")}
         return columns | dict(zip(added, (kept, size, gone, runs)))
 
     return map_batches(joined, cut, f"{own}, kept binary, n_bytes long, n_removed long, n_spans long")
