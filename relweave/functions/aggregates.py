@@ -226,10 +226,10 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), scale
     """Exact area under the ROC curve with ties counted half, for the table or per group.
 
     Works on counts per distinct score: each positive beats the negatives below its score
-    and half of those tied with it.
+    and half of those tied with it. Rows without a label are left out.
     """
     by = list(by)
-    counts = df.groupBy(*by, score).agg(
+    counts = df.filter(F.col(label).isNotNull()).groupBy(*by, score).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("__p"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("__q"),
     )

@@ -152,19 +152,16 @@ class MultiCategoryEncoder:
         cls,
         df: DataFrame,
         columns: Sequence[str],
-        method: str = "auto",
+        method: str = "code",
         cap: int = MULTI_RANK_CAP,
-        max_elements: int = 100_000_000_000,
     ) -> MultiCategoryEncoder:
-        """Rank the values of each column; ``auto`` counts only, if there are too many elements.
+        """Rank the values of each column (``code``, at any size; ``auto`` means the same), or count.
 
         Ranks above the cap collapse into one, so the list of ranked values never exceeds it.
         """
         columns = list(columns)
         if method == "auto":
-            sizes = df.agg(*[F.sum(set_size(F.col(c))).alias(c) for c in columns]).first() if columns else {}
-            total = sum((sizes[c] or 0) for c in columns)
-            method = "code" if total <= max_elements else "count"
+            method = "code"
         if method not in ("code", "count"):
             raise ValueError(f"unknown multi-category method {method!r}")
         ranks = {}

@@ -272,10 +272,10 @@ def bucket_statistics(
 
 
 def category_pairs(
-    df: DataFrame, categories: Sequence[str], max_pairs: int = 50, scale: Scale = DEFAULT_SCALE
+    df: DataFrame, categories: Sequence[str], scale: Scale = DEFAULT_SCALE
 ) -> DataFrame:
-    """Frequencies of joint categories, for as many pairs as the data size allows."""
-    for a, b in list(combinations(categories, 2))[:max_pairs]:
+    """Frequencies of joint categories, for every pair of the named categories."""
+    for a, b in combinations(categories, 2):
         joint = f"c_{a}__x__{b}"
         df = frequency_encode(df.withColumn(joint, combine_categories(a, b)), joint, scale=scale)
     return df

@@ -66,17 +66,30 @@ def nth_hash(df: DataFrame, hashed: Column, n: int) -> str | None:
             left -= size
         else:
             return None
+        if not cell:
+            return prefix  # the whole hash is read: many rows share it
         if size <= _FEW:
             found = rows.filter(F.col("h").startswith(prefix)).sort("h").collect()
             return found[left - 1]["h"]
 
 
 def smallest(df: DataFrame, hashed: Column, n: int) -> DataFrame:
-    """Exactly the ``n`` rows with the smallest hashes (all rows if there are fewer)."""
+    """Exactly the ``n`` rows with the smallest hashes (all rows if there are fewer).
+
+    Rows that repeat an id share its hash: as many of the last ones are taken as are missing. A row
+    without an id is drawn like one with an empty id.
+    """
     if n <= 0:
         return df.limit(0)
+    hashed = F.coalesce(hashed, F.md5(F.lit(b"")))
     cut = nth_hash(df, hashed, n)
-    return df if cut is None else df.filter(hashed <= cut)
+    if cut is None:
+        return df
+    inside = df.filter(hashed <= cut)
+    if inside.count() == n:
+        return inside
+    below = df.filter(hashed < cut)
+    return below.unionByName(df.filter(hashed == cut).limit(n - below.count()))
 
 
 # --------------------------------------------------------------------------- samples

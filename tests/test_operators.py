@@ -274,7 +274,7 @@ def test_multi_code_caps_ranks(spark):
     df = spark.createDataFrame([(0, ["a", "b"]), (1, ["b", "c"]), (2, ["d"]), (3, None)], "row_id long, m_x array<string>")
     enc = E.MultiCategoryEncoder.fit(df, ["m_x"], "code", cap=2)
     assert [r[1] for r in enc.transform(df).orderBy("row_id").collect()] == [0, 0, 2, 1]
-    assert E.MultiCategoryEncoder.fit(df, ["m_x"], "auto", max_elements=3).method == "count"
+    assert E.MultiCategoryEncoder.fit(df, ["m_x"], "auto").method == "code"
 
 
 def test_target_mean_sees_only_earlier_rows(skewed, tiny):
@@ -349,3 +349,12 @@ def test_weighted_sample_prefers_heavy_rows(spark):
 def test_up_balancing_repeats_the_minority(skewed):
     out = P.balance_up(skewed[0])
     assert out.count() == 200 and out.filter("label = 1").count() > 70
+
+
+def test_exact_samples_of_repeated_and_null_ids(spark):
+    tens = spark.range(1_000).select((F.col("id") % 100).alias("row_id"), F.col("id").alias("x"))
+    assert P.simple_sample(tens, 105).count() == 105
+    one = spark.range(30_000).select(F.lit(7).cast("bigint").alias("row_id"), F.col("id").alias("x"))
+    assert P.simple_sample(one, 10).count() == 10
+    none = spark.range(50).select(F.lit(None).cast("bigint").alias("row_id"), F.col("id").alias("x"))
+    assert P.simple_sample(none, 10).count() == 10
