@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.common import bucket_of, documents, type_of
-from relweave.session import materialize
+from relweave.session import materialize, release
 
 FOLD = (7, 2)
 #: Pairs seen less often are left to the back-off.
@@ -176,6 +176,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
         ])
 
     counted = materialize(_grouped(docs.mapInArrow(count, _SCHEMA), merge))
+    release(df.sparkSession)
     stats = [np.frombuffer(r["d"], "<i8") for r in counted.filter("kind = 'word'").select("d").collect()]  # 20 numbers a partition
     total = np.sum(stats, 0) if stats else np.zeros(2 + 2 * (DISCOUNTED + 3), int)
     tokens, types = int(total[0]), int(total[1])
@@ -244,6 +245,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
                 yield _rows([{"kind": "word", "bucket": bucket, **_BLANK, "a": a, "b": np.log10(share(n)).tobytes(), "c": base.tobytes()}])
 
     tables = materialize(weighted.unionByName(words.mapInArrow(final_words, _SCHEMA)))
+    release(df.sparkSession)
     return Model(tables, bits, tokens, types, unknown)
 
 
