@@ -7,8 +7,12 @@ run of string starts whose anchor it is; its class is the hash of all bytes of t
 
 ``SuffixIndex`` keeps levels of doubling size. A batch gets its own array; a merge-scan of it with each
 level finds suffixes that share the leading bytes: equal classes repeat as a whole, different classes
-are contested and settled start by start with hashes of all their strings. Then equal-sized levels are
-merged. Copies are counted per class before anything is shuffled, so thousands of copies cost a row.
+are contested. Then equal-sized levels are merged. Copies are counted per class before anything is
+shuffled, so thousands of copies cost a row.
+
+Contested runs are cut into blocks of starts that lie equally far before the anchor. The bytes common to
+all strings of a block are its core: where no other run has the core, no string of the block repeats; where
+all bytes of the block repeat, all of its strings do. Only blocks in between are cut finer, down to one start.
 
 Strings are compared by 64-bit hashes of all their bytes.
 """
@@ -27,6 +31,8 @@ LENGTH = 200
 ANCHOR = 32
 #: Batches that a table is added in; each is a hash share of the rows.
 BATCHES = 2
+#: Starts in a block of a contested run, coarse to fine; each a multiple of the next.
+BLOCKS = (32, 8, 1)
 _U = np.uint64
 _POSITION = _U((1 << 36) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -85,23 +91,23 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def suffix_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(name, head, lead, class, lo, hi): the anchored suffixes of texts (name long, text binary)."""
+    """(name, head, lead, class, lo, hi, at): the anchored suffixes of texts (name long, text binary)."""
 
     def run(batch):
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(7)]
         for name, t in zip(batch["name"].to_pylist(), batch["text"]):
             text = _Bytes(t.as_py())
             position, first, last, lead, whole = anchors(text, length)
             if len(position):
                 eight = text.raw[position[:, None] + np.arange(8)]  # an anchor has more bytes than these
                 head = np.ascontiguousarray(eight).view(">i8").ravel().astype(np.int64)
-                for column, v in zip(out, (np.full(len(first), name), head, _long(lead), _long(whole), first, last)):
+                for column, v in zip(out, (np.full(len(first), name), head, _long(lead), _long(whole), first, last, position)):
                     column.append(v)
         if out[0]:
-            return dict(zip(("name", "head", "lead", "class", "lo", "hi"), map(np.concatenate, out)))
+            return dict(zip(("name", "head", "lead", "class", "lo", "hi", "at"), map(np.concatenate, out)))
         return None
 
-    return map_batches(docs, run, "name long, head long, lead long, class long, lo long, hi long")
+    return map_batches(docs, run, "name long, head long, lead long, class long, lo long, hi long, at long")
 
 
 class SuffixIndex:
@@ -171,58 +177,86 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES
     whole = suffixes.join(repeated, ["head", "lead", "class"]).select("name", "lo", (F.col("hi") + length).alias("hi"))
 
     rivals = suffixes.join(contested, ["head", "lead"]).groupBy("head", "lead", "class")
-    rivals = rivals.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", "lo", "hi")).alias("r"))
-    runs = rivals.groupBy("r.name").agg(F.collect_list(F.struct("r.lo", "r.hi", "n")).alias("runs"), F.min("lead").alias("near"))
-    runs = materialize(runs)
+    rivals = rivals.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", "lo", "hi", "at")).alias("r"))
+    runs = rivals.groupBy("r.name").agg(F.collect_list(F.struct("r.lo", "r.hi", "r.at", "n")).alias("runs"))
+    texts = docs.join(runs, "name").dropDuplicates(["name"])
+
+    def windows(batch):
+        rows = []
+        for name, t, found in zip(batch["name"].to_pylist(), batch["text"], batch["runs"]):
+            raw = t.as_py()
+            for r in found.as_py():
+                rows.append((name, r["lo"], r["at"] - r["hi"], r["at"] - r["lo"], r["n"], raw[r["lo"] : r["hi"] + length]))
+        return dict(zip(("name", "run", "near", "far", "n", "bytes"), map(list, zip(*rows)))) if rows else None
+
+    cut = materialize(map_batches(texts, windows, "name long, run long, near long, far long, n long, bytes binary"))
     for _, level in index.levels:
         discard(level)
     release(rows.sparkSession)
-    # near copies share their least leading hash: side by side, most of their strings are settled at once
-    texts = docs.join(runs, "name").dropDuplicates(["name"]).repartitionByRange("near", "name")
-    texts = texts.sortWithinPartitions("near", "name").drop("near")
+    found = whole
+    for spans in _settle(cut, length):
+        found = found.unionByName(spans)
+    return materialize(found.groupBy("name").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))).withColumnsRenamed({"name": "__name", "spans": "__spans"})
 
-    def strings(batch):
-        hashes, starts, names, many = [], [], [], []
-        for name, t, found in zip(batch["name"].to_pylist(), batch["text"], batch["runs"]):
+
+def _settle(runs: DataFrame, length: int) -> list[DataFrame]:
+    """Spans (name, lo, hi) of the repeated strings of contested runs (name, run, near, far, n, bytes).
+
+    A run holds the strings that begin ``near`` to ``far`` bytes before its anchor; n is the number of its copies.
+    """
+    spans, wanted, before = [], None, 0
+    for size in BLOCKS:
+        if wanted is None:
+            asked = runs.withColumn("blocks", F.lit(None).cast("array<struct<block:long,n:long>>"))
+        else:
+            asked = runs.join(wanted, ["name", "run"])
+        cells = materialize(map_batches(asked, _cells(size, before, length), "core long, whole long, n long, name long, run long, block long, lo long, hi long"))
+        groups = cells.groupBy("core", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("name", "run", "block")).alias("r"))
+        groups = materialize(groups)
+        again = groups.filter("n > 1").select("core", "whole")
+        spans.append(materialize(cells.filter("n = 1").join(again, ["core", "whole"]).select("name", "lo", "hi")))
+        if size > 1:
+            # cores of several contents; equal contents go on as one
+            open_cores = groups.groupBy("core").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("core")
+            left = groups.join(open_cores, "core").groupBy("r.name", "r.run")
+            wanted = materialize(left.agg(F.collect_list(F.struct("r.block", F.least("n", F.lit(2)).alias("n"))).alias("blocks")))
+        before = size
+        discard(cells)
+        discard(groups)
+        release(runs.sparkSession)
+    return spans
+
+
+def _cells(size: int, before: int, length: int):
+    """Hashes of core and whole of every block of ``size`` starts; ``before`` is the size of the blocks asked for."""
+
+    def run(batch):
+        out = [[] for _ in range(8)]
+        columns = (batch[c].to_pylist() for c in ("name", "run", "near", "far", "n", "blocks"))
+        for (name, lo, near, far, n, blocks), t in zip(zip(*columns), batch["bytes"]):
             text = _Bytes(t.as_py())
-            for run in found.as_py():
-                at = np.arange(run["lo"], run["hi"] + 1)
-                hashes.append(text.hash(at, length))
-                starts.append(at)
-                names.append(np.full(len(at), name))
-                many.append(np.full(len(at), min(run["n"], 2)))
-        if not hashes:
-            return None
-        h, at, name, n = map(np.concatenate, (hashes, starts, names, many))
-        _, first, where = np.unique(h, return_index=True, return_inverse=True)
-        total = np.bincount(where, n)
-        # here already: repeated strings are settled, and one row tells the others of them
-        settled = (total[where] > 1) & (n == 1)
-        once = np.zeros(len(h), bool)
-        once[first] = True
-        out_at = at
-        told = (total[where] == 1) | (once & (total[where] > 1))
-        ref = pa.array(name[told], mask=(once & (total[where] > 1))[told])
-        # settled starts go as runs
-        name, at = name[settled], at[settled]
-        new = np.concatenate([[True], (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1 if len(first) else first
-        hashes = pa.concat_arrays([pa.array(_long(h)[told]), pa.nulls(len(first), pa.int64())])
-        many = np.concatenate([np.minimum(total[where], 2)[told], np.zeros(len(first))]).astype(np.int64)
-        names = pa.concat_arrays([ref, pa.array(name[first])])
-        start = np.concatenate([out_at[told], at[first]])
-        end = np.concatenate([out_at[told], at[last]]) + length
-        return {"hash": hashes, "n": many, "name": names, "lo": start, "hi": end}
-
-    told = materialize(map_batches(texts, strings, "hash long, n long, name long, lo long, hi long"))
-    lone = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "lo", "hi")))
-    shared = told.filter("hash is not null").groupBy("hash").agg(F.sum("n").alias("n"), lone.alias("at"))
-    shared = shared.filter("n > 1").select(F.explode("at").alias("at")).select("at.name", "at.lo", "at.hi")
-    release(rows.sparkSession)
-    single = told.filter("hash is null").select("name", "lo", "hi").unionByName(shared)
-    found = whole.unionByName(single)
-    return materialize(found.groupBy("name").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))).withColumnsRenamed({"name": "__name", "spans": "__spans"})
+            if blocks is None:
+                block = np.arange(near // size, far // size + 1)
+                many = np.full(len(block), min(n, 2))
+            else:
+                ratio = before // size
+                block = (np.array([x["block"] for x in blocks])[:, None] * ratio + np.arange(ratio)).ravel()
+                many = np.repeat([x["n"] for x in blocks], ratio)
+                inside = (block * size <= far) & (block * size + size > near)
+                block, many = block[inside], many[inside]
+            first = block * size
+            last = np.minimum(first + size - 1, length - ANCHOR)
+            core = text.hash(far - first, length - (last - first)) ^ _finish(block.astype(np.uint64))
+            own_first, own_last = np.maximum(first, near), np.minimum(last, far)
+            start, end = far - own_last, far - own_first + length
+            whole = text.hash(start, end - start) ^ _finish(((own_first << 20) + own_last).astype(np.uint64))
+            k = len(block)
+            found = (_long(core), _long(whole), many, np.full(k, name), np.full(k, lo), block, lo + start, lo + end)
+            for column, v in zip(out, found):
+                column.append(v)
+        return dict(zip(("core", "whole", "n", "name", "run", "block", "lo", "hi"), map(np.concatenate, out)))
+
+    return run
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
