@@ -176,7 +176,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, batches: int = BATCHES
     repeated, contested = index.repeats()
     whole = suffixes.join(repeated, ["head", "lead", "class"]).select("name", "lo", (F.col("hi") + length).alias("hi"))
 
-    rivals = suffixes.join(contested, ["head", "lead"]).groupBy("head", "lead", "class")
+    # a class has one head and lead; grouping by it alone leaves the join free to split a hot lead
+    rivals = suffixes.join(contested, ["head", "lead"]).groupBy("class")
     rivals = rivals.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", "lo", "hi", "at")).alias("r"))
     runs = rivals.groupBy("r.name").agg(F.collect_list(F.struct("r.lo", "r.hi", "r.at", "n")).alias("runs"))
     texts = docs.join(runs, "name").dropDuplicates(["name"])
