@@ -252,9 +252,10 @@ def target_mean_out_of_fold(
 
 
 def hash_code(column: str | Column, buckets: int) -> Column:
-    """Bucket of a category by hash; needs no fitting."""
+    """Bucket of a category by its md5, the same in any engine; needs no fitting, and null has none."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.pmod(F.xxhash64(c.cast("string")), F.lit(buckets)).cast("int")
+    digits = F.substring(F.md5(c.cast("string").cast("binary")), 1, 12)
+    return (F.conv(digits, 16, 10).cast("bigint") % F.lit(buckets)).cast("int")
 
 
 def hash_code_set(column: str, buckets: int) -> Column:

@@ -404,7 +404,15 @@ def ctr_oof(spark, sf):
     return tidy(out)
 
 
-@query("hash_encode")
+def _bucket(value: str, buckets: int) -> str:
+    return f"cast('0x' || substr(md5({value}), 1, 12) as bigint) % {buckets}"
+
+
+@query(
+    "hash_encode",
+    f"""select row_id, {_bucket("c_source", 32)} as c_source, array_to_string(list_sort(list_distinct(
+      list_transform(m_words, lambda x: {_bucket("x", 64)}))), ',') as m_words from {DOCUMENTS}""",
+)
 def hash_encode(spark, sf):
     d = I.documents(spark, sf)
     sets = F.array_join(E.hash_code_set("m_words", 64).cast("array<string>"), ",")

@@ -285,18 +285,20 @@ def chi_rank(spark, sf):
     return tidy(A.chi_square_scores(_lines(spark, sf), _NUMS, "label"))
 
 
-@query(
-    "info_gain",
-    f"""with l as {_LAB}, s as (select min(n_price) as a, (max(n_price) - min(n_price)) / 10 as w from l),
-      b as (select least(floor((n_price - a) / w), 9) as b, label from l, s),
+def _gain_sql(c: str) -> str:
+    return f"""select '{c}' as feature, {rnd("log2(n) - o / n - i / n", "score", 8)} from (
+      with s as (select min({c}) as a, (max({c}) - min({c})) / 10 as w from l),
+      b as (select least(floor(({c} - a) / w), 9) as b, label from l, s),
       c as (select b, label, count(*) as c from b group by 1, 2),
       t as (select b, sum(c) as t, sum(c * log2(c)) as h from c group by 1),
       y as (select sum(t * log2(t)) as o from (select label, sum(c) as t from c group by 1)),
       i as (select sum(t) as n, sum(t * log2(t) - h) as i from t)
-    select 'n_price' as feature, {rnd("log2(n) - o / n - i / n", "score", 8)} from i, y""",
-)
+      select n, o, i from i, y)"""
+
+
+@query("info_gain", f"with l as {_LAB} " + " union all ".join(_gain_sql(c) for c in _NUMS))
 def info_gain(spark, sf):
-    return tidy(L.gain_ranking(_lines(spark, sf), ["n_price"], "label"), 8)
+    return tidy(L.gain_ranking(_lines(spark, sf), _NUMS, "label"), 8)
 
 
 @query(
