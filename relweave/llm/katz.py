@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relweave.llm.common import bucket_of, documents, type_of
+from relweave.llm.common import bucket_of, documents, slices, type_of
 from relweave.session import materialize, release
 
 FOLD = (7, 2)
@@ -36,6 +36,8 @@ LEAST = 2
 DISCOUNTED = 5
 #: Bytes of text per partition of the tables.
 PART_BYTES = 8_000_000
+#: Bytes of text that a task turns into vectors at once when it counts, and when it asks.
+COUNT_BYTES, ASK_BYTES = 32_000_000, 16_000_000
 _U = np.uint64
 BEGIN, END = _U(1), _U(2)
 _SCHEMA = "kind string, bucket int, a binary, b binary, c binary, d binary"
@@ -141,9 +143,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
     bits = max(2, math.ceil(math.log2(max(1, size / PART_BYTES))))
 
     def count(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole, "text", COUNT_BYTES)):
             context, token, _ = _tokens(batch["text"])
             word, n = np.unique(token, return_counts=True)
             found = list(_deal("word", word, bits, word, n.astype(np.uint32)))
@@ -263,9 +263,7 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
 
     def ask(batches):
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole, "text", ASK_BYTES)):
             for at in range(0, batch.num_rows, 50_000):  # text numbers fit in 16 bits
                 part = batch.slice(at, 50_000)
                 context, token, doc = _tokens(part["text"])
