@@ -17,6 +17,7 @@ partition fits in a task. Words are 64-bit hashes, and rows carry sorted vectors
 
 from __future__ import annotations
 
+import collections
 import math
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.common import bucket_of, documents, slices, type_of
-from relweave.session import materialize, release
+from relweave.session import discard, materialize, release
 
 FOLD = (7, 2)
 #: Pairs seen less often are left to the back-off.
@@ -37,7 +38,9 @@ DISCOUNTED = 5
 #: Bytes of text per partition of the tables.
 PART_BYTES = 8_000_000
 #: Bytes of text that a task turns into vectors at once when it counts, and when it asks.
-COUNT_BYTES, ASK_BYTES = 32_000_000, 16_000_000
+COUNT_BYTES, ASK_BYTES = 16_000_000, 8_000_000
+#: Distinct words in a part of the table that words are looked up in, and tokens that ask one part at once.
+PART_WORDS, PART_TOKENS = 100_000, 4_000_000
 _U = np.uint64
 BEGIN, END = _U(1), _U(2)
 _SCHEMA = "kind string, bucket int, a binary, b binary, c binary, d binary"
@@ -82,6 +85,20 @@ def _deal(kind: str, key: np.ndarray, bits: int, *columns: np.ndarray):
         yield {"kind": kind, "bucket": int(bucket[start]), **_BLANK, **blobs}
 
 
+def _squeeze(key: np.ndarray) -> bytes:
+    """Sorted keys as their first one and the bytes, plane by plane, of the steps between them."""
+    step = np.diff(key, prepend=key[:1]).astype("<u8")
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return bytes([width]) + key[:1].astype("<u8").tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _loosen(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=9).reshape(raw[0], -1)
+    step = np.zeros((planes.shape[1], 8), np.uint8)
+    step[:, : raw[0]] = planes.T
+    return np.cumsum(step.view("<u8").ravel(), dtype=_U) + np.frombuffer(raw, "<u8", 1, 1)
+
+
 def _rows(found: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(found, pa.schema([("kind", pa.string()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in "abcd"]]))
 
@@ -104,8 +121,8 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _grouped(df: DataFrame, fn, schema: str = _SCHEMA, by: str = "bucket") -> DataFrame:
-    return df.groupBy(by).applyInArrow(fn, schema)
+def _grouped(df: DataFrame, fn, schema: str = _SCHEMA, by: tuple[str, ...] = ("bucket",)) -> DataFrame:
+    return df.groupBy(*by).applyInArrow(fn, schema)
 
 
 def _out(found: list[dict]) -> pa.Table:
@@ -113,10 +130,16 @@ def _out(found: list[dict]) -> pa.Table:
 
 
 class Model:
-    """The written tables (kind, bucket, vectors) and the few numbers that hold for all of them."""
+    """The written tables (kind, bucket, vectors) and the few numbers that hold for all of them.
 
-    def __init__(self, tables: DataFrame, bits: int, tokens: int, types: int, unknown: float):
+    Words are asked by the first ``word_bits`` bits of their hashes, pairs by ``bits``. ``word_turns`` and
+    ``pair_turns`` say for a part how many copies of it share the questions, so that a frequent word or
+    pair does not bring all its occurrences to one task."""
+
+    def __init__(self, tables: DataFrame, bits: int, tokens: int, types: int, unknown: float,
+                 word_bits: int, word_turns: dict[int, int], pair_turns: dict[int, int]):
         self.tables, self.bits, self.tokens, self.types, self.unknown = tables, bits, tokens, types, unknown
+        self.word_bits, self.word_turns, self.pair_turns = word_bits, word_turns, pair_turns
 
 
 def _discounts(n: dict[int, int], start: int) -> dict[int, float]:
@@ -177,11 +200,18 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
 
     counted = materialize(_grouped(docs.mapInArrow(count, _SCHEMA), merge))
     release(df.sparkSession)
-    stats = [np.frombuffer(r["d"], "<i8") for r in counted.filter("kind = 'word'").select("d").collect()]  # 20 numbers a partition
+    part_of = {r["bucket"]: np.frombuffer(r["d"], "<i8") for r in counted.filter("kind = 'word'").select("bucket", "d").collect()}  # 20 numbers a partition
+    stats = list(part_of.values())
     total = np.sum(stats, 0) if stats else np.zeros(2 + 2 * (DISCOUNTED + 3), int)
     tokens, types = int(total[0]), int(total[1])
     of_words = dict(enumerate(total[2 : DISCOUNTED + 5].tolist()))
     of_pairs = dict(enumerate(total[DISCOUNTED + 5 :].tolist()))
+    word_bits = min(bits, math.ceil(math.log2(max(1, types / PART_WORDS))))
+    asked = collections.Counter()
+    for bucket, x in part_of.items():
+        asked[bucket >> (bits - word_bits)] += int(x[0])
+    word_turns = {bucket: 1 + n // PART_TOKENS for bucket, n in asked.items()}
+    often = max(PART_TOKENS // 4, tokens >> (bits + 2))
     word_d, pair_d = _discounts(of_words, 1), _discounts(of_pairs, least)
     held = sum(d * r * of_words.get(r, 0) for r, d in word_d.items()) + tokens - sum(r * of_words.get(r, 0) for r in word_d)
     unknown = max(1 - held / tokens, 1 / (tokens + 1)) if tokens else 1.0
@@ -232,6 +262,8 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
             key = _pair(a, b)
             order = np.argsort(key)
             found += _deal("delta", key[order], bits, key[order], delta[order])
+            hot = order[c[order] > often]
+            found += _deal("hot", key[hot], bits, c[hot].astype("<i8"))
         return _out(found)
 
     context = counted.filter("kind = 'context'")
@@ -245,8 +277,13 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
                 yield _rows([{"kind": "word", "bucket": bucket, **_BLANK, "a": a, "b": np.log10(share(n)).tobytes(), "c": base.tobytes()}])
 
     tables = materialize(weighted.unionByName(words.mapInArrow(final_words, _SCHEMA)))
+    discard(counted)
     release(df.sparkSession)
-    return Model(tables, bits, tokens, types, unknown)
+    pair_turns = collections.Counter()
+    for r in tables.filter("kind = 'hot'").select("bucket", "a").collect():  # at most four times the partitions
+        pair_turns[r["bucket"]] += int(np.frombuffer(r["a"], "<i8").sum())
+    pair_turns = {bucket: 2 + n // PART_TOKENS for bucket, n in pair_turns.items()}
+    return Model(tables.filter("kind <> 'hot'"), bits, tokens, types, unknown, word_bits, word_turns, pair_turns)
 
 
 def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,7 +296,8 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     kind, bits = type_of(docs, "doc_id"), model.bits
     no_word = math.log10(model.unknown)
     no_base = math.log10(1 / (model.tokens + model.types + 1))
-    schema = f"kind string, bucket int, batch long, a binary, b binary, c binary, doc_ids array<{kind}>"
+    schema = f"kind string, side string, bucket int, turn int, batch long, a binary, b binary, c binary, doc_ids array<{kind}>"
+    sides = {"words": ("word", model.word_bits, model.word_turns), "pairs": ("pair", bits, model.pair_turns)}
 
     def ask(batches):
         number = TaskContext.get().partitionId() << 32
@@ -268,24 +306,44 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
                 part = batch.slice(at, 50_000)
                 context, token, doc = _tokens(part["text"])
                 doc = doc.astype(np.uint16)
-                asked = np.concatenate([token, np.full(part.num_rows, BEGIN)])
-                of = np.concatenate([doc, np.arange(part.num_rows, dtype=np.uint16)])
-                found = []
-                for name, key, of_doc in (("words", asked, of), ("pairs", _pair(context, token), doc)):
-                    order = np.lexsort((of_doc, key))
-                    found += _deal(name, key[order], bits, key[order], of_doc[order])
                 sizes = np.bincount(doc, minlength=part.num_rows).astype("<i8")
-                rows = {c: [r[c] for r in found] for c in ("kind", "bucket", "a", "b", "c")}
-                ids = [None] * len(found)
-                rows = {"kind": [*rows["kind"], "docs"], "bucket": [*rows["bucket"], -1], "batch": [number] * (len(found) + 1),
-                        "a": [*rows["a"], sizes.tobytes()], "b": [*rows["b"], b""], "c": [*rows["c"], b""],
-                        "doc_ids": pa.array([*ids, part["doc_id"].to_pylist()], pa.list_(part["doc_id"].type))}
-                rows["bucket"] = pa.array(rows["bucket"], pa.int32())
-                yield pa.RecordBatch.from_pydict(rows)
+                rows = [("docs", "docs", number % (1 << bits), 0, number, sizes.tobytes(), b"", b"", part["doc_id"].to_pylist())]
+                first = np.full(part.num_rows, BEGIN), np.arange(part.num_rows, dtype=np.uint16)
+                for name, (side, wide, turns) in sides.items():
+                    if name == "words":
+                        key, of = np.concatenate([token, first[0]]), np.concatenate([doc, first[1]])
+                    else:
+                        key, of = _pair(context, token), doc
+                    order = np.lexsort((of, key))
+                    key, of = key[order], of[order]
+                    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
+                    times = np.diff(np.append(start, len(key))).astype("<u4")
+                    key, of = key[start], of[start]
+                    bucket = (key >> _U(64 - wide)).astype(np.int64) if wide else np.zeros(len(key), np.int64)
+                    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                    for i, j in zip(cuts[:-1], cuts[1:]):
+                        own = int(bucket[i])
+                        turn = (number ^ (number >> 32)) % turns.get(own, 1)
+                        rows.append((name, side, own, turn, number, _squeeze(key[i:j]), of[i:j].tobytes(), times[i:j].tobytes(), None))
+                kinds = pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(part["doc_id"].type)
+                names = "kind", "side", "bucket", "turn", "batch", "a", "b", "c", "doc_ids"
+                yield pa.RecordBatch.from_pydict({n: pa.array(list(v), t) for n, v, t in zip(names, zip(*rows), kinds)})
                 number += 1
 
     asked = docs.mapInArrow(ask, schema)
-    tables = model.tables.select("kind", "bucket", F.lit(None).cast("long").alias("batch"), "a", "b", "c", F.lit(None).cast(f"array<{kind}>").alias("doc_ids"))
+
+    def copies(turns: dict[int, int]):
+        many = F.create_map(*[F.lit(x) for pair in ({-1: 1} | turns).items() for x in pair])
+        return F.coalesce(F.try_element_at(many, F.col("bucket")), F.lit(1))
+
+    of_words = F.col("kind").isin("word", "alpha")
+    tables = model.tables.withColumn("bucket", F.when(of_words, F.shiftright("bucket", bits - model.word_bits)).otherwise(F.col("bucket")))
+    turns = F.when(of_words, copies(model.word_turns)).otherwise(copies(model.pair_turns))
+    tables = tables.select(
+        "kind", F.when(of_words, F.lit("word")).otherwise(F.lit("pair")).alias("side"), "bucket",
+        F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.lit(None).cast("long").alias("batch"), "a", "b", "c",
+        F.lit(None).cast(f"array<{kind}>").alias("doc_ids"),
+    )
 
     def answer(table: pa.Table) -> pa.Table:
         """Sums per text of a batch: log P and log alpha, base, known words, delta."""
@@ -305,7 +363,8 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
             if name == "docs":
                 lists.append((name, table["batch"][i].as_py(), table["a"][i].as_py(), b"", table["doc_ids"][i].as_py()))
                 continue
-            key, of = np.frombuffer(table["a"][i].as_py(), "<u8"), np.frombuffer(table["b"][i].as_py(), "<u2")
+            key, of = _loosen(table["a"][i].as_py()), np.frombuffer(table["b"][i].as_py(), "<u2")
+            times = np.frombuffer(table["c"][i].as_py(), "<u4")
             if name == "words":
                 at, here = _find(word, key)
                 real = key != BEGIN
@@ -313,11 +372,13 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
                 b_all = np.where(here, base[at], no_base) if len(word) else np.full(len(key), no_base)
                 at, led = _find(ctx, key)
                 more = np.where(led & (key != END), alpha[at], 0.0) if len(ctx) else 0.0
-                columns = np.where(real, p_all, 0) + more, np.where(real, b_all, 0), (here & real).astype(float)
+                columns = times * (np.where(real, p_all, 0) + more), times * np.where(real, b_all, 0), times * (here & real)
             else:
                 at, here = _find(pair, key)
-                hit = np.where(here, delta[at], 0.0) if len(pair) else np.zeros(len(key))
-                columns = hit, np.zeros(len(key)), np.zeros(len(key))
+                of = of[here]
+                if not len(of):
+                    continue
+                columns = (times[here] * delta[at[here]],)
             texts, where = np.unique(of, return_inverse=True)
             sums = np.array([np.bincount(where, c, len(texts)) for c in columns])
             lists.append((name, table["batch"][i].as_py(), texts.astype("<u2").tobytes(), sums.tobytes(), None))
@@ -325,7 +386,7 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
         types = pa.string(), pa.int64(), pa.binary(), pa.binary(), table.schema.field("doc_ids").type
         return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("kind", "batch", "a", "b", "doc_ids"), columns, types)})
 
-    answers = _grouped(asked.unionByName(tables), answer, f"kind string, batch long, a binary, b binary, doc_ids array<{kind}>")
+    answers = _grouped(asked.unionByName(tables), answer, f"kind string, batch long, a binary, b binary, doc_ids array<{kind}>", ("side", "bucket", "turn"))
 
     def total(table: pa.Table) -> pa.Table:
         place = table["kind"].to_pylist().index("docs")
@@ -334,10 +395,11 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
         for name, a, b in sorted(zip(table["kind"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist())):
             if name != "docs":
                 texts = np.frombuffer(a, "<u2")
-                sums[:, texts] += np.frombuffer(b, "<f8").reshape(3, -1)
+                part = np.frombuffer(b, "<f8").reshape(-1, len(texts))
+                sums[: len(part), texts] += part
         ids = pa.array(table["doc_ids"][place].as_py(), table.schema.field("doc_ids").type.value_type)
         return pa.table({"doc_id": ids, "n_tokens": pa.array(sizes), "n_known": pa.array(sums[2].round().astype(np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0])})
 
-    result = _grouped(answers, total, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double", "batch")
+    result = _grouped(answers, total, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double", ("batch",))
     held = F.coalesce(bucket_of("doc_id", FOLD[0]) == FOLD[1], F.lit(False)).alias("held_out")
     return result.select("doc_id", held, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

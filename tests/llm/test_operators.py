@@ -328,12 +328,14 @@ def test_top_k(spark):
 def test_katz(spark, docs, odd, none):
     rows = docs[:120] + [(i, t) for i, t, _ in ODD if i is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    old, katz.PART_BYTES = katz.PART_BYTES, 20_000
+    old = katz.PART_BYTES, katz.PART_WORDS, katz.PART_TOKENS
+    katz.PART_BYTES, katz.PART_WORDS, katz.PART_TOKENS = 20_000, 300, 400
     try:
         model = katz.fit(df)
+        assert model.word_bits > 0 and max(model.word_turns.values()) > 1 and model.pair_turns
         got = katz.score(df, model).collect()
     finally:
-        katz.PART_BYTES = old
+        katz.PART_BYTES, katz.PART_WORDS, katz.PART_TOKENS = old
     split = [(i, [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] + ["end"]) for i, t in rows]
     train = [w for i, w in split if zlib.crc32(str(i).encode()) % 7 != 2]
     uni = collections.Counter(x for w in train for x in w)
