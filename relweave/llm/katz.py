@@ -76,13 +76,18 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, token, np.repeat(np.arange(len(rows)), size)
 
 
+def _runs(bucket: np.ndarray):
+    """(value, start, end) of every run of equal values."""
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        yield int(bucket[start]), start, end
+
+
 def _deal(kind: str, key: np.ndarray, bits: int, *columns: np.ndarray):
     """One row per hash range for vectors that are sorted by ``key``."""
-    bucket = (key >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(key) else []
-    for start, end in zip(cuts[:-1], cuts[1:]):
+    for own, start, end in _runs(key >> _U(64 - bits)):
         blobs = dict(zip("abcd", (c[start:end].tobytes() for c in columns)))
-        yield {"kind": kind, "bucket": int(bucket[start]), **_BLANK, **blobs}
+        yield {"kind": kind, "bucket": own, **_BLANK, **blobs}
 
 
 def _squeeze(key: np.ndarray) -> bytes:
@@ -173,8 +178,13 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
             order = np.lexsort((token, context))
             a, b = context[order], token[order]
             start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            n = np.diff(np.append(start, len(a)))
-            found += _deal("pair", a[start], bits, a[start], b[start], n.astype(np.uint32))
+            a, b, n = a[start], b[start], np.diff(np.append(start, len(a))).astype(np.uint32)
+            # by the hash of the pair: all pairs of a frequent word would be too many for one task
+            part = (_pair(a, b) >> _U(64 - bits)).astype(np.uint32)
+            order = np.argsort(part, kind="stable")
+            for own, i, j in _runs(part[order]):
+                x = order[i:j]
+                found.append({"kind": "pair", "bucket": own, **_BLANK, "a": _squeeze(a[x]), "b": b[x].tobytes(), "c": n[x].tobytes()})
             yield _rows(found)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -182,20 +192,20 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
             return _out([])
         bucket = table["bucket"][0].as_py()
         word, n = _sum_by(_of(table, "word", "a", "<u8"), _of(table, "word", "b", "<u4"))
-        a, b, c = (_of(table, "pair", x, t) for x, t in (("a", "<u8"), ("b", "<u8"), ("c", "<u4")))
+        b, c = (_of(table, "pair", x, t) for x, t in (("b", "<u8"), ("c", "<u4")))
+        a = [_loosen(v.as_py()) for k, v in zip(table["kind"].to_pylist(), table["a"]) if k == "pair"]
+        a = np.concatenate(a) if a else np.zeros(0, _U)
         order = np.lexsort((b, a))
         a, b, c = a[order], b[order], c[order]
         start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, int)
         c = np.add.reduceat(c.astype(np.int64), start) if len(a) else np.zeros(0, np.int64)
         a, b = a[start], b[start]
-        ctx, total = _sum_by(a, c)
         ranks = np.concatenate([np.bincount(np.minimum(x.astype(np.int64), DISCOUNTED + 2), minlength=DISCOUNTED + 3) for x in (n, c)])
         stats = np.concatenate([[int(n.sum()), len(word)], ranks]).astype("<i8")
         keep = c >= least
         return _out([
             {"kind": "word", "bucket": bucket, **_BLANK, "a": word.tobytes(), "b": n.astype("<i8").tobytes(), "d": stats.tobytes()},
             {"kind": "pair", "bucket": bucket, **_BLANK, "a": a[keep].tobytes(), "b": b[keep].tobytes(), "c": c[keep].astype("<i8").tobytes()},
-            {"kind": "context", "bucket": bucket, **_BLANK, "a": ctx.tobytes(), "b": total.astype("<f8").tobytes()},
         ])
 
     counted = materialize(_grouped(docs.mapInArrow(count, _SCHEMA), merge))
@@ -243,7 +253,9 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
     shared = _grouped(words.withColumn("d", F.lit(b"")).unionByName(pairs), with_share)
 
     def weights(table: pa.Table) -> pa.Table:
-        ctx, total = _of(table, "context", "a", "<u8"), _of(table, "context", "b", "<f8")
+        # every word is a context as often as it occurs, and a text's begin as often as its end
+        ctx, total = _of(table, "word", "a", "<u8"), _of(table, "word", "b", "<i8")
+        ctx = np.where(ctx == END, BEGIN, ctx)
         a, b, c, p = (_of(table, "pair", x, t) for x, t in (("a", "<u8"), ("b", "<u8"), ("c", "<i8"), ("d", "<f8")))
         d = np.ones(DISCOUNTED + 2)
         for r, v in pair_d.items():
@@ -266,8 +278,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
             found += _deal("hot", key[hot], bits, c[hot].astype("<i8"))
         return _out(found)
 
-    context = counted.filter("kind = 'context'")
-    weighted = _grouped(context.unionByName(shared), weights)
+    weighted = _grouped(words.withColumn("d", F.lit(b"")).unionByName(shared), weights)
 
     def final_words(batches):
         for batch in batches:
@@ -320,9 +331,7 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
                     times = np.diff(np.append(start, len(key))).astype("<u4")
                     key, of = key[start], of[start]
                     bucket = (key >> _U(64 - wide)).astype(np.int64) if wide else np.zeros(len(key), np.int64)
-                    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                    for i, j in zip(cuts[:-1], cuts[1:]):
-                        own = int(bucket[i])
+                    for own, i, j in _runs(bucket):
                         turn = (number ^ (number >> 32)) % turns.get(own, 1)
                         rows.append((name, side, own, turn, number, _squeeze(key[i:j]), of[i:j].tobytes(), times[i:j].tobytes(), None))
                 kinds = pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(part["doc_id"].type)
