@@ -41,6 +41,8 @@ PART_BYTES = 8_000_000
 COUNT_BYTES, ASK_BYTES = 16_000_000, 8_000_000
 #: Distinct words in a part of the table that words are looked up in, and tokens that ask one part at once.
 PART_WORDS, PART_TOKENS = 100_000, 4_000_000
+#: The texts are scored in so many shares, one after the other, so that only one share's questions are on disk.
+ROUNDS = 2
 _U = np.uint64
 BEGIN, END = _U(1), _U(2)
 _SCHEMA = "kind string, bucket int, a binary, b binary, c binary, d binary"
@@ -304,6 +306,16 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     read. The scores are sums over partial sums, so their last digits depend on the order of addition.
     """
     docs = documents(df, doc_id, text).select("doc_id", F.col("text").cast("binary").alias("text"))
+    own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
+    scored = None
+    for turn in range(ROUNDS):
+        part = materialize(_scored(docs.filter(own == turn), model))
+        scored = part if scored is None else scored.unionByName(part)
+        release(df.sparkSession)
+    return scored
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
     kind, bits = type_of(docs, "doc_id"), model.bits
     no_word = math.log10(model.unknown)
     no_base = math.log10(1 / (model.tokens + model.types + 1))
