@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -88,10 +89,13 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are over.
 
     They go when the driver collects the objects that stand for them, which a driver with much memory
-    may not do for hours; a long job of many written steps asks for it.
+    may not do for hours; a long job of many written steps asks for it. The last step is held by events
+    that are still on their way, hence the pauses.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.5, 1.0):
+        time.sleep(pause)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def discard(df: DataFrame) -> None:
