@@ -4,7 +4,8 @@ A score is |q| |p| cos(q, p). In a bucket whose longest vector has length l, onl
 with q reaches theta / (|q| l) can enter q's list, theta being q's k-th best score so far:
 
 * above 1, the whole bucket is skipped for q;
-* where it is high, candidates must lie near q in q's largest coordinate (coordinate pruning);
+* where it is high, candidates must lie near q in q's largest coordinate (coordinate pruning): with angles
+  a and b of q and p to its axis, |a - b| is at most the local angle, and b stays within 0 and 180 degrees;
 * where it is low, the bucket's vectors of sufficient length are a prefix by length (length pruning).
 
 What is left is verified with full products. A first pass over the longest vectors gives every query a
@@ -28,6 +29,8 @@ BLOCK, QUERIES = 32_768, 4_096
 GROWTH = 1.1
 #: Local cosine from which coordinates prune better than lengths.
 STEEP = 0.8
+#: Slack of the pruning bounds for rounding: of scores, absolute and relative, and of coordinates.
+_SLACK, _SHARE, _NEAR = 1e-6, 1e-9, 1e-7
 _PART = 2_048
 
 
@@ -113,19 +116,22 @@ def _cell(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
     for at in range(0, len(p), _PART):
         rows, ls = p[at : at + _PART], length[at : at + _PART]
         with np.errstate(divide="ignore", invalid="ignore"):
-            local = np.nan_to_num((theta - 1e-6) / (norm * ls[0]), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            local = np.nan_to_num(_least(theta) / (norm * ls[0]), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
         live = np.flatnonzero(local <= 1)
         near = local[live] >= STEEP
         for i in live[near].tolist():  # coordinate pruning, query by query
             unit, t = q[i, focus[i]] / norm[i], min(local[i], 1.0)
-            reach = math.sqrt(max(0.0, (1 - t * t) * (1 - unit * unit))) + 1e-9
+            reach = math.sqrt(max(0.0, (1 - t * t) * (1 - unit * unit))) + _NEAR
+            # past an end of the axis the bound would turn back: there is none
+            low = unit * t - reach if unit > _NEAR - t else -np.inf
+            high = unit * t + reach if unit < t - _NEAR else np.inf
             c = rows[:, focus[i]] / np.maximum(ls, 1e-300)
-            some = np.flatnonzero((c >= unit * t - reach) & (ls * norm[i] >= theta[i] - 1e-6) if t > 0 else np.ones(len(ls), bool))
+            some = np.flatnonzero((c >= low) & (c <= high) & (ls * norm[i] >= _least(theta[i])))
             some = some[(rows[some] @ q[i] >= theta[i]) & (p_id[at + some] != q_id[i])]
             got = [np.concatenate([a, b]) for a, b in zip(got, (np.full(len(some), i), at + some, rows[some] @ q[i]))]
         wide = live[~near]
         if len(wide):
-            need = (theta[wide].min() - 1e-6) / norm[wide].max() if theta[wide].min() > 0 else -np.inf
+            need = _least(theta[wide].min()) / norm[wide].max() if theta[wide].min() > 0 else -np.inf
             n = int(np.searchsorted(-ls, -need, "right"))  # length pruning: a prefix
             scores = q[wide] @ rows[:n].T
             scores[p_id[at : at + n][None, :] == q_id[wide][:, None]] = -np.inf
@@ -137,6 +143,11 @@ def _cell(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": pa.array(q_id[got[0]], ids_type), "vec_id": pa.array(p_id[got[1]], ids_type), "score": pa.array(got[2].astype(np.int64))})
 
 
+def _least(theta):
+    """What a score's upper bound has to reach."""
+    return theta - _SLACK - _SHARE * np.abs(theta)
+
+
 def _best(got: list[np.ndarray], theta: np.ndarray, p_id: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The k best of each query so far, and the raised thresholds."""
     order = np.lexsort((p_id[got[1]], -got[2], got[0]))

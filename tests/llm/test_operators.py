@@ -325,6 +325,29 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_spiky_vectors(spark):
+    """One-dimensional, one-hot and negative vectors, dominated by one coordinate."""
+    draw = np.random.default_rng(7)
+    spiky = draw.integers(-3, 4, (300, 4)) + np.eye(4)[draw.integers(0, 4, 300)] * draw.choice([-200, -40, 40, 200], 300)[:, None]
+    hot = np.eye(3)[draw.integers(0, 3, 200)] * draw.choice([-30, -20, -10, 10, 20], 200)[:, None]
+    line = draw.integers(-40, 41, (200, 1)).astype(float)
+    flat = np.array([[-10.0, 1], [-20, 0], [-19, 3], [18, -1], [0, -20], [3, 19], [-1, 1], [-2, 0]] * 3)
+    for x in (spiky, hot, line, flat):
+        rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        old = topk._PART
+        topk._PART = 4
+        try:
+            got = topk.top_k(df, df, k=3).collect()
+        finally:
+            topk._PART = old
+        want = []
+        for q in range(len(x)):
+            order = sorted((-(x[q] @ x[p]), p) for p in range(len(x)) if p != q)[:3]
+            want += [(q, r + 1, p, int(-s)) for r, (s, p) in enumerate(order)]
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
 def test_katz(spark, docs, odd, none):
     rows = docs[:120] + [(i, t) for i, t, _ in ODD if i is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
