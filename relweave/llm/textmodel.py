@@ -16,15 +16,42 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def grams(text: str, bits: int, sizes: tuple[int, ...]) -> np.ndarray:
     """Hash buckets below 2**bits of all byte n-grams (of 1 to 8 bytes) of the padded lower-case text."""
-    b = np.frombuffer(b" " + text.encode("utf-8", "replace").lower() + b" ", np.uint8).astype(np.uint64)
-    out, x = [], np.zeros(len(b), np.uint64)
+    out = [bucket for bucket, _ in _hashed(padded(text), bits, sizes)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def padded(text: str) -> np.ndarray:
+    """The bytes of the lower-case text between two spaces."""
+    return np.frombuffer(b" " + text.encode("utf-8", "replace").lower() + b" ", np.uint8)
+
+
+def keys_in(b: np.ndarray, marked: np.ndarray, bits: int, sizes: tuple[int, ...]) -> np.ndarray:
+    """The distinct n-grams (of 1 to 7 bytes) of ``b`` in marked buckets: their bytes and length in one number."""
+    out = [x[marked[bucket]] for bucket, x in _hashed(b, bits, sizes)]
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def buckets_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The buckets of n-grams given by ``keys_in``."""
+    x = keys.astype(np.uint64)
+    n = x >> np.uint64(56)
+    return _bucket(x ^ n << np.uint64(56), n, bits)
+
+
+def _bucket(x: np.ndarray, n, bits: int) -> np.ndarray:
+    return (((x + np.uint64(7_919) * n) * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _hashed(b: np.ndarray, bits: int, sizes: tuple[int, ...]):
+    """(buckets, n-grams) of every size."""
+    b = b.astype(np.uint64)
+    x = np.zeros(len(b), np.uint64)
     for n in range(1, max(sizes) + 1):
         if len(b) < n:
             break
         x = x[: len(b) - n + 1] | b[n - 1 :] << np.uint64(8 * (n - 1))
         if n in sizes:
-            out.append(((x + np.uint64(n) * np.uint64(7_919)) * _ODD) >> np.uint64(64 - bits))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+            yield _bucket(x, np.uint64(n), bits), (x | np.uint64(n << 56)).astype(np.int64)
 
 
 def training_rows(

@@ -10,6 +10,10 @@
   more voter of fixed accuracy.
 * Classifier. Logistic regression on the n-grams, fitted to the posterior labels.
 
+All of this looks at windows of bounded length, so that a long text does not gather evidence by its length:
+a training document is its window with the most lexicon n-grams, and a text has the score of its greatest
+window. Buckets of n-grams only narrow the search; a hit is the n-gram itself.
+
 Fitting looks at a bounded sample of labelled rows outside the held-out fold; scores need one pass.
 """
 
@@ -23,35 +27,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.common import bucket_of, documents, map_batches, type_of, values
-from relweave.llm.textmodel import MAX_TRAIN, grams, training_rows
+from relweave.llm.textmodel import MAX_TRAIN, buckets_of, grams, keys_in, padded, training_rows
 
 FOLD = (3, 1)
 BITS, SIZES = 20, (4, 5, 6)
 FEATURES, VOTERS = 4_096, 96
 THRESHOLD = 0.7
+#: Bytes of a window, and from one window to the next.
+WINDOW, STEP = 4_096, 2_048
 _LABEL_ACCURACY = 0.95
 
 
 @dataclass
 class Model:
-    """Weights of n-gram buckets, and the intercept."""
+    """Weights of n-grams, in rising order, and the intercept."""
 
-    buckets: np.ndarray
+    keys: np.ndarray
     weights: np.ndarray
     bias: float
 
     def scorer(self):
-        table = np.full(1 << BITS, -1, np.int16)
-        table[self.buckets] = np.arange(len(self.buckets))
+        hits = finder(self.keys)
 
         def score(text: str) -> float:
-            at = table[grams(text, BITS, SIZES)]
-            z = self.bias + float(self.weights[np.unique(at[at >= 0])].sum())
+            z = self.bias + max(float(self.weights[at].sum()) for at in hits(text))
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
 
 
+def finder(keys: np.ndarray):
+    """A function from a text to the places among sorted ``keys`` of the n-grams of each window."""
+    marked = np.zeros(1 << BITS, bool)
+    marked[buckets_of(keys, BITS)] = True
+
+    def hits(text: str):
+        for window in windows(text):
+            found = keys_in(window, marked, BITS, SIZES)
+            at = np.searchsorted(keys, found)
+            yield at[np.append(keys, -1)[at] == found]
+
+    return hits
+
+
+def windows(text: str):
+    """Overlapping windows of the padded text, which together hold every n-gram."""
+    b = padded(text)
+    for start in range(0, max(0, len(b) - WINDOW) + STEP, STEP):
+        yield b[start : start + WINDOW]
+
+
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = MAX_TRAIN) -> Model:
     """Fit on labelled documents outside the held-out fold.
 
@@ -64,6 +89,11 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
         share = min(max(n_pos / max(1, n_pos + n_neg), 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
 
+    def standing_out(pos, neg):
+        """How much n-grams stand out in toxic documents, 0 where they do not."""
+        lift = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+        return np.where((pos >= max(3, 0.004 * n_pos)) & (lift > 1.5), pos * lift, 0.0)
+
     def count(batches):
         seen = np.zeros((2, 1 << BITS), np.uint32)
         for batch in batches:
@@ -77,20 +107,38 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
             for raw in values(batch["seen"]):
                 total += np.frombuffer(raw, np.uint32).reshape(2, -1)
         neg, pos = total
-        lift = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-        good = np.flatnonzero((pos >= max(3, 0.004 * n_pos)) & (lift > 1.5))
-        best = good[np.argsort(-(pos[good] * lift[good]), kind="stable")][:FEATURES]
+        value = standing_out(pos, neg)
+        good = np.flatnonzero(value)
+        best = good[np.argsort(-value[good], kind="stable")][:FEATURES]
         yield pa.RecordBatch.from_pydict({"bucket": np.sort(best)})
 
     # six vectors of fixed size are all that meets in one task
     vectors = rows.repartition(6, "doc_id").mapInArrow(count, "seen binary")
     buckets = np.array([r[0] for r in vectors.repartition(1).mapInArrow(add, "bucket long").collect()], np.int64)
-    table = np.full(1 << BITS, -1, np.int16)
-    table[buckets] = np.arange(len(buckets))
+    marked = np.zeros(1 << BITS, bool)
+    marked[buckets] = True
+
+    def narrowed(batch):
+        """What the n-grams of these buckets are, and in how many documents of each label."""
+        found = [keys_in(padded(t), marked, BITS, SIZES) for t in values(batch["text"])]
+        toxic = np.repeat(batch["label"].to_numpy(zero_copy_only=False) == 1, [len(x) for x in found])
+        key, where = np.unique(np.concatenate(found), return_inverse=True)
+        pos = np.bincount(where, toxic, len(key)).astype(np.int64)
+        return {"key": key, "pos": pos, "neg": np.bincount(where, minlength=len(key)) - pos}
+
+    counted = map_batches(rows, narrowed, "key long, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # a key without ``least`` toxic documents is no feature, and few buckets hold more than one that has them
+    least = max(3, 0.004 * n_pos)
+    keys = counted.filter(F.col("pos") >= least).orderBy(F.desc("pos"), "neg", "key").limit(8 * FEATURES).collect()
+    key, pos, neg = (np.array([r[c] for r in keys], np.int64) for c in ("key", "pos", "neg"))
+    value = standing_out(pos, neg)
+    good = np.flatnonzero(value)
+    keys = np.sort(key[good[np.lexsort((key[good], -value[good]))][:FEATURES]])
 
     def held(batch):
-        found = [np.unique(table[grams(t, BITS, SIZES)]) for t in values(batch["text"])]
-        return {"label": batch["label"], "doc_id": batch["doc_id"], "held": [x[x >= 0].astype(np.int32).tobytes() for x in found]}
+        hits = finder(keys)
+        found = [max(hits(t), key=len) for t in values(batch["text"])]
+        return {"label": batch["label"], "doc_id": batch["doc_id"], "held": [x.astype(np.int32).tobytes() for x in found]}
 
     listed = map_batches(rows, held, f"label int, doc_id {type_of(rows, 'doc_id')}, held binary")
     listed = listed.orderBy("doc_id", "label").collect()  # a few numbers for each of a bounded number of rows
@@ -98,9 +146,9 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     has = [np.frombuffer(r["held"], np.int32) for r in listed]
     row = np.repeat(np.arange(len(has)), [len(x) for x in has])
     col = np.concatenate(has) if len(row) else np.zeros(0, np.int64)
-    posterior = label_model(votes(row, col, y, len(buckets)), y)
-    weights, bias = _logistic(row, col, posterior, len(buckets))
-    return Model(buckets, weights, bias)
+    posterior = label_model(votes(row, col, y, len(keys)), y)
+    weights, bias = _logistic(row, col, posterior, len(keys))
+    return Model(keys, weights, bias)
 
 
 def votes(row: np.ndarray, col: np.ndarray, y: np.ndarray, n_features: int) -> np.ndarray:

@@ -193,6 +193,30 @@ def test_toxicity_on_held_out_rows(graded, odd, none):
     assert toxicity.score(none, toxicity.fit(none, labels.limit(0))).count() == 0
 
 
+def test_toxicity_of_long_texts(graded):
+    """Length is no evidence: long clean texts stay, one toxic word in them is found wherever it stands."""
+    docs, labels = graded
+    score = toxicity.fit(docs, labels).scorer()
+    draw = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(draw.choice(letters) for _ in range(draw.randrange(2, 10))) for _ in range(50_000)]
+    for n in (10**4, 10**5, 10**6):
+        assert score(" ".join(draw.choice(vocabulary) for _ in range(n))) < toxicity.THRESHOLD
+    clean = ["the river walks slowly north"] * 2_000
+    assert score(" ".join(clean)) < toxicity.THRESHOLD
+    for at in (0, 777, 1_999):
+        assert score(" ".join([*clean[:at], "zorkish", *clean[at:]])) >= toxicity.THRESHOLD
+
+
+def test_windows_hold_every_gram():
+    for n in (0, 1, 4_093, 4_094, 4_095, 6_142, 6_143, 20_000):
+        text = "".join(random.Random(n).choice("abcdé ") for _ in range(n))
+        parts = [w.tobytes() for w in toxicity.windows(text)]
+        whole = toxicity.padded(text).tobytes()
+        assert max(map(len, parts)) <= toxicity.WINDOW
+        assert {p[i : i + 6] for p in parts for i in range(len(p) - 5)} == {whole[i : i + 6] for i in range(len(whole) - 5)}
+
+
 def test_label_model_discounts_repeated_voters():
     draw = np.random.default_rng(3)
     y = draw.random(2_000) < 0.3
