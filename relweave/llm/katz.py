@@ -1,6 +1,6 @@
 """Katz back-off language model: Good-Turing discounts, exactly normalised back-off weights.
 
-P(w2 | w1) = d(c) c(w1 w2) / c(w1) for pairs seen at least ``LEAST`` times in training, else
+P(w2 | w1) = d(c) c(w1 w2) / c(w1) for pairs seen at least ``least`` times in training, else
 alpha(w1) P(w2), with alpha(w1) = (1 - sum of the seen P(. | w1)) / (1 - sum of P over the same words), so
 that every context sums to one. P(w) is the discounted share of a word; all unknown words together form
 one word that holds the mass the discounts free. Discounts come from the counts of counts of the whole
@@ -31,7 +31,7 @@ from relweave.llm.common import bucket_of, documents, slices, type_of
 from relweave.session import discard, materialize, release
 
 FOLD = (7, 2)
-#: Pairs seen less often are left to the back-off.
+#: Pairs seen less often are left to the back-off where ``fit`` is not told otherwise; the query keeps all.
 LEAST = 2
 #: Counts up to this are discounted.
 DISCOUNTED = 5
@@ -172,22 +172,26 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(2, math.ceil(math.log2(max(1, size / PART_BYTES))))
 
+    def tally(batch) -> pa.RecordBatch:
+        """Counts of one slice; its vectors are gone before the next one is read."""
+        context, token, _ = _tokens(batch["text"])
+        word, n = np.unique(token, return_counts=True)
+        found = list(_deal("word", word, bits, word, n.astype(np.uint32)))
+        order = np.lexsort((token, context))
+        a, b = context[order], token[order]
+        start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        a, b, n = a[start], b[start], np.diff(np.append(start, len(a))).astype(np.uint32)
+        # by the hash of the pair: all pairs of a frequent word would be too many for one task
+        part = (_pair(a, b) >> _U(64 - bits)).astype(np.uint32)
+        order = np.argsort(part, kind="stable")
+        for own, i, j in _runs(part[order]):
+            x = order[i:j]
+            found.append({"kind": "pair", "bucket": own, **_BLANK, "a": _squeeze(a[x]), "b": b[x].tobytes(), "c": n[x].tobytes()})
+        return _rows(found)
+
     def count(batches):
         for batch in (part for whole in batches for part in slices(whole, "text", COUNT_BYTES)):
-            context, token, _ = _tokens(batch["text"])
-            word, n = np.unique(token, return_counts=True)
-            found = list(_deal("word", word, bits, word, n.astype(np.uint32)))
-            order = np.lexsort((token, context))
-            a, b = context[order], token[order]
-            start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            a, b, n = a[start], b[start], np.diff(np.append(start, len(a))).astype(np.uint32)
-            # by the hash of the pair: all pairs of a frequent word would be too many for one task
-            part = (_pair(a, b) >> _U(64 - bits)).astype(np.uint32)
-            order = np.argsort(part, kind="stable")
-            for own, i, j in _runs(part[order]):
-                x = order[i:j]
-                found.append({"kind": "pair", "bucket": own, **_BLANK, "a": _squeeze(a[x]), "b": b[x].tobytes(), "c": n[x].tobytes()})
-            yield _rows(found)
+            yield tally(batch)
 
     def merge(table: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -322,33 +326,36 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     schema = f"kind string, side string, bucket int, turn int, batch long, a binary, b binary, c binary, doc_ids array<{kind}>"
     sides = {"words": ("word", model.word_bits, model.word_turns), "pairs": ("pair", bits, model.pair_turns)}
 
+    def question(part, number: int) -> pa.RecordBatch:
+        context, token, doc = _tokens(part["text"])
+        doc = doc.astype(np.uint16)
+        sizes = np.bincount(doc, minlength=part.num_rows).astype("<i8")
+        rows = [("docs", "docs", number % (1 << bits), 0, number, sizes.tobytes(), b"", b"", part["doc_id"].to_pylist())]
+        first = np.full(part.num_rows, BEGIN), np.arange(part.num_rows, dtype=np.uint16)
+        for name, (side, wide, turns) in sides.items():
+            if name == "words":
+                key, of = np.concatenate([token, first[0]]), np.concatenate([doc, first[1]])
+            else:
+                key, of = _pair(context, token), doc
+            order = np.lexsort((of, key))
+            key, of = key[order], of[order]
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
+            times = np.diff(np.append(start, len(key))).astype("<u4")
+            key, of = key[start], of[start]
+            bucket = (key >> _U(64 - wide)).astype(np.int64) if wide else np.zeros(len(key), np.int64)
+            for own, i, j in _runs(bucket):
+                turn = (number ^ (number >> 32)) % turns.get(own, 1)
+                rows.append((name, side, own, turn, number, _squeeze(key[i:j]), of[i:j].tobytes(), times[i:j].tobytes(), None))
+        kinds = pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(part["doc_id"].type)
+        names = "kind", "side", "bucket", "turn", "batch", "a", "b", "c", "doc_ids"
+        return pa.RecordBatch.from_pydict({n: pa.array(list(v), t) for n, v, t in zip(names, zip(*rows), kinds)})
+
     def ask(batches):
         number = TaskContext.get().partitionId() << 32
         for batch in (part for whole in batches for part in slices(whole, "text", ASK_BYTES)):
             for at in range(0, batch.num_rows, 50_000):  # text numbers fit in 16 bits
                 part = batch.slice(at, 50_000)
-                context, token, doc = _tokens(part["text"])
-                doc = doc.astype(np.uint16)
-                sizes = np.bincount(doc, minlength=part.num_rows).astype("<i8")
-                rows = [("docs", "docs", number % (1 << bits), 0, number, sizes.tobytes(), b"", b"", part["doc_id"].to_pylist())]
-                first = np.full(part.num_rows, BEGIN), np.arange(part.num_rows, dtype=np.uint16)
-                for name, (side, wide, turns) in sides.items():
-                    if name == "words":
-                        key, of = np.concatenate([token, first[0]]), np.concatenate([doc, first[1]])
-                    else:
-                        key, of = _pair(context, token), doc
-                    order = np.lexsort((of, key))
-                    key, of = key[order], of[order]
-                    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
-                    times = np.diff(np.append(start, len(key))).astype("<u4")
-                    key, of = key[start], of[start]
-                    bucket = (key >> _U(64 - wide)).astype(np.int64) if wide else np.zeros(len(key), np.int64)
-                    for own, i, j in _runs(bucket):
-                        turn = (number ^ (number >> 32)) % turns.get(own, 1)
-                        rows.append((name, side, own, turn, number, _squeeze(key[i:j]), of[i:j].tobytes(), times[i:j].tobytes(), None))
-                kinds = pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(part["doc_id"].type)
-                names = "kind", "side", "bucket", "turn", "batch", "a", "b", "c", "doc_ids"
-                yield pa.RecordBatch.from_pydict({n: pa.array(list(v), t) for n, v, t in zip(names, zip(*rows), kinds)})
+                yield question(part, number)
                 number += 1
 
     asked = docs.mapInArrow(ask, schema)

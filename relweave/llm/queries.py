@@ -131,4 +131,4 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def op6_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document by the model of the training documents."""
     docs = table(spark, folder, "documents")
-    return katz.score(docs, katz.fit(docs))
+    return katz.score(docs, katz.fit(docs, least=1))

@@ -423,6 +423,37 @@ def test_katz(spark, docs, odd, none):
     assert katz.score(none, katz.fit(none)).count() == 0
 
 
+def test_katz_query_keeps_pairs_seen_once(spark, sf, docs):
+    split = [(i, [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] + ["end"]) for i, t in docs]
+    train = [w for i, w in split if zlib.crc32(str(i).encode()) % 7 != 2]
+    uni = collections.Counter(x for w in train for x in w)
+    pairs = collections.Counter(p for w in train for p in zip(["begin", *w[:-1]], w))
+    assert 2 * sum(n == 1 for n in pairs.values()) > len(pairs)  # most pairs
+    total = sum(uni.values())
+    d1, d2 = katz._discounts(collections.Counter(uni.values()), 1), katz._discounts(collections.Counter(pairs.values()), 1)
+    held = sum(d1.get(n, 1) * n for n in uni.values())
+    unknown = max(1 - held / total, 1 / (total + 1))
+    single = lambda w: (1 - unknown) / held * d1.get(uni[w], 1) * uni[w] if w in uni else unknown
+    after, seen, low = collections.Counter(), collections.Counter(), collections.Counter()
+    for (a, _), n in pairs.items():
+        after[a] += n
+    for (a, b), n in pairs.items():
+        seen[a] += d2.get(n, 1) * n / after[a]
+        low[a] += single(b)
+
+    def chance(a, b):
+        if a not in after:
+            return single(b)
+        f = after[a] / (after[a] + 1) if (1 - seen[a]) * after[a] < 1e-9 else 1
+        if (a, b) in pairs:
+            return f * d2.get(pairs[a, b], 1) * pairs[a, b] / after[a]
+        return (1 - seen[a] * f) / max(1 - low[a], 1e-12) * single(b)
+
+    want = {i: sum(math.log10(chance(a, b)) for a, b in zip(["begin", *w[:-1]], w)) for i, w in split}
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op6_katz_backoff"](spark, sf).collect()}
+    assert got == {i: pytest.approx(s) for i, s in want.items()}
+
+
 # ------------------------------------------------------------------ queries and pipeline
 
 
