@@ -18,6 +18,7 @@ from relweave.plans import models as T
 from relweave.plans.automl import ModelOptions, RelationalModel
 from relweave.plans.catalog import query, tidy
 from relweave.schema import MAIN, DatasetConfig, Relation, RelationalDataset
+from relweave.session import materialize
 from relweave.sources.tables import attach_label
 
 _NUMS = ["n_qty", "n_price", "n_disc", "n_tax"]
@@ -89,10 +90,16 @@ def _coded(spark, sf):
 _FEATURES = ["c_user", "n_value", "n_hour", "n_freq__c_user"]
 
 
+def _searched(spark, sf):
+    """Out-of-fold scores of the tuning sample, and scores of all rows."""
+    rows = materialize(_coded(spark, sf))
+    trials, scores = T.random_search(rows, _FEATURES, trials=2, rounds=2, n_folds=2)
+    return scores, T.score_all(rows, _FEATURES, trials, scores, rounds=2)
+
+
 @query("random_search")
 def random_search(spark, sf):
-    _, scores = T.random_search(_coded(spark, sf), _FEATURES, trials=2, rounds=2, n_folds=2)
-    return scores
+    return _searched(spark, sf)[1]
 
 
 @query("staged_search")
@@ -103,9 +110,9 @@ def staged_search(spark, sf):
 
 @query("stacking")
 def stacking(spark, sf):
-    _, scores = T.random_search(_coded(spark, sf), _FEATURES, trials=2, rounds=2, n_folds=2)
+    scores, every = _searched(spark, sf)
     model = T.train_stacker(scores, [0, 1], "logistic")
-    wide = T.stack_rows(scores, [0, 1])
+    wide = T.stack_rows(every, [0, 1])
     return T.score(model, T.assemble(wide, ["p_0", "p_1"]))
 
 

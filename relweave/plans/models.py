@@ -163,6 +163,28 @@ def random_search(
     return cross_validate(prepared, params, rounds, n_folds, label, row_id, seed, parallelism)
 
 
+def score_all(
+    df: DataFrame, features: Sequence[str], trials: Sequence[Trial], scores: DataFrame, rounds: int = 20,
+    label: str = LABEL, row_id: str = ROW_ID, seed: int = 0,
+) -> DataFrame:
+    """Scores of every row by every trial, (trial, row_id, label, fold, p).
+
+    Rows of the sample keep their out-of-fold ``scores``; each trial is fitted again on the whole sample
+    for all others, whose fold is null.
+    """
+    drawn = scores.select(row_id).distinct()
+    sample = materialize(assemble(df.join(drawn, row_id, "left_semi"), features, (row_id, label)))
+    rest = materialize(assemble(df.join(drawn, row_id, "left_anti"), features, (row_id, label)))
+    if rest.isEmpty():
+        return scores
+    out, fold = scores, F.lit(None).cast(scores.schema["fold"].dataType)
+    for t in trials:
+        model = train(sample, t.params, rounds, label, seed=seed)
+        part = score(model, rest, "p", (row_id, label)).withColumn("trial", F.lit(t.number)).withColumn("fold", fold)
+        out = out.unionByName(part)
+    return materialize(out)
+
+
 def staged_search(
     df: DataFrame, features: Sequence[str], per_stage: int = 6, rounds: int = 20, n_folds: int = FOLDS,
     label: str = LABEL, row_id: str = ROW_ID, seed: int = 0, parallelism: int = 4, rows: int = TRAIN_ROWS,

@@ -189,3 +189,12 @@ def test_default_path_stays_in_the_jvm(spark, sf, name):
 def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = QUERIES["row_predicates"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(value)" in plan and "props" not in plan
+
+
+@pytest.mark.parametrize("name,per_row", [("random_search", 2), ("stacking", 1)])
+def test_search_scores_rows_outside_the_sample(spark, sf, name, per_row, monkeypatch):
+    draw = T.stratified_sample
+    monkeypatch.setattr(T, "stratified_sample", lambda df, rows, *a: draw(df, 300, *a))
+    out = QUERIES[name](spark, sf)
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert n > 300 and out.select("row_id").distinct().count() == n and out.count() == per_row * n
