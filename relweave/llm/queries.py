@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from relweave.llm import bpe, grades, katz, neardup, packing, quality, suffixes, tokenfiles, topk, toxicity
+from relweave.llm import bpe, divergence, grades, katz, neardup, packing, quality, suffixes, tokenfiles, topk, toxicity
 from relweave.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,12 @@ def op6_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document by the model of the training documents."""
     docs = table(spark, folder, "documents")
     return katz.score(docs, katz.fit(docs, least=1))
+
+
+@register
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of every two sources of a language, and each source's over-used terms."""
+    return divergence.ranked(divergence.audit(table(spark, folder, "documents")))
+
+
+SQL["op13_source_divergence"] = divergence.AUDIT_SQL.format(least=10, most=10)
