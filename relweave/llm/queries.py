@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from relweave.llm import bpe, divergence, grades, katz, neardup, packing, quality, suffixes, tokenfiles, topk, toxicity
+from relweave.llm import bpe, divergence, grades, hardneg, katz, lsh, neardup, packing, quality, suffixes, tokenfiles, topk, toxicity
 from relweave.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,23 @@ def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op13_source_divergence"] = divergence.AUDIT_SQL.format(least=10, most=10)
+
+
+@register
+def op11_multiprobe_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest other vectors found for every twentieth vector."""
+    rows = table(spark, folder, "embeddings")
+    return lsh.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
+@register
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; a seventh of the labels is moved on by one."""
+    whole = F.transform("embedding", lambda v: F.floor(256 * v.cast("double")).cast("double"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    rows = table(spark, folder, "embeddings").filter(finite).select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return hardneg.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+SQL["op12_hard_negatives"] = hardneg.MINE_SQL
