@@ -11,7 +11,7 @@ is fitted: for a bounded sample of queries all rows are searched exactly, and th
 least that finds the wanted share of their neighbours. Where no number does, or a query finds fewer rows
 than it asks for, its whole dimension is searched, in blocks.
 
-Rows lie in cells, the buckets that agree in their first hashes; a cell with many rows is cut into blocks of
+Rows lie in cells, of buckets that agree in their first hashes; a cell with many rows is cut into blocks of
 bounded size. A query is sent once to every cell it visits, with its buckets there; products are taken in
 double precision for the rows of those buckets only, and lists of k move on.
 """
@@ -71,10 +71,15 @@ def _drawn(dim: int, hashes: int, table: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Index:
-    """The numbers that fix all hashes: greatest length, hashes of a bucket and of a cell, buckets to visit."""
+    """The numbers that fix all hashes: greatest length, hashes of a bucket, cells, buckets to visit."""
 
-    def __init__(self, length: float, hashes: int, of_cell: int, visits: int | None = None):
-        self.length, self.hashes, self.of_cell, self.visits = length, hashes, of_cell, visits
+    def __init__(self, length: float, hashes: int, cells: int, visits: int | None = None):
+        self.length, self.hashes, self.cells, self.visits = length, hashes, cells, visits
+        # about as many different beginnings of buckets as make the likeliest of them a small part of a cell
+        self.of_cell = min(hashes, math.ceil(2 * math.log2(cells) / BITS)) if cells > 1 else 0
+
+    def _cell(self, begins: np.ndarray) -> np.ndarray:
+        return (begins >> 20) % self.cells
 
     def _places(self, x: np.ndarray, table: int, asks: bool) -> np.ndarray:
         a, b, _ = _drawn(x.shape[1], self.hashes, table)
@@ -89,27 +94,37 @@ class Index:
         """(cell, bucket) of rows; two buckets may share a number, which only adds candidates."""
         mix = _drawn(x.shape[1], self.hashes, table)[2]
         at = np.floor(self._places(x, table, False)).astype(np.int64) * mix
-        return at[:, : self.of_cell].sum(1), at.sum(1)
+        return self._cell(at[:, : self.of_cell].sum(1)), _number(at.sum(1))
 
-    def visited(self, x: np.ndarray, table: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, visit): cells and buckets in the order in which queries visit them."""
+    def visited(self, x: np.ndarray, table: int, most: int, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(query, visit): the cells and buckets that queries visit first, in that order if asked for."""
         k, mix = self.hashes, _drawn(x.shape[1], self.hashes, table)[2]
         place = self._places(x, table, True)
         home = np.floor(place)
         down = place - home
         crossed = np.concatenate([down, 1 - down], 1) ** 2
         order = np.argsort(crossed, 1, kind="stable")
-        near = np.take_along_axis(crossed, order, 1)
-        sets = moves(k)
-        cost = near @ sets.T.astype(float)
-        first = np.argsort(cost, 1, kind="stable")[:, :most]
+        sets = moves(k).astype(float).T
+        cost = np.take_along_axis(crossed, order, 1) @ sets
+        if ordered or most >= sets.shape[1]:
+            first = np.argsort(cost, 1, kind="stable")[:, :most]
+        else:
+            first = np.argpartition(cost, most - 1, 1)[:, :most]
         step = np.where(order < k, -1, 1) * mix[order % k]
-        step_of_cell = np.where(order % k < self.of_cell, step, 0)
         at = home.astype(np.int64) * mix
-        whole = sets.astype(np.int64)
-        bucket = np.take_along_axis(at.sum(1)[:, None] + step @ whole.T, first, 1)
-        cell = np.take_along_axis(at[:, : self.of_cell].sum(1)[:, None] + step_of_cell @ whole.T, first, 1)
-        return cell, bucket
+        bucket = at.sum(1)[:, None] + np.take_along_axis(_summed(step, sets), first, 1)
+        begins = np.take_along_axis(_summed(np.where(order % k < self.of_cell, step, 0), sets), first, 1)
+        return self._cell(at[:, : self.of_cell].sum(1)[:, None] + begins), _number(bucket)
+
+
+def _number(bucket: np.ndarray) -> np.ndarray:
+    return (bucket >> 24).astype(np.int32)
+
+
+def _summed(step: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """The sum of the steps of each set, modulo 2**64, by exact products of halves."""
+    low, high = step & 0xFFFFFFFF, step >> 32
+    return (low.astype(float) @ sets).astype(np.int64) + ((high.astype(float) @ sets).astype(np.int64) << 32)
 
 
 def _matrix(table) -> np.ndarray:
@@ -147,15 +162,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     size = max(SMALL, min(CELL, (rows or 0) // (2 * cores)))
     bits = math.log2(max(1, (rows or 1) / BUCKET)) / BITS
-    hashes = max(1, math.ceil(bits))
-    index = Index(length or 1.0, hashes, min(hashes, max(0, math.ceil(math.log2(max(1, (rows or 1) / size)) / BITS))))
+    index = Index(length or 1.0, max(1, math.ceil(bits)), max(1, math.ceil((rows or 1) / size)))
     index.visits = _visits(index, base, asked, k)
     found = materialize(_search(index, base, asked, k, size, rows or 0))
     full = found.filter(F.size("found") >= k).select("id")
     short = asked.join(full, "id", "left_anti")
     if index.visits is not None and not short.isEmpty():
         short = materialize(short)
-        whole = Index(index.length, index.hashes, 0)
+        whole = Index(index.length, index.hashes, 1)
         found = found.filter(F.size("found") >= k).unionByName(_search(whole, base, short, k, size, rows))
     listed = found.select(F.col("id").alias("query_id"), F.posexplode("found").alias("rank", "f"))
     return listed.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.down")).alias("score"))
@@ -206,7 +220,7 @@ def _visits(index: Index, base: DataFrame, asked: DataFrame, k: int) -> int | No
                     old_id, old_x, old = best.get(dim, (np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0, dim)), np.zeros((len(q), 0))))
                     x, own = _matrix(part), part["id"].to_numpy()
                     score = np.where(own[None, :] == ids[:, None], -np.inf, q @ x.T)
-                    some = np.argsort(-score, 1, kind="stable")[:, :k]
+                    some = np.argpartition(-score, k - 1, 1)[:, :k] if len(own) > k else np.argsort(-score, 1)
                     all_id = np.concatenate([old_id, own[some]], 1)
                     all_x = np.concatenate([old_x, x[some]], 1)
                     every = np.concatenate([old, np.take_along_axis(score, some, 1)], 1)
@@ -216,7 +230,7 @@ def _visits(index: Index, base: DataFrame, asked: DataFrame, k: int) -> int | No
             ids, q = by_dim[dim]
             visit = np.full(score.shape, -1)
             for t in range(TABLES):
-                way = index.visited(q, t, MOVES)[1]
+                way = index.visited(q, t, MOVES, True)[1]
                 for i in range(len(q)):
                     hit = way[i][None, :] == index.buckets(near[i], t)[1][:, None]
                     at = np.where(hit.any(1), hit.argmax(1), MOVES)
@@ -239,7 +253,7 @@ def _search(index: Index, base: DataFrame, asked: DataFrame, k: int, size: int,
 
     def placed(part: pa.RecordBatch, t: int) -> tuple[np.ndarray, np.ndarray]:
         if index.visits is None:
-            return np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
+            return np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int32)
         return index.buckets(_matrix(part), t)
 
     def cells(batches):
@@ -277,7 +291,7 @@ def _search(index: Index, base: DataFrame, asked: DataFrame, k: int, size: int,
     def _asked(part: pa.RecordBatch, dim: int, t: int) -> pa.RecordBatch:
         n, out = part.num_rows, []
         if index.visits is None:
-            cell = bucket = np.zeros((n, 1), np.int64)
+            cell, bucket = np.zeros((n, 1), np.int64), np.zeros((n, 1), np.int32)
         else:
             cell, bucket = index.visited(_matrix(part), t, index.visits)
         order = np.argsort(cell, 1, kind="stable")
@@ -296,12 +310,12 @@ def _search(index: Index, base: DataFrame, asked: DataFrame, k: int, size: int,
         )
 
     keys = ["dim", "tab", "cell", "sub"]
-    right = base.mapInArrow(deal, schema + "bucket long").groupBy(*keys)
+    right = base.mapInArrow(deal, schema + "bucket int").groupBy(*keys)
     left = asked.mapInArrow(ask, schema + "codes binary").groupBy(*keys)
     kind = "array<struct<down: double, vec_id: long>>"
     lists = left.cogroup(right).applyInArrow(lambda a, b: _cell(a, b, k), f"id long, found {kind}")
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))))  # k a visited cell
-    return lists.groupBy("id").agg(F.slice(every, 1, k).alias("found"))
+    every = F.sort_array(F.flatten(F.collect_list("found")))  # k a visited cell; a row is in one cell of a table
+    return lists.groupBy("id").agg(F.slice(F.array_distinct(F.slice(every, 1, tables * k)), 1, k).alias("found"))
 
 
 def _cell(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
@@ -319,8 +333,8 @@ def _cell(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
     for at in range(0, queries.num_rows, _TALL):
         part = queries.slice(at, _TALL)
         q, codes = _matrix(part), part["codes"].to_pylist()
-        who = np.repeat(np.arange(len(q)), [len(c) // 8 for c in codes])
-        code = np.frombuffer(b"".join(codes), np.int64)
+        who = np.repeat(np.arange(len(q)), [len(c) // 4 for c in codes])
+        code = np.frombuffer(b"".join(codes), np.int32)
         place = np.minimum(np.searchsorted(known, code), len(known) - 1)
         hit = known[place] == code
         pairs = np.unique(place[hit] * len(q) + who[hit])
@@ -331,21 +345,25 @@ def _cell(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
             i, j, w = start[place[a]], end[place[a]], who[a:b]
             score[w, i:j] = q[w] @ p[i:j].T
         score[p_id[None, :] == q_id[at : at + len(q)][:, None]] = -np.inf
+        near, slack = [], _NEAR * size * np.sqrt((q * q).sum(1))
         for i, row in enumerate(score):
             least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            slack = _NEAR * size * np.sqrt(q[i] @ q[i])
-            some = np.flatnonzero((row >= least - slack) & np.isfinite(row))
-            exact = _product(q[i], p[some])
-            best = np.lexsort((p_id[some], -exact))[:k]
-            if len(best):
-                ids.append(q_id[at + i])
-                found.append([{"down": -s, "vec_id": v} for s, v in zip(exact[best].tolist(), p_id[some[best]].tolist())])
+            near.append(np.flatnonzero((row >= least - slack[i]) & (row > -np.inf)))
+        who, some = np.repeat(np.arange(len(q)), list(map(len, near))), np.concatenate(near)
+        exact = _product(q[who], p[some])
+        order = np.lexsort((p_id[some], -exact, who))
+        begin = np.searchsorted(who, np.arange(len(q) + 1))
+        down, near_id = (-exact[order]).tolist(), p_id[some[order]].tolist()
+        for i in np.unique(who).tolist():
+            a, b = begin[i], min(begin[i] + k, begin[i + 1])
+            ids.append(q_id[at + i])
+            found.append([{"down": s, "vec_id": v} for s, v in zip(down[a:b], near_id[a:b])])
     return pa.table([pa.array(ids, pa.int64()), pa.array(found, kind)], ["id", "found"])
 
 
 def _product(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Inner products summed from the first number on, the same wherever a row stands."""
     out = np.zeros(len(p))
-    for column in range(len(q)):
-        out = out + q[column] * p[:, column]
+    for column in range(q.shape[1]):
+        out = out + q[:, column] * p[:, column]
     return out

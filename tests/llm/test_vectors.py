@@ -105,13 +105,15 @@ def test_cells_are_cut(spark, monkeypatch):
 
 
 def test_visits_follow_the_estimated_success():
-    index = lsh.Index(1.0, 3, 1)
+    index = lsh.Index(1.0, 3, 5)
+    assert index.of_cell == 3
+    index.of_cell = 1
     q = np.random.default_rng(0).standard_normal((5, 8))
     q /= np.linalg.norm(q, axis=1)[:, None]
     place = index._places(q, 0, True)
     down = place - np.floor(place)
     mix = lsh._drawn(8, 3, 0)[2]
-    cell, bucket = index.visited(q, 0, 27)
+    cell, bucket = index.visited(q, 0, 27, True)
     assert bucket.shape == (5, 27)
     for i in range(5):
         every = []
@@ -119,7 +121,7 @@ def test_visits_follow_the_estimated_success():
             step = np.array(move) - 1
             cost = sum(0 if s == 0 else (down[i, j] if s < 0 else 1 - down[i, j]) ** 2 for j, s in enumerate(step))
             at = (np.floor(place[i]).astype(np.int64) + step) * mix
-            every.append((cost, int(at[0]), int(at.sum())))
+            every.append((cost, (int(at[0]) >> 20) % 5, int(lsh._number(at.sum()[None])[0])))
         every.sort()
         assert [x[1:] for x in every] == list(zip(cell[i].tolist(), bucket[i].tolist()))
 
