@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from relweave.functions.lookup import lookup_join
 from relweave.functions.ordered import Scan, key_sizes, prefix_scan, row_index
+from relweave.functions.selection import quantiles_of
 from relweave.schema import CAT, MULTI, NUM, PREFIXES, TIME, aggregate_name, logical_type
 from relweave.session import DEFAULT_SCALE, Scale, materialize
 
@@ -171,18 +172,19 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, for the whole table or per key.
 
-    Counts per value, a running count along the values, then the two neighbours of each
-    quantile position: no group is ever held in one buffer.
+    Of a whole table they are found by narrowing (``selection``). Per key: counts per value, a running
+    count along the values, then the two neighbours of each quantile position, so that no group is
+    ever held in one buffer.
     """
     key = list(key)
+    if not key:
+        found = quantiles_of(df, {column: list(wanted.values())})[column]
+        return df.sparkSession.createDataFrame([tuple(found)], ", ".join(f"`{n}` double" for n in wanted))
     vc = materialize(df.filter(F.col(column).isNotNull()).groupBy(*key, column).agg(F.count(F.lit(1)).alias("__n")))
     run = prefix_scan(vc, [column], {"__to": Scan("sum", F.col("__n"))}, key, scale)
     run = run.withColumn("__from", F.col("__to") - F.col("__n"))
-    if key:
-        sizes = vc.groupBy(*key).agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__w"))
-        run = lookup_join(run, materialize(sizes), key, weight="__w", scale=scale)
-    else:
-        run = run.withColumn("__all", F.lit(vc.agg(F.sum("__n")).first()[0]))
+    sizes = vc.groupBy(*key).agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__w"))
+    run = lookup_join(run, materialize(sizes), key, weight="__w", scale=scale)
     picks = []
     for name, q in wanted.items():
         pos = (F.col("__all") - 1) * F.lit(float(q))

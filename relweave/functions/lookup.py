@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,25 @@ from relweave.session import DEFAULT_SCALE, Scale, materialize
 _SLOTS = 1024
 
 
+def counted(df: DataFrame) -> tuple[int, int]:
+    """Rows of a table and about how many bytes they hold, from one pass."""
+    width = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        width = width + F.coalesce(_bytes(F.col(f"`{f.name}`"), f.dataType), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return rows, int(size or 0)
+
+
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.octet_length(c) + 16
+    if isinstance(kind, T.ArrayType):
+        return 16 + F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(_bytes(x, kind.elementType), F.lit(0)))
+    if isinstance(kind, T.StructType | T.MapType):
+        return F.octet_length(F.to_json(c)) + 16
+    return F.lit(8)
+
+
 def lookup_join(
     df: DataFrame,
     table: DataFrame,
@@ -25,28 +46,26 @@ def lookup_join(
 ) -> DataFrame:
     """Left join of a table that is unique on ``on``.
 
-    The table is broadcast when its counted rows are few. Otherwise, if ``weight`` says how
-    many rows of ``df`` each entry meets, the heavy entries (few by construction) are
-    broadcast and only the other rows are shuffled.
+    The table is broadcast when its counted rows and bytes are few. Otherwise both sides are shuffled with a
+    salt (``salted``): values that meet many rows of ``df`` are spread over several tasks, and so are rows
+    with a null key. ``weight`` says how many rows of ``df`` each entry meets; without it they are counted.
+    ``rows`` is the table's size, if that is known.
     """
     on = list(on)
     extra = [c for c in table.columns if c not in on and c != weight]
-    if rows is None:
-        rows = table.count()
-    if rows <= scale.broadcast_rows:
-        return df.join(F.broadcast(table.select(*on, *extra)), on, "left").select(*df.columns, *extra)
+    plain = table.select(*on, *extra)
+    if rows is None or rows <= scale.broadcast_rows:
+        rows, size = counted(plain)
+        if rows <= scale.broadcast_rows and size <= scale.broadcast_bytes:
+            return df.join(F.broadcast(plain), on, "left").select(*df.columns, *extra)
     if weight is None:
-        return df.join(table.select(*on, *extra), on, "left").select(*df.columns, *extra)
-    total = table.agg(F.sum(weight)).first()[0]
-    limit = max(scale.block_rows, total // scale.max_hot_keys)
-    heavy = table.filter(F.col(weight) > limit).select(*on, *extra)
-    if heavy.isEmpty():
-        return df.join(table.select(*on, *extra), on, "left").select(*df.columns, *extra)
-    heavy = F.broadcast(heavy)
-    hit = df.join(heavy, on).select(*df.columns, *extra)
-    light = table.filter(F.col(weight) <= limit).select(*on, *extra)
-    other = df.join(heavy.select(*on), on, "left_anti").join(light, on, "left").select(*df.columns, *extra)
-    return hit.unionByName(other)
+        hot = key_sizes(df, on, scale).counted
+    else:
+        total = table.agg(F.sum(weight)).first()[0] or 0
+        limit = max(scale.block_rows, total // scale.max_hot_keys)
+        hot = table.filter(F.col(weight) > limit).select(*on, F.col(weight).alias("__n"))  # at most max_hot_keys
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return salted(df, plain, on, hot, spread, scale).select(*df.columns, *extra)
 
 
 def salted_left_join(
@@ -54,28 +73,40 @@ def salted_left_join(
 ) -> DataFrame:
     """Left join on one key whose large groups on the left are dealt over several tasks.
 
-    A key with n rows above the block size gets about n / block_rows salts, and its rows of
-    ``table`` are repeated once per salt; rows without a key are dealt out as well. ``base``
-    is a cheaper table with the same key column, used for counting (``df`` itself if none).
+    ``base`` is a cheaper table with the same key column, used for counting (``df`` itself if none); small
+    tables are broadcast by Spark's own rule.
     """
     sizes = key_sizes(df if base is None else base, [key], scale)
     if sizes.hot is None and sizes.null_rows <= scale.block_rows:
         return df.join(table, key, "left")
-    null_salts = F.lit(max(1, sizes.null_rows // scale.block_rows))
-    left, right = df, table.filter(F.col(key).isNotNull())
-    salts = F.lit(1)
-    if sizes.counted is not None:
-        per_key = F.ceil(F.col("__n") / F.lit(scale.block_rows))
-        hot = F.broadcast(sizes.counted.select(key, per_key.alias("__salts")))
-        left, right = left.join(hot, key, "left"), right.join(hot, key, "left")
-        salts = F.coalesce(F.col("__salts"), F.lit(1))
-        right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return salted(df, table, [key], sizes.counted, max(1, math.ceil(sizes.null_rows / scale.block_rows)), scale)
+
+
+def salted(
+    df: DataFrame, table: DataFrame, on: Sequence[str], hot: DataFrame | None, null_salts: int, scale: Scale
+) -> DataFrame:
+    """Left join in which a key of ``hot`` (on, ``__n`` rows) has a salt for every block of its rows.
+
+    Entries of ``table`` are repeated once per salt. A row's salt comes from its contents and from the input
+    partition it lies in, so that rows equal in every column are spread too; a task that runs
+    again deals its rows alike. Rows with a null key are dealt over ``null_salts``.
+    """
+    absent = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    left, right, salts = df, table, F.lit(1).cast("bigint")
+    for c in on:
+        right = right.filter(F.col(c).isNotNull())
+    if hot is not None:
+        hot = F.broadcast(hot.select(*on, F.ceil(F.col("__n") / F.lit(scale.block_rows)).cast("bigint").alias("__salts")))
+        left, right = left.join(hot, on, "left"), right.join(hot, on, "left")
+        salts = F.coalesce(F.col("__salts"), salts)
+        right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("__salts")
     else:
-        right = right.withColumn("__salt", F.lit(0))
-    dealt = F.pmod(F.xxhash64(*df.columns), F.when(F.col(key).isNull(), null_salts).otherwise(salts))
-    left = left.withColumn("__salt", dealt).drop("__salts")
-    right = right.withColumn("__salt", F.col("__salt").cast("bigint"))
-    return left.join(right, [key, "__salt"], "left").drop("__salt")
+        right = right.withColumn("__salt", F.lit(0).cast("bigint"))
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    dealt = F.xxhash64(F.spark_partition_id(), *plain)
+    salt = F.pmod(dealt, F.when(absent, F.lit(null_salts).cast("bigint")).otherwise(salts))
+    left = left.withColumn("__salt", salt).drop("__salts")
+    return left.join(right, [*on, "__salt"], "left").drop("__salt")
 
 
 def attach_statistics(

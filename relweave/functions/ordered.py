@@ -1,4 +1,4 @@
-"""Ordered functions that stay distributed: prefix scans, row index, lag and rolling frames.
+"""Ordered functions that stay distributed: prefix scans, row index and lag.
 
 A Spark window without a partition key, or with one dominant key, puts all those rows into
 one task. Here the rows to be ordered are cut into blocks first:
@@ -19,12 +19,11 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relweave.session import DEFAULT_SCALE, Scale, materialize
+from relweave.session import DEFAULT_SCALE, Scale
 
 BLOCK = "__block"
 _HOT = "__hot"
@@ -290,112 +289,3 @@ def lag(
     tmp = {f"__p_{n}": Scan("last", F.struct(F.col(c).alias("v")), inclusive=False) for n, c in columns.items()}
     out = prefix_scan(df, order, tmp, key, scale)
     return out.select(*df.columns, *[F.col(f"__p_{n}.v").alias(n) for n in columns])
-
-
-# ----------------------------------------------------------------------------- rolling
-
-_ROLL: dict[str, Callable[[Column], Column]] = {
-    "mean": F.avg,
-    "sum": F.sum,
-    "std": F.stddev_samp,
-    "median": lambda c: F.percentile(c, 0.5),
-    "min": F.min,
-    "max": F.max,
-    "count": F.count,
-}
-
-
-def rolling(
-    df: DataFrame,
-    order: Sequence[str],
-    window: int,
-    aggs: dict[str, tuple[str, str]],
-    key: Sequence[str] = (),
-    min_periods: int | None = None,
-    scale: Scale = DEFAULT_SCALE,
-) -> DataFrame:
-    """Aggregates over the trailing ``window`` rows, the current one included.
-
-    ``aggs`` maps the new column to ``(function, column)``. A value needs ``min_periods``
-    non-null inputs (the window size if not given); a count needs none.
-    """
-    need = window if min_periods is None else min_periods
-    wide = window > scale.frame_rows
-    if key and not wide:
-        sizes = key_sizes(df, list(key), scale)
-        if sizes.hot is None and not sizes.null_rows:
-            return _frame(df, order, window, aggs, list(key), need)
-    indexed = row_index(df, order, "__i", key, 0, scale)
-    rest = indexed.filter(F.col("__i").isNull()) if key else None
-    indexed = indexed.filter(F.col("__i").isNotNull()) if key else indexed
-    if wide and all(fn == "count" for fn, _ in aggs.values()):
-        out = _count_by_difference(indexed, order, window, aggs, list(key), scale)
-    else:
-        out = _halo(indexed, window, aggs, list(key), need, wide, scale)
-    out = out.select(*df.columns, *aggs)
-    if rest is not None:
-        blank = [F.lit(None).cast(out.schema[n].dataType).alias(n) for n in aggs]
-        out = out.unionByName(rest.select(*df.columns, *blank))
-    return out
-
-
-def _frame(df, order, window, aggs, part, need) -> DataFrame:
-    frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(-(window - 1), 0)
-    return df.select("*", *_rolled(frame, aggs, need))
-
-
-def _rolled(frame, aggs, need) -> list[Column]:
-    out = []
-    for name, (fn, col) in aggs.items():
-        value = _ROLL[fn](F.col(col)).over(frame)
-        if fn != "count":
-            value = F.when(F.count(F.col(col)).over(frame) >= need, value).cast("double")
-        out.append(value.alias(name))
-    return out
-
-
-def _halo(indexed, window, aggs, key, need, wide, scale) -> DataFrame:
-    """Blocks of the row index; the last ``window - 1`` rows of a block are copied to the next."""
-    size = max(window, scale.block_rows)
-    home = F.floor(F.col("__i") / size)
-    tail = F.col("__i") % size > size - window
-    spread = indexed.withColumn("__home", home).withColumn(
-        "__blk", F.explode(F.when(tail, F.array("__home", F.col("__home") + 1)).otherwise(F.array("__home")))
-    )
-    part = [*key, "__blk"]
-    if not wide:
-        out = _frame(spread, ["__i"], window, aggs, part, need)
-    else:
-        out = _pandas_rolling(spread, window, aggs, part, need)
-    return out.filter("__blk = __home")
-
-
-def _pandas_rolling(spread, window, aggs, part, need) -> DataFrame:
-    fields = [f for f in spread.schema.fields]
-    fields += [T.StructField(n, T.LongType() if fn == "count" else T.DoubleType()) for n, (fn, _) in aggs.items()]
-
-    def roll(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__i")
-        for name, (fn, col) in aggs.items():
-            if fn == "count":
-                pdf[name] = pdf[col].notna().rolling(window, min_periods=1).sum().astype("int64")
-            else:
-                pdf[name] = getattr(pdf[col].astype("float64").rolling(window, min_periods=need), fn)()
-        return pdf
-
-    return spread.groupBy(*part).applyInPandas(roll, T.StructType(fields))
-
-
-def _count_by_difference(indexed, order, window, aggs, key, scale) -> DataFrame:
-    """Counts over a very wide frame: running count here minus running count a window back.
-
-    The indexed rows are written once: they are the input of both sides of the join.
-    """
-    scans = {f"__r_{n}": Scan("count", F.col(c), skip_null=False) for n, (_, c) in aggs.items()}
-    run = materialize(prefix_scan(indexed, ["__i"], scans, key, scale))
-    back = run.select(
-        *key, (F.col("__i") + window).alias("__i"), *[F.col(f"__r_{n}").alias(f"__b_{n}") for n in aggs]
-    )
-    joined = run.join(back, [*key, "__i"], "left")
-    out = [(F.col(f"__r_{n}") - F.coalesce(F.col(f"__b_{n}"), F.lit(0))).alias(n) for n in aggs]
-    return joined.select("*", *out)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relweave.functions.aggregates import mode_of, modes, quantiles
+from relweave.functions.aggregates import mode_of, modes
+from relweave.functions.selection import quantiles_of
 from relweave.schema import CAT, MULTI, NUM, TIME, columns_of, logical_type
 from relweave.session import DEFAULT_SCALE, Scale
 
@@ -88,7 +89,7 @@ class Cleaner:
         if numeric == "constant":
             fills = {c: NUMERIC_CONSTANT for c in fills}
         elif numeric == "median":
-            fills = {c: quantiles(df.select(c), c, {"q": 0.5}, scale=scale).first()[0] for c in fills}
+            fills = {c: found[0] for c, found in quantiles_of(df, {c: [0.5] for c in fills}).items()}
         elif numeric == "mode":
             found = {c: mode_of(df, c).first()[0] for c in fills}
             fills = {c: None if v is None else float(v) for c, v in found.items()}

@@ -2,15 +2,19 @@
 
 Every draw is a hash of (seed, row id), so it does not depend on partitioning. Exact sample
 sizes need no sort: histograms over hash prefixes find the hash of the n-th smallest row,
-and the sample is the filter "hash not above it", which moves no data.
+and the sample is the filter "hash not above it", which moves no data. Rows with the same id share a
+draw; where a sample ends among them, their contents decide (``choose``).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relweave.functions.aggregates import class_counts
 from relweave.functions.ordered import row_index
@@ -37,9 +41,9 @@ _FEW = 20_000  # rows small enough to look at one by one
 
 
 def draw(seed: int | str, row_id: str | Column = ROW_ID) -> Column:
-    """The draw of a row: a hex string, uniform over rows for any seed."""
+    """The draw of a row: a hex string, uniform over rows for any seed; a null id draws like an empty one."""
     rid = F.col(row_id) if isinstance(row_id, str) else row_id
-    return F.md5(F.concat(F.lit(f"{seed}|"), rid.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(rid.cast("string"), F.lit(""))))
 
 
 def uniform(seed: int | str, row_id: str | Column = ROW_ID) -> Column:
@@ -48,48 +52,104 @@ def uniform(seed: int | str, row_id: str | Column = ROW_ID) -> Column:
     return (whole + F.lit(0.5)) / F.lit(float(16**12))
 
 
-def nth_hash(df: DataFrame, hashed: Column, n: int) -> str | None:
-    """The n-th smallest hash (1-based), or null if there are fewer rows than ``n``.
+def nth(df: DataFrame, key: Column, n: int) -> tuple[str, int, int] | None:
+    """The n-th smallest (1-based) of a column of hex strings, null if there are fewer rows than ``n``.
 
-    Each pass counts the next hex digits within the prefix found so far: 4096 counters, from
-    which the prefix that holds the n-th row follows.
+    Returns the string, how many of the rows that share it are among the n smallest, and how many share
+    it. Each pass counts the next hex digits within the prefix found so far: 4096 counters, from which
+    the prefix that holds the n-th row follows.
     """
-    rows = df.select(hashed.alias("h"))
+    rows = df.select(key.alias("h"))
     prefix, left = "", n
     while True:
         within = rows.filter(F.col("h").startswith(prefix)) if prefix else rows
-        cells = within.groupBy(F.substring("h", len(prefix) + 1, _DIGITS).alias("c")).count().collect()
-        for cell, size in sorted((r["c"], r["count"]) for r in cells):
+        cells = within.groupBy(F.substring("h", len(prefix) + 1, _DIGITS).alias("c"))
+        cells = cells.agg(F.count(F.lit(1)), F.min("h"), F.max("h")).collect()
+        for cell, size, low, high in sorted(cells):
             if left <= size:
                 prefix += cell
                 break
             left -= size
         else:
             return None
-        if not cell:
-            return prefix  # the whole hash is read: many rows share it
+        if low == high:
+            return low, left, size  # many rows share one string
         if size <= _FEW:
-            found = rows.filter(F.col("h").startswith(prefix)).sort("h").collect()
-            return found[left - 1]["h"]
+            found = sorted(r["h"] for r in rows.filter(F.col("h").startswith(prefix)).collect())
+            value = found[left - 1]
+            return value, left - found.index(value), found.count(value)
 
 
-def smallest(df: DataFrame, hashed: Column, n: int) -> DataFrame:
-    """Exactly the ``n`` rows with the smallest hashes (all rows if there are fewer).
+@dataclass(frozen=True)
+class Cut:
+    """The last of some number of rows in the order of (draw, contents).
+
+    ``contents`` is null where the rows up to the draw are all taken. Rows equal in both are equal in every
+    column, so it only matters how many of them are taken."""
+
+    draw: str
+    contents: str | None = None
+    taken: int = 1
+    equal: int = 1
+
+
+def contents(df: DataFrame) -> Column:
+    """A hex string of all columns of a row: rows that differ have other strings, whatever their ids."""
+    cells = [F.col(f"`{f.name}`") for f in df.schema.fields]
+    plain = [c for c, f in zip(cells, df.schema.fields, strict=True) if not isinstance(f.dataType, T.MapType)]
+    number = F.xxhash64(*plain, *[c.isNull() for c in cells])
+    text = F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
+    return F.concat(F.lpad(F.lower(F.hex(number)), 16, "0"), F.md5(text))
+
 
-    Rows that repeat an id share its hash: as many of the last ones are taken as are missing. A row
-    without an id is drawn like one with an empty id.
+def find_cut(df: DataFrame, hashed: Column, n: int) -> Cut | None:
+    """Where the ``n`` smallest rows end; null if that is all of them."""
+    found = nth(df, hashed, n)
+    if found is None:
+        return None
+    value, taken, tied = found
+    if taken == tied:
+        return Cut(value)
+    return Cut(value, *nth(df.filter(hashed == value), contents(df), taken))
+
+
+def choose(df: DataFrame, hashed: Column, sizes: Sequence[tuple[Column, int]], name: str) -> DataFrame:
+    """Mark exactly ``n`` rows of every disjoint part ``(condition, n)``: those with the smallest hashes.
+
+    Rows that share a hash (repeated ids, null ids) are taken in the order of their contents, and of rows
+    that are equal in every column the wanted number is marked. So the sizes are exact, the marked rows are
+    the same under any partitioning, and they and the others make up the table. Where no equal
+    rows have to be told apart, the mark is an expression over the row.
     """
-    if n <= 0:
-        return df.limit(0)
-    hashed = F.coalesce(hashed, F.md5(F.lit(b"")))
-    cut = nth_hash(df, hashed, n)
-    if cut is None:
-        return df
-    inside = df.filter(hashed <= cut)
-    if inside.count() == n:
-        return inside
-    below = df.filter(hashed < cut)
-    return below.unionByName(df.filter(hashed == cut).limit(n - below.count()))
+    marked, apart, shared = F.lit(False), F.lit(False), []
+    for part, n in sizes:
+        part = F.coalesce(part, F.lit(False))
+        if n <= 0:
+            continue
+        cut = find_cut(df.filter(part), hashed, n)
+        if cut is None:
+            marked = marked | part
+        elif cut.contents is None:
+            marked = marked | (part & (hashed <= cut.draw))
+        else:
+            level = contents(df)
+            marked = marked | (part & ((hashed < cut.draw) | ((hashed == cut.draw) & (level <= cut.contents))))
+            if cut.taken < cut.equal:
+                same = part & (hashed == cut.draw) & (level == cut.contents)
+                apart = apart | same
+                shared.append((same, cut))
+    if not shared:
+        return df.withColumn(name, marked)
+    out = df.filter(~apart).withColumn(name, marked)
+    for same, cut in shared:
+        copies = _repeat(df.filter(same).limit(1), F.lit(cut.equal).cast("bigint"), "__copy")
+        out = out.unionByName(copies.withColumn(name, F.col("__copy") < cut.taken).drop("__copy"))
+    return out
+
+
+def smallest(df: DataFrame, hashed: Column, n: int) -> DataFrame:
+    """Exactly the ``n`` rows with the smallest hashes (all rows if there are fewer)."""
+    return choose(df, hashed, [(F.lit(True), n)], "__in").filter("__in").drop("__in")
 
 
 # --------------------------------------------------------------------------- samples
@@ -101,7 +161,7 @@ def simple_sample(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = 0, row_id: st
 
 
 def cap_rows(df: DataFrame, n: int = MAX_ROWS, seed: int = 0, row_id: str = ROW_ID) -> DataFrame:
-    """Bound a training table to a number of rows before the expensive steps."""
+    """Bound the rows that a model is fitted on; rows to be scored are never cut."""
     return simple_sample(df, n, seed, row_id)
 
 
@@ -140,26 +200,20 @@ def balanced_sample(df: DataFrame, n: int, label: str = LABEL, seed: int = 0, ro
 def per_class_sample(
     df: DataFrame, sizes: dict, label: str = LABEL, seed: int = 0, row_id: str = ROW_ID
 ) -> DataFrame:
-    """Exactly ``sizes[c]`` random rows of each class c; one filter over the table."""
-    hashed, keep = draw(seed, row_id), F.lit(False)
-    for c, n in sizes.items():
-        if n <= 0:
-            continue
-        cut = nth_hash(df.filter(F.col(label) == c), hashed, n)
-        here = F.col(label) == c
-        keep = keep | (here if cut is None else here & (hashed <= cut))
-    return df.filter(keep)
+    """Exactly ``sizes[c]`` random rows of each class c (all of a smaller class)."""
+    parts = [(F.col(label).eqNullSafe(c), n) for c, n in sizes.items()]
+    return choose(df, draw(seed, row_id), parts, "__in").filter("__in").drop("__in")
 
 
 def stratified_sample(
     df: DataFrame, n: int = SAMPLE_ROWS, label: str = LABEL, seed: int = 0, row_id: str = ROW_ID
 ) -> DataFrame:
-    """Exactly n rows that keep the class shares; the positives are rounded up."""
+    """Exactly n rows that keep the class shares; the positives are rounded up. Rows without a label take no part."""
     sizes = class_counts(df, label)
-    total = sum(sizes.values())
+    total = sizes.get(0, 0) + sizes.get(1, 0)
     if total <= n:
-        return df
-    ones = math.ceil(sizes.get(1, 0) * n / total)
+        return df.filter(F.col(label).isNotNull())
+    ones = -(-sizes.get(1, 0) * n // total)
     return per_class_sample(df, {1: ones, 0: n - ones}, label, seed, row_id)
 
 
@@ -196,11 +250,9 @@ def balance_up(
     if not few:
         return df.withColumn(copy, F.lit(0))
     whole, extra = divmod(many, few)
-    hashed = draw(f"{seed}|up", row_id)
-    minority = df.filter(F.col(label) == minor)
-    cut = nth_hash(minority, hashed, extra) if extra else None
-    copies = F.lit(whole) if cut is None else F.lit(whole) + (hashed <= cut).cast("int")
-    repeated = _repeat(minority, copies.cast("bigint"), copy)
+    minority = choose(df.filter(F.col(label) == minor), draw(f"{seed}|up", row_id), [(F.lit(True), extra)], "__more")
+    copies = F.lit(whole).cast("bigint") + F.col("__more").cast("int")
+    repeated = _repeat(minority, copies, copy).drop("__more")
     both = df.filter(F.col(label) == major).withColumn(copy, F.lit(0)).unionByName(repeated)
     pick = draw(f"{seed}|half", F.concat_ws("-", F.col(row_id).cast("string"), F.col(copy).cast("string")))
     return smallest(both, pick, int((few + many) * 0.5))
@@ -257,19 +309,12 @@ def split(
     row_id: str = ROW_ID,
     name: str = "is_valid",
 ) -> DataFrame:
-    """Mark the validation rows; with a label, the share holds exactly within each class."""
-    hashed = draw(seed, row_id)
+    """Mark the validation rows; with a label, the share holds exactly within each class, null being one."""
     if label is None:
-        n = int(math.ceil(df.count() * share))
-        cut = nth_hash(df, hashed, n)
-        return df.withColumn(name, F.lit(True) if cut is None else hashed <= cut)
-    marked = F.lit(False)
-    for c, n in class_counts(df, label).items():
-        take = round(n * share)
-        if take:
-            cut = nth_hash(df.filter(F.col(label) == c), hashed, take)
-            marked = marked | ((F.col(label) == c) & (hashed <= cut))
-    return df.withColumn(name, marked)
+        parts = [(F.lit(True), math.ceil(df.count() * share))]
+    else:
+        parts = [(F.col(label).eqNullSafe(c), round(n * share)) for c, n in class_counts(df, label).items()]
+    return choose(df, draw(seed, row_id), parts, name)
 
 
 def folds(

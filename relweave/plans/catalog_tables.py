@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.functions import aggregates as A
-from relweave.functions.ordered import rolling, row_index
+from relweave.functions.ordered import row_index
+from relweave.functions.rolling import rolling
 from relweave.functions.scalars import domains_intersect, epoch_millis_to_timestamp
 from relweave.operators import clean as C
 from relweave.operators.encode import align_to_schema
@@ -163,6 +164,17 @@ def temporal_rolling_stream_partial(spark, sf):
     return _rolled(spark, sf, min_periods=1)
 
 
+# Means of hundreds of amounts in cents often lie just between two rounded numbers; scaled by this, none does.
+_ROOT = 1.4142135623730951
+
+
+@query("temporal_rolling_wide", _rolling_sql("", "999", False).replace("t_01, 1, c_type, n_value", f"t_01, 1, c_type, n_value * {_ROOT}e0"))
+def temporal_rolling_wide(spark, sf):
+    u, v = _buys_and_views(spark, sf)
+    v = v.withColumn("n_value", F.col("n_value") * _ROOT)
+    return tidy(rolling_join(u, v, "view", "c_user", "t_01", v_order=["row_id"], window=1_000, min_periods=1).drop("t_01"), 4)
+
+
 @query(
     "hash_bucket_rolling",
     _rolling_sql(
@@ -185,6 +197,19 @@ def rolling_keyed(spark, sf):
     return tidy(out.drop("t_01", "n_value"), 4)
 
 
+@query(
+    "rolling_wide_keyed",
+    f"""select row_id, c_type, {", ".join(rnd(f"{f}(n_value * {_ROOT}e0) over w", n, 4) for n, f in
+        (("mean", "avg"), ("std", "stddev_samp"), ("median", "median"), ("low", "min")))}, count(n_value) over w as n
+    from {EVENTS} window w as (partition by c_type order by t_01, row_id rows between 299 preceding and current row)""",
+)
+def rolling_wide_keyed(spark, sf):
+    e = I.events(spark, sf).select("row_id", "c_type", "t_01", (F.col("n_value") * _ROOT).alias("n_value"))
+    aggs = {"mean": ("mean", "n_value"), "std": ("std", "n_value"), "median": ("median", "n_value"), "low": ("min", "n_value")}
+    out = rolling(e, ["t_01", "row_id"], 300, {**aggs, "n": ("count", "n_value")}, ["c_type"], 1)
+    return tidy(out.drop("t_01", "n_value"), 4)
+
+
 @query(
     "tagged_union",
     f"""select row_id, c_user, c_type, {rnd("n_value", "n_value")}, {millis("t_01")} as t_01, 'u' as side from {EVENTS} where label = 1

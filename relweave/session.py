@@ -17,9 +17,8 @@ class Scale:
 
     ``block_rows`` is the number of rows one task may order on its own. A key (or a whole
     table) that holds more is cut into blocks. ``max_blocks`` bounds the per-block tables
-    and the list of block bounds; ``broadcast_rows`` is the largest counted side that may
-    be broadcast; ``frame_rows`` is the widest rolling frame left to Spark's own sliding
-    frame, which costs its width per row.
+    and the list of block bounds; ``broadcast_rows`` and ``broadcast_bytes`` bound a counted
+    side that may be broadcast.
     """
 
     block_rows: int = 1_000_000
@@ -27,7 +26,7 @@ class Scale:
     max_hot_keys: int = 100_000
     oversample: int = 32
     broadcast_rows: int = 200_000
-    frame_rows: int = 256
+    broadcast_bytes: int = 64_000_000
 
 
 DEFAULT_SCALE = Scale()

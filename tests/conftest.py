@@ -18,7 +18,7 @@ def spark():
 @pytest.fixture(scope="session")
 def tiny():
     """Limits so small that every splitting path runs on a few hundred rows."""
-    return Scale(block_rows=40, oversample=8, broadcast_rows=10, frame_rows=8)
+    return Scale(block_rows=40, oversample=8, broadcast_rows=10)
 
 
 @pytest.fixture(scope="session")

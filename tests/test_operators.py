@@ -2,15 +2,18 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from relweave import DatasetConfig, Relation, RelationalDataset
+from relweave import DatasetConfig, Relation, RelationalDataset, Scale
 from relweave.functions import aggregates as A
 from relweave.functions import scalars as S
-from relweave.functions.lookup import lookup_join, salted_left_join, small_map
-from relweave.functions.ordered import rolling
+from relweave.functions.lookup import counted, lookup_join, salted, salted_left_join, small_map
+from relweave.functions.ordered import key_sizes
+from relweave.functions.rolling import rolling
+from relweave.functions.selection import quantiles_of
 from relweave.operators import clean as C
 from relweave.operators import encode as E
 from relweave.operators import generate as G
@@ -68,6 +71,44 @@ def test_quantiles_equal_numpy(skewed, tiny):
     assert by.round(9).tolist() == want.round(9).tolist()
 
 
+def test_quantiles_by_narrowing(spark):
+    rows = [(None if i % 50 == 0 else 3.0 if i % 3 else math.tan(i), float(i) ** 7 * (-1) ** i, None, float("nan") if i % 2 else 1.0) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    shares = [0.0, 0.1, 0.333, 0.5, 0.75, 1.0]
+    got = quantiles_of(df, {c: shares for c in "abcd"}, few=3)  # several rounds
+    for i, c in enumerate("ab"):
+        values = [r[i] for r in rows if r[i] is not None]
+        assert got[c] == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+    assert got["c"] == [None] * 6 and got["d"][:3] == [1.0] * 3 and math.isnan(got["d"][4])
+    assert quantiles_of(df.limit(0), {"a": [0.5]}) == {"a": [None]} and quantiles_of(df, {}) == {}
+
+
+def test_lookup_join_spreads_equal_rows_and_null_keys(spark, tiny):
+    rows = [("hot", 1)] * 2_000 + [(None, 2)] * 500 + [(f"k{i % 90}", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "c_k string, x int").repartition(8)
+    table = df.filter("c_k is not null").groupBy("c_k").agg(F.max("x").alias("hi"), F.count("*").alias("n"))
+    want = sorted(df.join(table.drop("n"), "c_k", "left").select("c_k", "x", "hi").collect(), key=str)
+    for weight, known in (("n", table), (None, table.drop("n"))):
+        got = lookup_join(df, known, ["c_k"], weight=weight, scale=tiny)
+        assert sorted(got.collect(), key=str) == want
+    sizes = key_sizes(df, ["c_k"], tiny)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would put these few rows into one task
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = salted(df, table.drop("n"), ["c_k"], sizes.counted, 4, tiny)
+        places = dealt.filter("c_k = 'hot' or c_k is null").select("c_k", F.spark_partition_id().alias("p")).distinct()
+        places = {r["c_k"]: r["count"] for r in places.groupBy("c_k").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(places) == {"hot", None} and min(places.values()) > 1
+    wide = spark.createDataFrame([(f"k{i}", "x" * 1_000) for i in range(5)], "c_k string, s string")
+    assert counted(wide)[0] == 5 and 5_000 < counted(wide)[1] < 6_000
+    small = Scale(broadcast_bytes=1_000)
+    plan = lookup_join(df, wide, ["c_k"], scale=small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan and "__salt" in plan
+
+
 def test_modes_take_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "x"), ("a", "y"), ("b", None)], "c_1 string, c_2 string")
     assert A.modes(df, ["c_1", "c_2"]) == {"c_1": "a", "c_2": "x"}
