@@ -1,123 +1,119 @@
 """Exact order statistics of whole columns, found by narrowing: no sort, no shuffle of rows, no written copy.
 
-One pass gives the size of a column and a grid of approximate quantiles (a sketch of bounded size that
-executors merge). Two neighbours in the grid enclose the wanted rank, nearly always; the next pass counts
-the values below, at and between them, which is exact, and makes a finer grid of the values between. A pass
-narrows the search about five-hundredfold; what is left is collected once it is small. All wanted
-ranks of all columns share every pass.
+A first pass counts the values of each column by a key that keeps their order: sign, binary exponent and the
+leading part of the fraction. Each cell comes back with its count and its least and greatest value, so
+the cell that holds a wanted rank is known exactly. The next pass cuts that cell's range into equal
+steps and counts again, and so on; a cell of a single value is an answer, a small one is collected. A pass
+narrows the range about two-thousandfold, so even columns of any size and shape take a handful of
+passes over one or few columns. All wanted ranks of all columns share every pass.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_GRID = 512
-_ACCURACY = 4 * _GRID
-#: Values of one rank's interval that are looked at one by one.
+#: Cells per power of two in the first pass, steps of a range in the later ones.
+_LEADING, _STEPS = 32, 2_048
+#: Values of a cell that are looked at one by one.
 FEW = 5_000
 
+_Cell = tuple[str, float, float]  # column, least and greatest value
 
-@dataclass
-class _Hunt:
-    """The search for one rank: it lies among the ``size`` values strictly between ``low`` and ``high``, of
-    which ``below`` values of the column are not above ``low``; null bounds are open."""
-
-    column: str
-    rank: int
-    size: int
-    grid: list[float]
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    answer: float | None = None
-    tries: tuple = field(default=(None, None))
-
-    def inside(self, value: Column, low: float | None, high: float | None) -> Column:
-        out = value.isNotNull()
-        if low is not None:
-            out = out & (value > F.lit(low))
-        if high is not None:
-            out = out & (value < F.lit(high))
-        return out
-
-    def aim(self) -> None:
-        """Two values of the grid around the rank; none where the grid is yet to be made."""
-        at = (self.rank - self.below) / self.size * _GRID
-        a, b = math.floor(at) - 1, math.ceil(at) + 1
-        grid = self.grid
-        self.tries = (grid[a - 1] if 1 <= a <= len(grid) else None, grid[b - 1] if 1 <= b <= len(grid) else None)
-
-    def questions(self) -> list[Column]:
-        """How many values are below, at and between the two and at the second, and a grid of those between."""
-        v, (a, b) = F.col(self.column).cast("double"), self.tries
-        between = self.inside(v, self.low if a is None else a, self.high if b is None else b)
-        under = F.lit(0) if a is None else F.count_if(self.inside(v, self.low, a))
-        at_a = F.lit(0) if a is None else F.count_if(v == F.lit(a))
-        at_b = F.lit(0) if b is None or b == a else F.count_if(v == F.lit(b))
-        return [under, at_a, F.count_if(between), at_b, _sketch(F.when(between, v))]
-
-    def narrow(self, under: int, at_a: int, between: int, at_b: int, grid: list[float] | None) -> None:
-        (a, b), place = self.tries, self.rank - self.below
-        if place < under:
-            self.high, self.size, self.grid = a, under, []
-        elif place < under + at_a:
-            self.answer = a
-        elif place < under + at_a + between:
-            self.low, self.high = self.low if a is None else a, self.high if b is None else b
-            self.below, self.size, self.grid = self.below + under + at_a, between, grid
-        elif place < under + at_a + between + at_b:
-            self.answer = b
-        else:
-            done = under + at_a + between + at_b
-            self.low, self.below, self.size, self.grid = b, self.below + done, self.size - done, []
+
+def _leading(v: Column) -> Column:
+    """A whole number that never falls as the value rises; NaN is the greatest value."""
+    size = F.floor(F.log2(F.abs(v)) * _LEADING) + 40_000
+    ends = F.when(F.isnan(v), 1_000_000).when(v == F.lit(math.inf), 900_000).when(v == F.lit(-math.inf), -900_000).when(v == 0, 0)
+    return ends.when(v > 0, size).otherwise(-size).cast("int")
+
+
+def _step(v: Column, low: float, high: float) -> Column:
+    return F.floor((v - F.lit(low)) / F.lit(high - low) * _STEPS).cast("int")
+
+
+def _order(value: float) -> tuple:
+    return (value != value, value)
 
 
-def _sketch(value: Column) -> Column:
-    return F.percentile_approx(value, [(i + 1) / _GRID for i in range(_GRID)], _ACCURACY)
+def _find(cells: Sequence[tuple[int, float, float]], place: int) -> tuple[int, int, float, float]:
+    """(values before the cell, its size, its least and greatest value) of the cell that holds a place."""
+    before = 0
+    for size, low, high in sorted(cells, key=lambda c: _order(c[1])):
+        if place < before + size:
+            return before, size, low, high
+        before += size
+    raise AssertionError("a place beyond the last value")
+
+
+def _gather(rows: DataFrame) -> dict[int, list[tuple[int, float, float]]]:
+    """Count, least and greatest value of every (i, cell)."""
+    found: dict[int, list] = {}
+    for r in rows.groupBy("i", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+        found.setdefault(r["i"], []).append((r["n"], r["low"], r["high"]))
+    return found
+
+
+def _inside(df: DataFrame, cells: Sequence[_Cell], make) -> DataFrame:
+    """(i, ...) for every value in one of the cells; ``make`` gives the other fields."""
+    hits = []
+    for i, (column, low, high) in enumerate(cells):
+        v = F.col(column).cast("double")
+        hits.append((v.between(F.lit(low), F.lit(high)), F.struct(F.lit(i).alias("i"), *make(v, low, high))))
+    if len(hits) == 1:
+        return df.filter(hits[0][0]).select(hits[0][1].alias("e")).select("e.*")
+    some = hits[0][0]
+    for hit, _ in hits[1:]:
+        some = some | hit
+    each = F.array_compact(F.array(*[F.when(hit, fields) for hit, fields in hits]))
+    return df.filter(some).select(F.explode(each).alias("e")).select("e.*")
 
 
 def at_ranks(df: DataFrame, wanted: dict[str, Sequence[float]], few: int = FEW) -> dict[str, list[tuple[float, float, float] | None]]:
     """For shares of every column: the values at the ranks around share x (n - 1), and the part between them.
 
-    Ranks are over the non-null values, NaN being the greatest; null for a column without values.
+    Ranks are over the non-null values; null for a column without values.
     """
     columns = list(wanted)
     if not columns:
         return {}
-    first = df.agg(*[x for c in columns for x in (F.count(c), _sketch(F.col(c).cast("double")))]).first()
-    hunts: dict[tuple[str, int], _Hunt] = {}
-    sizes = {}
+    values = [F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
+    long = df.select((F.explode(F.array(*values)) if len(values) > 1 else values[0]).alias("e")).select("e.*")
+    first = _gather(long.filter("v is not null").withColumn("cell", _leading(F.col("v"))))
+    sizes = {c: sum(x[0] for x in first.get(i, [])) for i, c in enumerate(columns)}
+    at = {c: [(sizes[c] - 1) * share for share in wanted[c]] if sizes[c] else [] for c in columns}
+    answer: dict[tuple[str, int], float] = {}
+    left: dict[tuple[str, int], tuple[int, _Cell, int]] = {}  # (column, rank): values before its cell, the cell, its size
+
+    def place(key: tuple[str, int], below: int, cells: Sequence[tuple[int, float, float]]) -> None:
+        column, rank = key
+        before, size, low, high = _find(cells, rank - below)
+        if low == high or low != low:
+            answer[key] = low
+            left.pop(key, None)
+        else:
+            left[key] = (below + before, (column, low, high), size)
+
     for i, c in enumerate(columns):
-        n, grid = first[2 * i], first[2 * i + 1]
-        sizes[c] = n
-        for share in wanted[c] if n else ():
-            at = (n - 1) * share
-            for rank in (math.floor(at), math.ceil(at)):
-                hunts.setdefault((c, rank), _Hunt(c, rank, n, grid))
-    while open_ := [h for h in hunts.values() if h.answer is None and h.size > few]:
-        for h in open_:
-            h.aim()
-        row = df.agg(*[x for h in open_ for x in h.questions()]).first()  # Spark computes equal questions once
-        for i, h in enumerate(open_):
-            h.narrow(*row[5 * i : 5 * i + 5])
-    left = [h for h in hunts.values() if h.answer is None]
-    if left:
-        cells = [F.when(h.inside(F.col(h.column).cast("double"), h.low, h.high), F.struct(F.lit(i).alias("i"), F.col(h.column).cast("double").alias("v"))) for i, h in enumerate(left)]
+        for x in at[c]:
+            for rank in {math.floor(x), math.ceil(x)}:
+                place((c, rank), 0, first[i])
+    while large := list(dict.fromkeys(cell for _, cell, size in left.values() if size > few)):
+        counted = _gather(_inside(df, large, lambda v, low, high: (_step(v, low, high).alias("cell"), v.alias("v"))))
+        for key, (below, cell, _) in list(left.items()):
+            if cell in large:
+                place(key, below, counted[large.index(cell)])
+    small = list(dict.fromkeys(cell for _, cell, _ in left.values()))
+    if small:
         found: dict[int, list[float]] = {}
-        for r in df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*").collect():  # at most ``few`` a rank
+        for r in _inside(df, small, lambda v, low, high: (v.alias("v"),)).collect():  # at most ``few`` values a cell
             found.setdefault(r["i"], []).append(r["v"])
-        for i, h in enumerate(left):
-            h.answer = sorted(found[i], key=lambda v: (v != v, v))[h.rank - h.below]
-    out: dict[str, list] = {}
-    for c in columns:
-        at = [(sizes[c] - 1) * share for share in wanted[c]]
-        out[c] = [(hunts[c, math.floor(x)].answer, hunts[c, math.ceil(x)].answer, x - math.floor(x)) if sizes[c] else None for x in at]
-    return out
+        for key, (below, cell, _) in left.items():
+            answer[key] = sorted(found[small.index(cell)])[key[1] - below]
+    return {c: [(answer[c, math.floor(x)], answer[c, math.ceil(x)], x - math.floor(x)) for x in at[c]] or [None] * len(wanted[c]) for c in columns}
 
 
 def quantiles_of(df: DataFrame, wanted: dict[str, Sequence[float]], few: int = FEW) -> dict[str, list[float | None]]:
