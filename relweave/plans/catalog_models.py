@@ -80,6 +80,16 @@ def drop_outliers(spark, sf):
     return R.drop_outliers(lines, _NUMS, trees=20)
 
 
+@query("outlier_share", "select count(*) - floor(0.15 * count(*))::bigint as kept, floor(0.15 * count(*))::bigint as dropped from lineitem")
+def outlier_share(spark, sf):
+    """How many lines stay and go when 15 % are to go."""
+    lines = _lines(spark, sf).select("row_id", "label", *_NUMS)
+    kept = R.drop_outliers(lines, _NUMS, share=0.15)
+    counts = kept.select(F.lit(1).alias("k")).unionByName(lines.select(F.lit(0).alias("k")))
+    n = F.count_if(F.col("k") == 1)
+    return counts.agg(n.alias("kept"), (F.count_if(F.col("k") == 0) - n).alias("dropped"))
+
+
 def _coded(spark, sf):
     e = I.events(spark, sf)
     cats = CategoryEncoder.fit(e, ["c_user", "c_type"])

@@ -8,6 +8,7 @@ from relweave.functions import aggregates as A
 from relweave.functions.scalars import log_ratio_score
 from relweave.operators import sampling as P
 from relweave.operators import selection as L
+from relweave.operators.skyline import choose_rows, skyline
 from relweave.plans import ensemble as M
 from relweave.plans import inputs as I
 from relweave.plans.catalog import EVENTS, LINES, PARTS, millis, query, rnd, tidy
@@ -41,6 +42,11 @@ def cap_rows(spark, sf):
     return tidy(P.cap_rows(_labelled(spark, sf)))
 
 
+@query("cap_rows_bound", f"{_E}, r as (select * from e order by h limit 1000) {_PICK}")
+def cap_rows_bound(spark, sf):
+    return tidy(P.cap_rows(_labelled(spark, sf), 1_000))
+
+
 @query(
     "weighted_sample",
     f"""{_E}, w as (select e.*, -ln({_U.format(seed=0)}) / (case when label = 1 then n.n - n.p else n.p end) as k from e, n),
@@ -301,6 +307,25 @@ def info_gain(spark, sf):
     return tidy(L.gain_ranking(_lines(spark, sf), _NUMS, "label"), 8)
 
 
+@query(
+    "chi_select",
+    f"""with l as {_LAB}, m as (select label, """
+    + ", ".join(f"(n.{c} - lo.{c}) / (hi.{c} - lo.{c}) as {c}" for c in _NUMS)
+    + " from l n, (select " + ", ".join(f"min({c}) as {c}" for c in _NUMS) + " from l) lo, (select "
+    + ", ".join(f"max({c}) as {c}" for c in _NUMS) + " from l) hi), s as ("
+    + " union all ".join(
+        f"""select {i} as place, '{c}' as feature, sum((o - e) * (o - e) / e) as score from (
+      select sum({c}) as o, (select sum({c}) from m) * count(*) / (select count(*) from m) as e from m group by label)"""
+        for i, c in enumerate(_NUMS)
+    )
+    + ") select place, feature from s qualify row_number() over (order by score desc, feature) <= 3",
+)
+def chi_select(spark, sf):
+    """The three features of largest chi-square after min-max scaling."""
+    names = L.select_features(_lines(spark, sf), _NUMS, "chi")
+    return spark.createDataFrame([(_NUMS.index(f), f) for f in names], "place long, feature string")
+
+
 @query(
     "correlation_select",
     f"""with l as {_LAB}, s as ("""
@@ -397,6 +422,40 @@ def pareto_trials(spark, sf):
     return tidy(M.pareto_front(s, "cost", "volume"), 4)
 
 
+_PART_GOALS = f"""s as (select c_part, avg(n_price) as cost, -sum(n_qty) as volume, avg(n_tax) as tax from {LINES} group by 1),
+      f as (select * from s where not exists (select 1 from s o where o.cost <= s.cost and o.volume <= s.volume and o.tax <= s.tax
+        and (o.cost < s.cost or o.volume < s.volume or o.tax < s.tax)))"""
+
+
+def _part_goals(spark, sf):
+    goals = [F.avg("n_price").alias("cost"), (-F.sum("n_qty")).alias("volume"), F.avg("n_tax").alias("tax")]
+    return I.order_lines(spark, sf).groupBy("c_part").agg(*goals)
+
+
+@query("pareto_three", f"with {_PART_GOALS} select c_part, {rnd('cost', 'cost', 4)}, {rnd('volume', 'volume', 4)}, {rnd('tax', 'tax')} from f")
+def pareto_three(spark, sf):
+    """Parts that are cheap, sell much and are taxed little: no other part is better in all three."""
+    out = tidy(skyline(_part_goals(spark, sf), ["cost", "volume", "tax"]), 6)
+    return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("cost", "volume")})
+
+
+def _gap_sql(goal: str) -> str:
+    order = f"over (order by {goal}, c_part)"
+    return f"""case when lag({goal}) {order} is null or lead({goal}) {order} is null then 'infinity'::double
+        else (lead({goal}) {order} - lag({goal}) {order}) / (max({goal}) over () - min({goal}) over ()) end"""
+
+
+@query(
+    "pareto_choice",
+    f"""with {_PART_GOALS}, g as (select c_part, {_gap_sql("cost")} + {_gap_sql("volume")} + {_gap_sql("tax")} as spread from f),
+      r as (select c_part, row_number() over (order by spread desc, c_part) - 1 as place from g)
+    select c_part, place from r where place < 12""",
+)
+def pareto_choice(spark, sf):
+    """Twelve parts of the front of three objectives, spread over it as widely as possible."""
+    return choose_rows(_part_goals(spark, sf), 12, ["cost", "volume", "tax"], "c_part").select("c_part", "place")
+
+
 @query("nsga_choice")
 def nsga_choice(spark, sf):
     """Two of the three scorings, by non-dominated sorting on loss and agreement."""

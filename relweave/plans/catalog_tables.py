@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from relweave.functions import aggregates as A
@@ -11,7 +13,7 @@ from relweave.functions.scalars import domains_intersect, epoch_millis_to_timest
 from relweave.operators import clean as C
 from relweave.operators.encode import align_to_schema
 from relweave.operators.merge import MergeOptions, bind_columns, merge_tables, to_many_join, to_one_join
-from relweave.operators.temporal import as_of_join, rolling_join, tagged_union
+from relweave.operators.temporal import as_of_join, as_of_joins, rolling_join, tagged_union
 from relweave.plans import inputs as I
 from relweave.plans.catalog import (
     CUSTOMERS,
@@ -27,7 +29,8 @@ from relweave.plans.catalog import (
     tidy,
 )
 from relweave.schema import columns_of, keep_columns
-from relweave.sources.tables import attach_label
+from relweave.session import shared_dir
+from relweave.sources.tables import attach_label, read_main, read_table, with_file_order, write_predictions, write_table
 
 # ------------------------------------------------------------------------------ merging
 
@@ -126,6 +129,26 @@ def asof_tolerance(spark, sf):
     return tidy(j.select("row_id", "row_view__row_id", "n_view__n_value"))
 
 
+_SIDES = ("view", "click", "error")
+
+
+@query(
+    "asof_join_three",
+    f"""with e as {EVENTS}, u as {_BUYS} select u.row_id, u.c_user, {millis("u.t_01")} as t_01, """
+    + ", ".join(f"{s}.row_id as row_{s}__row_id, {millis(f'{s}.t_01')} as t_{s}__t_01, {rnd(f'{s}.n_value', f'n_{s}__n_value')}" for s in _SIDES)
+    + " from u "
+    + " ".join(
+        f"left join (select u.row_id as uid, v.* from u asof join (select * from e where c_type = '{s}') v on u.c_user = v.c_user and u.t_01 > v.t_01) {s} on {s}.uid = u.row_id"
+        for s in _SIDES
+    ),
+)
+def asof_three(spark, sf):
+    e = I.events(spark, sf)
+    u = e.filter("c_type = 'purchase'").select("row_id", "c_user", "t_01")
+    sides = {s: e.filter(F.col("c_type") == s).select("row_id", "c_user", "t_01", "n_value") for s in _SIDES}
+    return tidy(as_of_joins(u, sides, "c_user", "t_01", orders={s: ["row_id"] for s in _SIDES}))
+
+
 def _rolling_sql(partition: str, window: str, literal: bool) -> str:
     frame = f"over ({partition} order by t_01, side, row_id rows between {window} preceding and current row)"
     items = []
@@ -589,3 +612,52 @@ def merge_depth_two(spark, sf):
     }
     out = merge_tables(RelationalDataset(tables, config), _MERGED)
     return out.select("row_id", F.col("c_cust__c_nation__c_nname"))
+
+
+# ------------------------------------------------------------------------ files and back
+
+_ORDER_TYPES = {"c_order": "cat", "n_total": "num", "m_parts": "multi-cat", "t_01": "time"}
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/files/{uuid.uuid4().hex}"
+
+
+def _orders_with_parts(spark, sf):
+    """Orders with the parts of their lines as a set, null for orders without lines."""
+    parts = I.order_lines(spark, sf).groupBy("c_order").agg(F.sort_array(F.collect_list("c_part")).alias("m_parts"))
+    return I.main_orders(spark, sf).join(parts, "c_order", "left").select("row_id", *_ORDER_TYPES)
+
+
+@query(
+    "read_typed_table",
+    f"""with p as (select c_order, string_agg(c_part, '|' order by c_part) as m_parts from {LINES} group by 1)
+    select o.c_order, {rnd("n_total", "n_total")}, m_parts, {millis("t_01")} as t_01 from {ORDERS} o left join p using (c_order)""",
+)
+def read_typed_table(spark, sf):
+    """Orders written as tab-separated text and read in their declared types."""
+    path = _folder(spark)
+    write_table(_orders_with_parts(spark, sf), path, _ORDER_TYPES)
+    return tidy(read_table(spark, path, _ORDER_TYPES).withColumn("m_parts", F.array_join("m_parts", "|")))
+
+
+@query(
+    "read_main_in_file_order",
+    f"select row_number() over (order by row_id) - 1 as row_id, c_order, {rnd('n_total', 'n_total')}, {millis('t_01')} as t_01 from {ORDERS}",
+)
+def read_main_in_file_order(spark, sf):
+    """A main table without a key: its rows are numbered as they stand in the files."""
+    types = {c: t for c, t in _ORDER_TYPES.items() if c != "m_parts"}
+    path = _folder(spark)
+    write_table(I.main_orders(spark, sf).orderBy("row_id"), path, types)
+    return tidy(read_main(spark, path, types))
+
+
+@query("write_predictions", f"select row_number() over (order by row_id) - 1 as row_id, {rnd('n_total / 1000000', 'label', 9)} from {ORDERS}")
+def predictions(spark, sf):
+    """Scores written in row order, read back and numbered as they stand in the files."""
+    path = _folder(spark)
+    scores = I.main_orders(spark, sf).select("row_id", (F.col("n_total") / 1_000_000).alias("score"))
+    write_predictions(scores.repartition(5), path)
+    back = with_file_order(spark.read.schema("label double").option("header", True).csv(path))
+    return tidy(back.select("row_id", "label"), 9)

@@ -1,6 +1,7 @@
 """Operators on small hand-made tables: nulls, ties, hot keys, missing column types."""
 
 import math
+import pathlib
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,10 @@ from relweave.operators import clean as C
 from relweave.operators import encode as E
 from relweave.operators import generate as G
 from relweave.operators import sampling as P
-from relweave.operators.merge import MergeOptions, merge_tables, relation_edges, table_depths, to_many_join, to_one_join
-from relweave.operators.temporal import as_of_join, bucket_count, rolling_join, window_size
+from relweave.operators.merge import MergeOptions, MergePlan, merge_tables, relation_edges, table_depths, to_many_join, to_one_join
+from relweave.operators.skyline import choose_rows, skyline
+from relweave.operators.temporal import as_of_join, as_of_joins, bucket_count, rolling_join, window_size
+from relweave.plans.ensemble import select_trials
 from relweave.schema import columns_of, logical_type
 
 
@@ -251,9 +254,13 @@ def test_timed_table_is_not_joined_into_untimed(spark):
 def test_repeated_key_fans_out_or_fails(spark):
     u = spark.createDataFrame([("a",)], "c_k string")
     v = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "c_k string, n_x double")
-    assert to_one_join(u, v, "t", "c_k").count() == 2
+    assert to_one_join(u, v, "t", "c_k", "keep").count() == 2
     with pytest.raises(ValueError):
-        to_one_join(u, v, "t", "c_k", "error")
+        to_one_join(u, v, "t", "c_k")
+    bad = RelationalDataset({"main": u.withColumn("row_id", F.lit(1)), "t": v}, DatasetConfig({}, (Relation("main", "t", "c_k", "many_to_one"),), "t_01"))
+    with pytest.raises(ValueError, match="t.c_k"):
+        merge_tables(bad)
+    assert merge_tables(bad, MergeOptions(duplicates="keep")).count() == 2
     assert to_many_join(u, v, "t", "c_k").count() == 1
     assert to_many_join(u, v.limit(0), "t", "c_k").first()["n_t__n_mean__n_x"] is None
 
@@ -284,6 +291,81 @@ def test_rolling_join_same_with_and_without_splitting(spark, tiny):
         assert len(a) == 150
 
 
+def _timed(spark, n, tables):
+    rows = [(i, None if i % 11 == 0 else f"k{i % 4}", None if i % 17 == 0 else i * 29 % 97, float(i)) for i in range(n)]
+    e = spark.createDataFrame(rows, "row_id long, c_k string, t long, n_x double").withColumn("t_01", F.timestamp_seconds("t")).drop("t")
+    return e.filter("row_id % 5 = 0").drop("n_x"), {f"s{j}": e.filter(F.col("row_id") % 5 == j + 1) for j in range(tables)}
+
+
+def test_several_as_of_joins_equal_one_by_one(spark, tiny):
+    u, sides = _timed(spark, 400, 3)
+    orders = {s: ["row_id"] for s in sides}
+    for kw in ({}, {"allow_exact": True}, {"tolerance_seconds": 3.0}):
+        got = as_of_joins(u, sides, "c_k", "t_01", orders=orders, scale=tiny, **kw)
+        want = u
+        for s, v in sides.items():
+            want = as_of_join(want, v, s, "c_k", "t_01", v_order=["row_id"], **kw)
+        assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_several_timed_sides_share_one_timeline(spark):
+    def merged(n):
+        u, sides = _timed(spark, 200, n)
+        relations = tuple(Relation("main", s, "c_k", "one_to_many") for s in sides)
+        return merge_tables(RelationalDataset({"main": u, **sides}, DatasetConfig({}, relations, "t_01")))
+
+    one, three = merged(1), merged(3)
+    assert _exchanges(one) == _exchanges(three) and three.count() == 40
+    assert [c for c in three.columns if c.startswith("n_")] == ["n_s0__n_x", "n_s1__n_x", "n_s2__n_x"]
+
+
+def test_fitted_merge_reads_no_side_table_again(spark, tmp_path):
+    main = spark.createDataFrame([(i, f"k{i % 5}", f"j{i % 3}") for i in range(40)], "row_id long, c_k string, c_j string")
+    one = spark.createDataFrame([(f"k{i}", f"r{i % 2}", float(i)) for i in range(5)], "c_k string, c_r string, n_a double")
+    two = spark.createDataFrame([(f"j{i % 3}", f"r{i % 2}", float(i)) for i in range(30)], "c_j string, c_r string, n_b double")
+    low = spark.createDataFrame([("r0", 1.0), ("r1", 2.0)], "c_r string, n_c double")
+    relations = (
+        Relation("main", "one", "c_k", "many_to_one"), Relation("main", "two", "c_j", "one_to_many"),
+        Relation("one", "low", "c_r", "many_to_one"), Relation("two", "low", "c_r", "many_to_one"),
+    )
+    data = RelationalDataset({"main": main, "one": one, "two": two, "low": low}, DatasetConfig({}, relations, "t_01"))
+    plan = MergePlan.fit(data)
+    got, want = plan.join(main), merge_tables(data)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in text and "LogicalRDD" in text  # main alone is read from where it was
+    files = [f for df in plan.written for f in df.inputFiles()]
+    plan.drop()
+    assert files and not [f for f in files if pathlib.Path(f.removeprefix("file:").replace("//", "/")).exists()] and plan.sides == []
+
+
+def test_skyline_of_three_objectives(spark, tiny, monkeypatch):
+    rng = np.random.default_rng(8)
+    pts = [(i, *map(float, p)) for i, p in enumerate(rng.integers(0, 9, size=(300, 3)))]
+    pts += [(300 + i, float(i), float(40 - i), 3.0) for i in range(41)]  # many that do not dominate each other
+    pts += [(400, None, 0.0, 0.0), (401, float("nan"), -1.0, 0.0), (402, -0.0, 9.0, 9.0), (403, 0.0, 9.0, 9.0)]
+    df = spark.createDataFrame(pts, "i int, a double, b double, c double")
+    worst = {i: tuple(math.inf if x != x else x for x in p) for i, *p in pts if None not in p}
+    want = sorted(i for i, p in worst.items() if not any(all(x <= y for x, y in zip(o, p)) and o != p for o in worst.values()))
+    assert sorted(r["i"] for r in skyline(df, ["a", "b", "c"]).collect()) == want
+    monkeypatch.setattr("relweave.operators.skyline._TILE", 7)
+    monkeypatch.setattr("relweave.operators.skyline._STRONG", 1)
+    assert sorted(r["i"] for r in skyline(df, ["a", "b", "c"], tiny).collect()) == want
+    assert skyline(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_choice_by_fronts_equals_the_one_of_trials(spark):
+    rows = [(0, -0.9, -0.01), (1, -0.8, -0.05), (2, -0.7, -0.02), (3, -0.85, -0.03), (4, -0.6, -0.06), (5, -0.5, -0.01)]
+    s = spark.createDataFrame(rows, "trial int, loss double, agreement double")
+    for k in (2, 3, 5):
+        got = [r["trial"] for r in choose_rows(s, k, ["loss", "agreement"], "trial").orderBy("place").collect()]
+        assert got == select_trials(s, k)
+
+
 def test_window_and_bucket_rules():
     assert (window_size(1000), window_size(1_000_000)) == (5, 100)
     assert (bucket_count(30_000), bucket_count(5_000), bucket_count(10)) == (200, 50, 1)

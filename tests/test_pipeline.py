@@ -143,6 +143,10 @@ def test_isolation_forest_finds_far_points(spark):
     assert worst == {500, 501}
     kept = R.drop_outliers(df, ["n_a", "n_b"], trees=30)
     assert kept.filter("row_id >= 500").count() == 0 and kept.count() > 300
+    kept = R.drop_outliers(df, ["n_a", "n_b"], trees=30, share=0.15)
+    assert kept.columns == df.columns and kept.count() == 502 - 75 and kept.filter("row_id >= 500").count() == 0
+    equal = spark.createDataFrame([(i % 3, 1.0, "x") for i in range(100)], "row_id long, n_a double, c_b string")
+    assert R.drop_outliers(equal, trees=5, share=0.15).count() == 85
 
 
 def test_pareto_front_equals_brute_force(spark, tiny):
