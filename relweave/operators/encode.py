@@ -38,6 +38,7 @@ class CategoryEncoder:
     sizes: dict[str, int]
     top: dict[str, list[str]] = field(default_factory=dict)
     scale: Scale = DEFAULT_SCALE
+    small: set[str] = field(default_factory=set)
 
     @classmethod
     def fit(
@@ -59,44 +60,69 @@ class CategoryEncoder:
             .agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"))
         )
         counts = materialize(counts)
-        per_column = {r["column"]: r for r in counts.groupBy("column").agg(F.count("*").alias("d"), F.sum("n").alias("t")).collect()}
+        sums = counts.groupBy("column").agg(
+            F.count(F.lit(1)).alias("d"), F.sum("n").alias("t"), F.sum(F.octet_length("value") + 48).alias("b")
+        )
+        per_column = {r["column"]: r for r in sums.collect()}
         coded = row_index(counts, ["__first", "value"], "code", ["column"], scale=scale)
         share = F.lit(None).cast("double")
         for c, r in per_column.items():
             share = F.when(F.col("column") == c, F.col("n") / F.lit(float(r["t"]))).otherwise(share)
         values = materialize(coded.select("column", "value", "n", "code", share.alias("freq")))
         sizes = {c: (per_column[c]["d"] if c in per_column else 0) for c in columns}
-        top = {}
-        for c in columns:
-            n = min(one_hot, sizes[c] - 1)
-            if n > 0:
-                ranked = values.filter(F.col("column") == c).orderBy(F.desc("n"), "value").limit(n + 1)
-                top[c] = [r["value"] for r in ranked.collect()]
-        return cls(columns, values, sizes, top, scale)
+        small = {c for c in columns if c not in per_column or (per_column[c]["d"] <= scale.broadcast_rows and per_column[c]["b"] <= scale.broadcast_bytes)}
+        top: dict[str, list[str]] = {}
+        if one_hot > 0:
+            order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+            leading = values.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= one_hot + 1)
+            for r in sorted(leading.select("column", "value", "r").collect(), key=lambda r: r["r"]):
+                if r["r"] <= min(one_hot, sizes[r["column"]] - 1) + 1 and sizes[r["column"]] > 1:
+                    top.setdefault(r["column"], []).append(r["value"])
+        return cls(columns, values, sizes, top, scale, small)
 
     def lookup(self, column: str) -> DataFrame:
         return self.values.filter(F.col("column") == column).drop("column")
 
     def transform(self, df: DataFrame, code: bool = True, freq: bool = True) -> DataFrame:
-        """Replace each category by its code and add ``n_freq__<column>`` and one-hot columns."""
-        for c in self.columns:
-            if c not in df.columns:
-                continue
+        """Replace each category by its code and add ``n_freq__<column>`` and one-hot columns.
+
+        Values of a column that fit are broadcast, by the sizes counted when they were fitted, so that no
+        job runs here. All larger columns go through one join: their cells (row, column, value) meet the
+        values table once, heavy values over several tasks, and come back as one row per row.
+        """
+        columns = [c for c in self.columns if c in df.columns]
+        for c in columns:
             df = df.select("*", *one_hot_columns(c, self.top.get(c, [])))
-            table = self.lookup(c).select(
-                F.col("value").alias(c), "n", F.col("code").alias("__code"), F.col("freq").alias("__freq")
-            )
-            df = lookup_join(df.withColumn(c, F.col(c).cast("string")), table, [c], self.sizes[c], "n", self.scale)
-            out = []
-            for name in df.columns:
-                if name == c and code:
-                    out.append(typed(F.coalesce(F.col("__code"), F.lit(-1)), c, CAT))
-                elif name not in ("__code", "__freq"):
-                    out.append(F.col(name))
-            if freq:
-                out.append(typed(F.coalesce(F.col("__freq"), F.lit(0.0)), f"n_freq__{c}", NUM))
-            df = df.select(*out)
-        return df
+        df = df.withColumns({c: F.col(c).cast("string") for c in columns})
+        names = df.columns
+        found: dict[str, tuple[Column, Column]] = {}
+        for i, c in enumerate(columns):
+            if c in self.small:
+                code_i, freq_i = f"__code{i}", f"__freq{i}"
+                table = self.lookup(c).select(F.col("value").alias(c), F.col("code").alias(code_i), F.col("freq").alias(freq_i))
+                df = df.join(F.broadcast(table), c, "left")
+                found[c] = F.col(code_i), F.col(freq_i)
+        large = [c for c in columns if c not in self.small]
+        if large:
+            df, more = self._joined(df, large)
+            found |= more
+        new = {c: [typed(F.coalesce(found[c][1], F.lit(0.0)), f"n_freq__{c}", NUM)] if freq else [] for c in columns}
+        out = [typed(F.coalesce(found[n][0], F.lit(-1)), n, CAT) if n in found and code else F.col(n) for n in names]
+        return df.select(*out, *[x for c in columns for x in new[c]])
+
+    def _joined(self, df: DataFrame, large: list[str]) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+        """The rows with the codes and shares of all large columns, from one join of their cells.
+
+        The number that ties the cells to their row is written out once with the rows."""
+        rows = materialize(df.withColumn("__cells", F.monotonically_increasing_id()))
+        cells = [F.struct(F.lit(i).alias("__i"), F.lit(c).alias("column"), F.col(c).alias("value")) for i, c in enumerate(large)]
+        long = rows.select("__cells", F.explode(F.array(*cells)).alias("e")).select("__cells", "e.*").filter("value is not null")
+        table = self.values.filter(F.col("column").isin(large)).select("column", "value", "n", "code", "freq")
+        met = lookup_join(long, table, ["column", "value"], sum(self.sizes[c] for c in large), "n", self.scale)
+        picks = [F.max(F.when(F.col("__i") == i, F.col(x))).alias(f"__{x}__{i}") for i in range(len(large)) for x in ("code", "freq")]
+        back = met.groupBy("__cells").agg(*picks)
+        out = rows.join(back, "__cells", "left").drop("__cells")
+        return out, {c: (F.col(f"__code__{i}"), F.col(f"__freq__{i}")) for i, c in enumerate(large)}
 
 
 def one_hot_columns(column: str, top: Sequence[str]) -> list[Column]:

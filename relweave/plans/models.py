@@ -15,7 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.functions.aggregates import class_counts, roc_auc
-from relweave.operators.sampling import FOLDS, TRAIN_ROWS, folds, split, stratified_sample, with_class_weights
+from relweave.operators.sampling import (
+    FOLDS,
+    TRAIN_ROWS,
+    balance_down,
+    balance_up,
+    folds,
+    fresh_negatives,
+    split,
+    stratified_sample,
+    with_class_weights,
+)
 from relweave.schema import LABEL, ROW_ID
 from relweave.session import materialize, shared_dir
 
@@ -101,11 +111,17 @@ def node_table(model) -> DataFrame:
 
 @dataclass
 class Trial:
-    """One parameter set: its mean validation AUC and which number it has in the score table."""
+    """One parameter set: its mean validation AUC and which number it has in the score table.
+
+    ``rounds`` is the mean number of trees its folds trained before they stopped, ``curve`` their mean
+    validation loss after each of them, and ``held_auc`` the AUC on rows held out of the whole search."""
 
     number: int
     params: dict
     auc: float
+    rounds: float = 0.0
+    curve: tuple[float, ...] = ()
+    held_auc: float | None = None
 
 
 def sample_params(n: int, seed: int = 0, space: dict = SEARCH_SPACE) -> list[dict]:
@@ -119,27 +135,82 @@ def sample_params(n: int, seed: int = 0, space: dict = SEARCH_SPACE) -> list[dic
 def cross_validate(
     rows: DataFrame, candidates: Sequence[dict], rounds: int, n_folds: int = FOLDS,
     label: str = LABEL, row_id: str = ROW_ID, seed: int = 0, parallelism: int = 4, start: int = 0,
+    early: bool = False, held: DataFrame | None = None, numbers: Sequence[int] | None = None, curves: bool = False,
 ) -> tuple[list[Trial], DataFrame]:
     """Out-of-fold scores of every candidate, (trial, row_id, label, fold, p), and their AUCs.
 
-    ``rows`` is assembled and has a ``fold`` column. All AUCs come from one grouped job.
+    ``rows`` is assembled and has a ``fold`` column. All AUCs come from one grouped job. With ``early``,
+    a fold stops adding trees once the loss on its validation rows stops falling. ``held`` are assembled rows
+    outside the search; each candidate's fold models score them together. ``numbers`` are the
+    candidates' trial numbers, from ``start`` on if not given.
     """
-    def one(job: tuple[int, dict, int]) -> DataFrame:
-        number, params, k = job
-        model = train(rows.filter(F.col("fold") != k), params, rounds, label, seed=seed)
-        part = score(model, rows.filter(F.col("fold") == k), "p", (row_id, label, "fold"))
-        return part.withColumn("trial", F.lit(number))
+    numbers = list(numbers) if numbers is not None else [start + i for i in range(len(candidates))]
 
-    jobs = [(start + i, p, k) for i, p in enumerate(candidates) for k in range(n_folds)]
+    def one(job: tuple[int, dict, int]) -> tuple[DataFrame, DataFrame | None, int, list[float]]:
+        number, params, k = job
+        own = rows.withColumn("__valid", F.col("fold") == k)
+        valid = own.filter("__valid")
+        model = train(own if early else own.filter("not __valid"), params, rounds, label, "__valid" if early else None, seed)
+        boosted = hasattr(model, "evaluateEachIteration")
+        curve = model.evaluateEachIteration(valid.withColumn("label", F.col(label).cast("double"))) if curves and boosted else []
+        part = score(model, valid, "p", (row_id, label, "fold")).withColumn("trial", F.lit(number))
+        more = None if held is None else score(model, held, "p", (row_id, label)).withColumn("trial", F.lit(number))
+        return part, more, model.getNumTrees, list(curve)
+
+    jobs = [(n, p, k) for n, p in zip(numbers, candidates, strict=True) for k in range(n_folds)]
     with ThreadPoolExecutor(parallelism) as pool:
         parts = list(pool.map(one, jobs))
+    out = materialize(_stacked([p[0] for p in parts]).select("trial", row_id, label, "fold", "p"))
+    per_fold = roc_auc(out, "p", label, ["trial", "fold"])
+    auc = {r["trial"]: r["a"] for r in per_fold.groupBy("trial").agg(F.avg("auc").alias("a")).collect()}
+    held_auc: dict[int, float] = {}
+    if held is not None:
+        scored = _stacked([p[1] for p in parts]).groupBy("trial", row_id, label).agg(F.avg("p").alias("p"))
+        held_auc = {r["trial"]: r["auc"] for r in roc_auc(materialize(scored), "p", label, ["trial"]).collect()}
+    trials = []
+    for i, (n, p) in enumerate(zip(numbers, candidates, strict=True)):
+        own = parts[i * n_folds : (i + 1) * n_folds]
+        length = min(len(x[3]) for x in own)
+        curve = tuple(sum(x[3][j] for x in own) / n_folds for j in range(length))
+        trials.append(Trial(n, p, auc.get(n) or 0.0, sum(x[2] for x in own) / n_folds, curve, held_auc.get(n)))
+    return trials, out
+
+
+def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = materialize(out.select("trial", row_id, label, "fold", "p"))
-    per_fold = roc_auc(out, "p", label, ["trial", "fold"])
-    auc = {r["trial"]: r["a"] for r in per_fold.groupBy("trial").agg(F.avg("auc").alias("a")).collect()}
-    return [Trial(start + i, p, auc.get(start + i) or 0.0) for i, p in enumerate(candidates)], out
+    return out
+
+
+# The shares of the rounds after which a race drops candidates.
+RUNGS = (0.25, 0.5, 1.0)
+
+
+def race(
+    rows: DataFrame, candidates: Sequence[dict], rounds: int, n_folds: int = FOLDS,
+    label: str = LABEL, row_id: str = ROW_ID, seed: int = 0, parallelism: int = 4, least: int = 1,
+    early: bool = False, held: DataFrame | None = None, rungs: Sequence[float] = RUNGS, curves: bool = False,
+) -> tuple[list[Trial], DataFrame]:
+    """Cross-validation by successive halving: all candidates for few rounds, the better half for more.
+
+    A trial that drops out keeps the AUC, the rounds and the curve it had then; only those that run to the
+    end have scores. Boosting is the same up to any round, so a trial that stays is the one of a full
+    run. At least ``least`` stay.
+    """
+    left = list(enumerate(candidates))
+    trials: dict[int, Trial] = {}
+    for share in rungs:
+        amount = max(1, round(rounds * share))
+        found, scores = cross_validate(
+            rows, [p for _, p in left], amount, n_folds, label, row_id, seed, parallelism,
+            early=early, held=held, numbers=[n for n, _ in left], curves=curves,
+        )
+        trials |= {t.number: t for t in found}
+        keep = max(least, -(-len(left) // 2))
+        best = {t.number for t in sorted(found, key=lambda t: (-t.auc, t.number))[:keep]}
+        left = [x for x in left if x[0] in best]
+    return [trials[n] for n in sorted(trials)], scores
 
 
 def prepare_trials(
@@ -155,12 +226,18 @@ def prepare_trials(
 def random_search(
     df: DataFrame, features: Sequence[str], trials: int = 10, rounds: int = 20, n_folds: int = FOLDS,
     label: str = LABEL, row_id: str = ROW_ID, seed: int = 0, parallelism: int = 4, rows: int = TRAIN_ROWS,
-    space: dict = SEARCH_SPACE,
+    space: dict = SEARCH_SPACE, early: bool = False, held: DataFrame | None = None, racing: int = 0,
 ) -> tuple[list[Trial], DataFrame]:
-    """Random search by stratified cross-validation on a bounded sample."""
+    """Random search by stratified cross-validation on a bounded sample.
+
+    ``early`` and ``held`` as in ``cross_validate``; with ``racing``, candidates are halved twice on the way
+    and at least so many of them run to the end (``race``)."""
     prepared = prepare_trials(df, features, rows, n_folds, label, row_id, seed)
     params = sample_params(trials, seed, space)
-    return cross_validate(prepared, params, rounds, n_folds, label, row_id, seed, parallelism)
+    held = None if held is None else materialize(assemble(held, features, (row_id, label)))
+    if racing:
+        return race(prepared, params, rounds, n_folds, label, row_id, seed, parallelism, racing, early, held)
+    return cross_validate(prepared, params, rounds, n_folds, label, row_id, seed, parallelism, early=early, held=held)
 
 
 def score_all(
@@ -188,16 +265,17 @@ def score_all(
 def staged_search(
     df: DataFrame, features: Sequence[str], per_stage: int = 6, rounds: int = 20, n_folds: int = FOLDS,
     label: str = LABEL, row_id: str = ROW_ID, seed: int = 0, parallelism: int = 4, rows: int = TRAIN_ROWS,
-    stages: Sequence[dict] = STAGES,
+    stages: Sequence[dict] = STAGES, early: bool = False, held: DataFrame | None = None,
 ) -> tuple[list[Trial], DataFrame]:
     """Tune tree shape, then leaves, then sampling, then regularisation, keeping the best each time."""
+    held = None if held is None else materialize(assemble(held, features, (row_id, label)))
     prepared = prepare_trials(df, features, rows, n_folds, label, row_id, seed)
     rng, best, found, scores = random.Random(seed), dict(BASE_PARAMS), [], None
     for space in stages:
         picks = [{**best, **{k: rng.choice(v) for k, v in space.items()}} for _ in range(per_stage)]
         picks = [p for i, p in enumerate(picks) if p not in picks[:i]]
         trials, oof = cross_validate(
-            prepared, picks, rounds, n_folds, label, row_id, seed, parallelism, start=len(found)
+            prepared, picks, rounds, n_folds, label, row_id, seed, parallelism, start=len(found), early=early, held=held
         )
         found += trials
         scores = oof if scores is None else scores.unionByName(oof)
@@ -210,12 +288,28 @@ def staged_search(
 
 def train_final(
     df: DataFrame, features: Sequence[str], chosen: Sequence[dict], rounds: int = FINAL_ROUNDS, label: str = LABEL,
-    row_id: str = ROW_ID, seed: int = 0,
+    row_id: str = ROW_ID, seed: int = 0, imbalance: str | None = None,
 ) -> list:
-    """Fit every chosen parameter set on the training split, stopping on the validation split."""
+    """Fit every chosen parameter set on the training split, stopping on the validation split.
+
+    ``imbalance``: with ``fresh``, every member gets all positives and its own slice of the negatives; with
+    ``down`` or ``up`` the training split is balanced once. The validation split keeps its classes as they are.
+    """
     marked = split(df, label=label, seed=seed, row_id=row_id)
     rows = materialize(assemble(marked, features, (row_id, label, "is_valid")))
-    return [train(rows, p, rounds, label, "is_valid", seed + i) for i, p in enumerate(chosen)]
+    fitted, valid = rows.filter("not is_valid"), rows.filter("is_valid")
+    if imbalance in ("down", "up"):
+        balanced = balance_down(fitted, label, seed, row_id) if imbalance == "down" else balance_up(fitted, label, seed, row_id).drop("copy")
+        rows = materialize(balanced.unionByName(valid))
+    elif imbalance not in (None, "fresh"):
+        raise ValueError(f"unknown imbalance option {imbalance!r}")
+    models = []
+    for i, p in enumerate(chosen):
+        own = rows
+        if imbalance == "fresh":
+            own = fresh_negatives(fitted, i, len(chosen), label, seed=seed, row_id=row_id).unionByName(valid)
+        models.append(train(own, p, rounds, label, "is_valid", seed + i))
+    return models
 
 
 def bagged_score(models: Sequence, rows: DataFrame, name: str = "score", keep: Sequence[str] = (ROW_ID,)) -> DataFrame:

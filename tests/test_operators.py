@@ -366,6 +366,20 @@ def test_choice_by_fronts_equals_the_one_of_trials(spark):
         assert got == select_trials(s, k)
 
 
+def test_large_categories_share_one_join(spark):
+    rows = [(i, f"a{i % 90}" if i % 8 else None, "hot" if i % 3 else f"b{i % 70}", f"c{i % 4}") for i in range(600)]
+    df = spark.createDataFrame(rows + rows[:1], "row_id long, c_a string, c_b string, c_c string").repartition(5)
+    later = spark.createDataFrame([(9, "new", None, "c1"), (9, "a1", "b0", None)], df.schema)
+    split = Scale(block_rows=40, oversample=8, broadcast_rows=10)
+    one, two = (E.CategoryEncoder.fit(df, ["c_a", "c_b", "c_c"], one_hot=2, scale=s) for s in (Scale(), split))
+    assert one.small == {"c_a", "c_b", "c_c"} and two.small == {"c_c"} and one.top == two.top
+    for rows in (df, later, df.limit(0)):
+        a, b = one.transform(rows), two.transform(rows)
+        assert a.columns == b.columns and sorted(a.collect()) == sorted(b.collect())
+    plan = two.transform(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in plan and plan.count("explode(array(struct(__i") == 1  # one join for both large columns
+
+
 def test_window_and_bucket_rules():
     assert (window_size(1000), window_size(1_000_000)) == (5, 100)
     assert (bucket_count(30_000), bucket_count(5_000), bucket_count(10)) == (200, 50, 1)

@@ -100,6 +100,35 @@ def test_transform_of_training_rows_repeats_their_features(spark, folder):
     assert model.predict(read_test(spark, f"{folder}/test", data.config)).count() == 60
 
 
+def _with(**kw):
+    return ModelOptions(**{**OPTIONS.__dict__, **kw})
+
+
+def test_joint_scope_racing_trees_and_fresh_negatives(spark, folder):
+    data, rows = read_train(spark, f"{folder}/train"), None
+    rows = read_test(spark, f"{folder}/test", data.config)
+    options = _with(joint=True, racing=True, trials=4, objectives=("loss", "agreement", "trees"), imbalance="fresh", final_rounds=3)
+    model = RelationalModel(options).fit(data, rows)
+    scores = model.predict_other().toPandas()
+    assert sorted(scores.row_id) == list(range(60)) and scores.score.between(0, 1).all()
+    assert len(model.trials) == 4 and set(model.chosen) <= {t.number for t in model.trials if t.rounds > 1}
+    sizes = {r["c_k"]: r["n_freq__c_k"] for r in model.other.select("c_k", "n_freq__c_k").collect()}
+    assert all(abs(v - 18 / 360) < 1e-9 for v in sizes.values())  # shares of the training and test rows together
+
+
+def test_double_validation_outlier_share_row_bound_and_balance(spark, folder):
+    data = read_train(spark, f"{folder}/train")
+    options = _with(
+        double_validation=True, objectives=("loss", "agreement", "neg_f1"), drop_outliers=True, outlier_share=0.1, max_rows=200,
+        imbalance="down", final_rounds=3, folds=2,
+    )
+    model = RelationalModel(options).fit(data)
+    assert all(t.held_auc is not None and t.held_auc > 0.5 for t in model.trials)
+    assert model.predict(read_test(spark, f"{folder}/test", data.config)).count() == 60
+    model.drop()
+    assert model.merge.sides == []
+
+
 @pytest.fixture(scope="module")
 def informative(spark):
     rng = np.random.default_rng(1)
@@ -176,6 +205,32 @@ def test_greedy_choice_stops_where_error_is_lowest(spark):
     assert M.bagging(s, [0, 1]).filter("row_id = 1").first().score == pytest.approx(0.75)
 
 
+def test_a_race_drops_weak_trials_and_ends_like_the_full_run(informative):
+    rows = T.prepare_trials(informative, ["n_good", "n_noise"], n_folds=2)
+    candidates = [{"max_depth": 3}, {"min_gain": 9.0}, {"min_gain": 9.0, "max_depth": 2}, {"min_data_in_leaf": 140}]
+    full, _ = T.cross_validate(rows, candidates, 8, 2, curves=True)
+    trials, scores = T.race(rows, candidates, 8, 2, curves=True)
+    best = max(full, key=lambda t: t.auc)
+    assert best.number == 0 and max(trials, key=lambda t: (t.rounds, t.auc)).number == 0
+    assert trials[0].auc == pytest.approx(best.auc) and trials[0].curve == pytest.approx(best.curve)
+    assert [t.rounds for t in trials] == [8, 2, 2, 4] and [t.rounds for t in full] == [8] * 4
+    assert len(best.curve) == 8 and best.curve[0] > best.curve[3]
+    assert {r[0] for r in scores.select("trial").distinct().collect()} == {0}
+
+
+def test_folds_stop_early_without_a_signal(informative):
+    rows = T.prepare_trials(informative, ["n_noise", "n_flat"], n_folds=2)
+    held = T.assemble(informative.filter("row_id < 50"), ["n_noise", "n_flat"])
+    trials, scores = T.cross_validate(rows, [{"max_depth": 4}], 15, 2, early=True, held=held)
+    assert trials[0].rounds < 15 and trials[0].held_auc is not None and scores.count() == 600
+
+
+def test_trees_and_held_losses_join_the_summary(spark):
+    s = spark.createDataFrame([(0, -0.9, -0.1), (1, -0.8, -0.2)], "trial int, loss double, agreement double")
+    rows = M.with_held_loss(M.with_trees(s, {0: 5, 1: 9}), {0: 0.6}).orderBy("trial").collect()
+    assert [(r["loss"], r["trees"], r["neg_trees"]) for r in rows] == [(-0.6, 5.0, -5.0), (-0.8, 9.0, -9.0)]
+
+
 def test_bagged_score_is_the_mean_of_the_models(informative):
     rows = T.assemble(informative, NAMES)
     models = [T.train(rows, {"max_depth": d}, 3, seed=d) for d in (2, 3)]
