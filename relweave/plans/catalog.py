@@ -22,8 +22,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
 
         def in_utc(spark: SparkSession, folder: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, folder)
+            zone = spark.conf.get("spark.sql.session.timeZone")
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # a plan keeps the zone it was made in
+            try:
+                return fn(spark, folder)
+            finally:
+                spark.conf.set("spark.sql.session.timeZone", zone)
 
         QUERIES[name] = in_utc
         if sql is not None:

@@ -6,6 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,15 +75,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and continue from the written table.
 
     The table is Parquet rather than an RDD checkpoint: later steps read only the columns they
-    need, and its known size lets Spark choose joins. It survives the loss of executors.
+    need, and its known size lets Spark choose joins. It survives the loss of executors. It stays until
+    ``discard`` or the end of the ``scratch`` it was written in.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables materialized inside are deleted at the end; for steps whose results are not lazy."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for df in _SCOPES.pop():
+            discard(df)
 
 
 def release(spark: SparkSession) -> None:
@@ -100,8 +121,11 @@ def release(spark: SparkSession) -> None:
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``materialize``d table that nothing will read again; other tables are left alone."""
     context = df.sparkSession.sparkContext
-    home = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/"
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    if written := getattr(df, "_written", None):
+        folders = {written}
+    else:
+        home = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/".removeprefix("file:").lstrip("/")
+        folders = {folder for folder in (f.rpartition("/")[0] for f in df.inputFiles()) if home in folder}
+    for folder in folders:
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        if home.removeprefix("file:").lstrip("/") in folder:
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
