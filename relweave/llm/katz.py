@@ -31,8 +31,6 @@ from relweave.llm.common import bucket_of, documents, slices, type_of
 from relweave.session import discard, materialize, release
 
 FOLD = (7, 2)
-#: Pairs seen less often are left to the back-off where ``fit`` is not told otherwise; the query keeps all.
-LEAST = 2
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Bytes of text per partition of the tables.
@@ -161,9 +159,10 @@ def _discounts(n: dict[int, int], start: int) -> dict[int, float]:
     return out
 
 
-def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> Model:
+def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 1) -> Model:
     """Count and build the tables from the documents outside the held-out fold.
 
+    Pairs seen less than ``least`` times are left to the back-off; 1 keeps all.
     Null texts are empty and count their end token; a null id is a training document. A table without
     training rows gives a model in which every word is unknown.
     """

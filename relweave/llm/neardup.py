@@ -108,8 +108,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     A null, empty or wordless text has no shingles and no links: it stays alone. A null id takes part in
     no link and is kept. Rows that repeat an id are read as one document's texts, linked to each other.
-    Other columns are not read.
+    Other columns are not read. Bands and sieve are made for links at 0.75; a lower ``similar`` is refused.
     """
+    if similar[0] * SIMILAR[1] < SIMILAR[0] * similar[1]:
+        raise ValueError(f"bands are made for a similarity of {SIMILAR[0]}/{SIMILAR[1]} or more")
     docs = documents(df, doc_id, text).select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = type_of(docs, "doc_id")
     rows = materialize(map_batches(docs, _sketch, f"doc_id {kind}, n long, key binary, bands array<long>, mark binary"))

@@ -109,7 +109,8 @@ def op7_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
     whole = F.transform("embedding", lambda v: F.floor(64 * v.cast("double")).cast("double"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = table(spark, folder, "embeddings").filter(finite).select("vec_id", whole.alias("embedding"))
-    return topk.top_k(rows, rows.filter(F.col("vec_id") % 20 == 0))
+    found = topk.top_k(rows, rows.filter(F.col("vec_id") % 20 == 0))
+    return found.withColumn("score", F.col("score").cast("long"))
 
 
 SQL["op7_norm_buckets"] = """with v as (
@@ -131,7 +132,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def op6_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document by the model of the training documents."""
     docs = table(spark, folder, "documents")
-    return katz.score(docs, katz.fit(docs, least=1))
+    return katz.score(docs, katz.fit(docs))
 
 
 @register

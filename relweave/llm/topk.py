@@ -37,7 +37,7 @@ _PART = 2_048
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows, ties to the smaller id.
 
-    Scores are exact for whole numbers below 2**53. A null vector, one with a null or non-finite number,
+    Scores are in double precision, exact for whole numbers below 2**53. A null vector, one with a null or non-finite number,
     an empty one and a null id take no part; vectors meet those of their own dimension only; equal ids
     are the same row's for the purpose of "other". Other columns are not read.
     """
@@ -58,7 +58,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
     seeds = spark.createDataFrame([(d, b, 0) for d, b in longest.items()] or [(0, 0, 0)], "dim int, bucket int, block int")
     first = _search(placed.join(F.broadcast(seeds), ["dim", "bucket", "block"]), asked.withColumn("theta", F.lit(None).cast("double")), parts, n_blocks, k, kind)
     theta = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.min("score").alias("theta"))
-    theta = theta.filter(F.col("m") >= k).select(F.col("query_id").alias("id"), F.col("theta").cast("double"))
+    theta = theta.filter(F.col("m") >= k).select(F.col("query_id").alias("id"), "theta")
     aimed = asked.join(materialize(theta), "id", "left")
     found = _search(placed, aimed, parts, n_blocks, k, kind)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -93,7 +93,7 @@ def _search(placed: DataFrame, asked: DataFrame, parts: int, n_blocks: DataFrame
     def cell(key, found: pa.Table, base: pa.Table) -> pa.Table:
         return _cell(found, base, k)
 
-    return spread.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(cell, f"query_id {kind}, vec_id {kind}, score long")
+    return spread.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(cell, f"query_id {kind}, vec_id {kind}, score double")
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -104,7 +104,7 @@ def _matrix(table: pa.Table) -> np.ndarray:
 def _cell(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
     ids_type = base["id"].type if base.num_rows else queries["id"].type
     if not queries.num_rows or not base.num_rows:
-        return pa.table({"query_id": pa.array([], ids_type), "vec_id": pa.array([], ids_type), "score": pa.array([], pa.int64())})
+        return pa.table({"query_id": pa.array([], ids_type), "vec_id": pa.array([], ids_type), "score": pa.array([], pa.float64())})
     base = base.take(pa.array(np.lexsort((base["id"].to_numpy(), -base["length"].to_numpy()))))
     q, p = _matrix(queries), _matrix(base)
     q_id, p_id = queries["id"].to_numpy(), base["id"].to_numpy()
@@ -127,7 +127,7 @@ def _cell(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
             high = unit * t + reach if unit < t - _NEAR else np.inf
             c = rows[:, focus[i]] / np.maximum(ls, 1e-300)
             some = np.flatnonzero((c >= low) & (c <= high) & (ls * norm[i] >= _least(theta[i])))
-            some = some[(rows[some] @ q[i] >= theta[i]) & (p_id[at + some] != q_id[i])]
+            some = some[(rows[some] @ q[i] >= _least(theta[i])) & (p_id[at + some] != q_id[i])]
             got = [np.concatenate([a, b]) for a, b in zip(got, (np.full(len(some), i), at + some, rows[some] @ q[i]))]
         wide = live[~near]
         if len(wide):
@@ -137,10 +137,10 @@ def _cell(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
             scores[p_id[at : at + n][None, :] == q_id[wide][:, None]] = -np.inf
             if n > k:
                 theta[wide] = np.maximum(theta[wide], np.partition(scores, n - k, 1)[:, n - k])
-            a, b = np.nonzero((scores >= theta[wide][:, None]) & np.isfinite(scores))
+            a, b = np.nonzero((scores >= _least(theta[wide])[:, None]) & np.isfinite(scores))
             got = [np.concatenate([x, y]) for x, y in zip(got, (wide[a], at + b, scores[a, b]))]
         got, theta = _best(got, theta, p_id, k)
-    return pa.table({"query_id": pa.array(q_id[got[0]], ids_type), "vec_id": pa.array(p_id[got[1]], ids_type), "score": pa.array(got[2].astype(np.int64))})
+    return pa.table({"query_id": pa.array(q_id[got[0]], ids_type), "vec_id": pa.array(p_id[got[1]], ids_type), "score": pa.array(got[2], pa.float64())})
 
 
 def _least(theta):

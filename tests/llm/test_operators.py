@@ -372,13 +372,32 @@ def test_top_k_of_spiky_vectors(spark):
         assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
+def test_top_k_of_real_and_negative_scores(spark):
+    draw = np.random.default_rng(11)
+    x = draw.random((300, 5)) * draw.choice([0.01, 1.0, 30.0], 300)[:, None]
+    x[150:] *= -1
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    few = df.filter("vec_id < 150 and vec_id % 3 = 0")
+    got = topk.top_k(few, df.filter("vec_id >= 150 and vec_id % 10 = 0"), k=4).collect()  # all scores are below zero
+    assert len(got) == 15 * 4 and max(r["score"] for r in got) < 0
+    for r in got:
+        best = sorted((float(x[r["query_id"]] @ x[p]) for p in range(0, 150, 3)), reverse=True)
+        assert r["score"] == pytest.approx(best[r["rank"] - 1], rel=1e-12)
+
+
+def test_links_below_the_bands_are_refused(odd):
+    with pytest.raises(ValueError, match="75/100"):
+        neardup.near_duplicates(odd, similar=(50, 100))
+
+
 def test_katz(spark, docs, odd, none):
     rows = docs[:120] + [(i, t) for i, t, _ in ODD if i is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     old = katz.PART_BYTES, katz.PART_WORDS, katz.PART_TOKENS
     katz.PART_BYTES, katz.PART_WORDS, katz.PART_TOKENS = 20_000, 300, 400
     try:
-        model = katz.fit(df)
+        model = katz.fit(df, least=2)
         assert model.word_bits > 0 and max(model.word_turns.values()) > 1
         model.pair_turns = {part: 1 + part % 3 for part in range(1 << model.bits)}
         got = katz.score(df, model).collect()
