@@ -381,16 +381,19 @@ def _trials(spark, sf):
     return keyed.select("row_id", "label", F.explode(cells).alias("e")).select("row_id", "label", "e.*")
 
 
-@query(
-    "ensemble_diversity",
-    f"""with {_LINE_IDS}, {_TRIALS}, m as (select row_id, avg(p) as m from t group by 1),
+_SUMMARY = f"""{_LINE_IDS}, {_TRIALS}, m as (select row_id, avg(p) as m from t group by 1),
       d as (select trial, -avg((p - m) ** 2) as agreement,
         -2.0 * count(*) filter (p > 0.5 and label = 1)
           / (2.0 * count(*) filter (p > 0.5 and label = 1) + count(*) filter ((p > 0.5) <> (label = 1))) as neg_f1
         from t join m using (row_id) group by 1),
       c as (select trial, p, sum(label) as y, count(*) - sum(label) as q from t group by 1, 2),
       r as (select *, sum(q) over (partition by trial order by p) - q as below from c),
-      a as (select trial, -sum(y * (below + q / 2.0)) / (sum(y) * sum(q)) as loss from r group by 1)
+      a as (select trial, -sum(y * (below + q / 2.0)) / (sum(y) * sum(q)) as loss from r group by 1)"""
+
+
+@query(
+    "ensemble_diversity",
+    f"""with {_SUMMARY}
     select trial, {rnd("loss", "loss", 8)}, {rnd("agreement", "agreement", 8)}, {rnd("neg_f1", "neg_f1", 8)} from d join a using (trial)""",
 )
 def ensemble_diversity(spark, sf):
@@ -456,14 +459,48 @@ def pareto_choice(spark, sf):
     return choose_rows(_part_goals(spark, sf), 12, ["cost", "volume", "tax"], "c_part").select("c_part", "place")
 
 
-@query("nsga_choice")
+def _front_sql(rows: str) -> str:
+    return f"""select * from {rows} x where not exists (select 1 from {rows} o where o.loss <= x.loss
+        and o.agreement <= x.agreement and (o.loss < x.loss or o.agreement < x.agreement))"""
+
+
+def _spread_sql(goal: str) -> str:
+    order = f"over (partition by front order by {goal}, trial)"
+    return f"""case when lag({goal}) {order} is null or lead({goal}) {order} is null then 'infinity'::double
+        else (lead({goal}) {order} - lag({goal}) {order}) / (max({goal}) over (partition by front) - min({goal}) over (partition by front)) end"""
+
+
+@query(
+    "nsga_choice",
+    f"""with {_SUMMARY}, s as (select trial, loss, agreement from d join a using (trial)),
+      one as ({_front_sql("s")}), rest as (select * from s where trial not in (select trial from one)), two as ({_front_sql("rest")}),
+      f as (select *, 1 as front from one union all select *, 2 from two),
+      g as (select trial, front, count(*) over (order by front) as upto, {_spread_sql("loss")} + {_spread_sql("agreement")} as spread from f),
+      k as (select trial, row_number() over (order by front, case when upto <= 2 then 0 else -spread end, trial) - 1 as place from g)
+    select cast(place as int) as place, cast(trial as int) as trial from k where place < 2""",
+)
 def nsga_choice(spark, sf):
     """Two of the three scorings, by non-dominated sorting on loss and agreement."""
     chosen = M.select_trials(M.trial_summary(_trials(spark, sf)), 2)
     return spark.createDataFrame([(i, t) for i, t in enumerate(chosen)], "place int, trial int")
 
 
-@query("greedy_ensemble")
+def _greedy_sql(place: int) -> str:
+    """The trial that lowers the absolute error of the average most, given those chosen before."""
+    before = "".join(f" join t t{i} on t{i}.row_id = t.row_id and t{i}.trial = (select trial from b{i})" for i in range(place))
+    total = " + ".join(["t.p", *(f"t{i}.p" for i in range(place))])
+    unused = " and ".join(f"t.trial <> (select trial from b{i})" for i in range(place)) or "true"
+    return f"""b{place} as (select {place} as place, t.trial, avg(abs(t.label - ({total}) / {place + 1}.0)) as e
+      from t{before} where {unused} group by t.trial order by e, trial limit 1)"""
+
+
+@query(
+    "greedy_ensemble",
+    f"""with {_LINE_IDS}, {_TRIALS}, {_greedy_sql(0)}, {_greedy_sql(1)}, {_greedy_sql(2)},
+      s as (select * from b0 union all select * from b1 union all select * from b2)
+    select cast(place as int) as place, cast(trial as int) as trial from s
+    where place <= (select min(place) from s where e = (select min(e) from s))""",
+)
 def greedy_ensemble(spark, sf):
     chosen = M.greedy_selection(_trials(spark, sf), 3)
     return spark.createDataFrame([(i, t) for i, t in enumerate(chosen)], "place int, trial int")
