@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relweave.session import materialize
+from relweave.session import discard, materialize
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,8 +27,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(small)
         changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count()
-        if not changed and after.count() == edges.count():
+        over = not changed and after.count() == edges.count()
+        for done in (least, large, low, after if over else edges):
+            discard(done)
+        if over:
             break
         edges = after
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return materialize(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()))
+    out = materialize(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()))
+    discard(edges)
+    return out

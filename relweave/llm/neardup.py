@@ -12,8 +12,12 @@ Groups of thousands of copies are met without pairs inside a group:
    buckets' leaders whose signature agrees best. Confirmed links give components. This is repeated with
    other leaders for the buckets that hold several components, so that large groups grow together.
 3. Buckets that still hold several components are searched for all pairs across components (never
-   within one): signatures are compared block by block, and pairs that agree in enough coordinates are
-   verified too. That catches every link the leaders missed.
+   within one). Their documents get a second, longer signature, by which pairs well below the similarity are told
+   apart block by block; pairs that agree in enough coordinates are verified too. That catches every link the
+   leaders missed.
+
+Sets are named by numbers, and only buckets that hold two of them go on from the first look, as (bucket, number);
+signatures and sets are fetched for the pairs that need them.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from relweave.llm.common import documents, map_batches, type_of
 from relweave.llm.components import components
-from relweave.session import materialize, release
+from relweave.session import discard, materialize, release
 
 SHINGLE = 5
 SIMILAR = (75, 100)
@@ -34,11 +38,15 @@ BANDS, ROWS = 24, 3
 #: Equal low bytes, of all coordinates, below which a pair cannot reach the similarity: four and a
 #: half standard deviations under the expected number.
 LEAST_AGREE = 37
+#: Coordinates of the second signature, and how many of its bytes must be equal: again four and a half deviations
+#: under the number expected at the similarity, which leaves pairs below about 0.66 out.
+LONG, LEAST_LONG = 512, 340
 BLOCK = 500
 #: Rounds of leaders before the search across components.
 TURNS = 3
 _K = BANDS * ROWS
-_STEPS = (np.arange(_K, dtype=np.uint64) * np.uint64(0x9E3779B1) % np.uint64(1 << 32)).astype(np.uint32)
+_SHIFTS = (np.arange(LONG, dtype=np.uint64) * np.uint64(0x9E3779B1) % np.uint64(1 << 32)).astype(np.uint32)
+_STEPS = _SHIFTS[:_K]
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -78,12 +86,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, size: int = _K) -> np.ndarray:
     """The coordinates of a non-empty set: two permutations, the second after a circular shift."""
     sigma = _mix((shingles >> np.uint64(32)).astype(np.uint32))
-    least = np.full(_K, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(sigma), 1_024):
-        least = np.minimum(least, _mix(sigma[at : at + 1_024, None] + _STEPS[None, :]).min(0))
+    least = np.full(size, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(sigma), 256):
+        least = np.minimum(least, _mix(sigma[at : at + 256, None] + _SHIFTS[None, :size]).min(0))
     return least
 
 
@@ -116,9 +124,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     kind = type_of(docs, "doc_id")
     rows = materialize(map_batches(docs, _sketch, f"doc_id {kind}, n long, key binary, bands array<long>, mark binary"))
     full = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = materialize(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mark").alias("mark")))
+    reps = full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mark").alias("mark"))
+    reps = materialize(reps.withColumn("num", F.monotonically_increasing_id()))  # written with the sets, so they keep it
     names = materialize(full.select("doc_id", "key").distinct().join(reps.select("key", "rep"), "key").select("doc_id", "rep"))
     same = names.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # a bucket's number holds its band; those with one set cannot propose anything
+    spread = reps.select("num", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.min("num").alias("x"), F.max("num").alias("y")).filter("x < y").select("bucket")
+    live = materialize(spread.join(shared, "bucket"))
+    marks = reps.select("num", "n", "mark")
 
     def close(batch):
         a = np.frombuffer(b"".join(batch["ma"].to_pylist()), np.uint8).reshape(-1, _K)
@@ -129,70 +143,111 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         keep = pa.array((alike >= LEAST_AGREE) & fits)
         return {"a": batch["a"].filter(keep), "b": batch["b"].filter(keep), "alike": pa.array(alike, pa.int64()).filter(keep)}
 
-    # sets are named by their keys from here on, as ids may repeat
-    links, joined = None, reps.select("key", "n", "mark", F.col("key").alias("comp"), F.posexplode("bands").alias("band", "bucket"))
+    links, ends = None, None
     for turn in range(TURNS):
-        rank = F.xxhash64("key", "band", F.lit(turn))
-        filled = joined.groupBy("band", "bucket").agg(
-            F.min_by(F.struct("key", "n", "mark", "comp"), F.struct(rank, "key")).alias("lead"),
-            (F.min("comp") != F.max("comp")).alias("mixed"),
-        )
-        leads = materialize(filled.filter("mixed").drop("mixed"))
-        near = joined.join(leads, ["band", "bucket"]).filter(F.col("comp") != F.col("lead.comp"))
-        pairs = near.select(
-            F.col("key").alias("a"), F.col("lead.key").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"),
-            F.col("mark").alias("ma"), F.col("lead.mark").alias("mb"),
-        )
-        scored = map_batches(pairs, close, "a binary, b binary, alike long")
-        best = scored.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
-        found = verified(docs, reps, materialize(best.select("a", "b")), similar)
+        joined = _placed(live, ends)
+        rank = F.xxhash64("num", "bucket", F.lit(turn)).alias("rank")
+        filled = joined.groupBy("bucket").agg(F.min(F.struct(rank, "num", "comp")).alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+        leads = filled.filter("x < y").select("bucket", F.col("lead.num").alias("b"), F.col("lead.comp").alias("other"))
+        pairs = joined.join(leads, "bucket").filter(F.col("comp") != F.col("other")).select(F.col("num").alias("a"), "b").distinct()
+        for c in "ab":
+            pairs = pairs.join(marks.select(F.col("num").alias(c), F.col("n").alias(f"n{c}"), F.col("mark").alias(f"m{c}")), c)
+        scored = map_batches(pairs, close, "a long, b long, alike long")
+        best = materialize(scored.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b")))
+        found = verified(docs, reps, best, similar)
+        old, last = links, ends
         links = found if links is None else materialize(links.unionByName(found))
         ends = components(links)
-        joined = reps.select("key", "n", "mark", "bands").join(ends, reps["key"] == ends["node"], "left")
-        joined = joined.select("key", "n", "mark", F.coalesce("root", "key").alias("comp"), F.posexplode("bands").alias("band", "bucket"))
+        for done in [best, *([] if old is None else [old, found, last])]:
+            discard(done)
         release(df.sparkSession)
 
     # then all pairs across the components that are left in a bucket
-    sizes = joined.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("m"), F.max_by("comp", F.struct("m", "comp")).alias("big"), F.max("m").alias("g"))
-    mixed = materialize(mixed.filter("c > 1").select("band", "bucket", "big", F.ceil((F.col("m") - F.col("g")) / BLOCK).cast("int").alias("nr"), F.ceil(F.col("g") / BLOCK).cast("int").alias("ng")))
-    met = joined.join(mixed, ["band", "bucket"])
+    joined = _placed(live, ends)
+    sizes = joined.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("m"), F.max_by("comp", F.struct("m", "comp")).alias("big"), F.max("m").alias("g"))
+    mixed = materialize(mixed.filter("c > 1").select("bucket", "big", F.ceil((F.col("m") - F.col("g")) / BLOCK).cast("int").alias("nr"), F.ceil(F.col("g") / BLOCK).cast("int").alias("ng")))
+    met = materialize(joined.join(mixed, "bucket"))
+    longer = _longer(docs, reps, met.select("num").distinct())
     in_big = F.col("comp") == F.col("big")
-    own = F.pmod(F.xxhash64("key"), F.when(in_big, F.col("ng")).otherwise(F.col("nr"))).cast("int")
+    own = F.pmod(F.xxhash64("num"), F.when(in_big, F.col("ng")).otherwise(F.col("nr"))).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(i.alias("i"), (-own - 1).alias("j")))
     mine = F.concat(
         F.transform(F.sequence(F.lit(0), F.col("ng") - 1), lambda j: F.struct(own.alias("i"), (-j - 1).alias("j"))),
         F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))),
     )
     cells = met.withColumn("cell", F.explode(F.when(in_big, others).otherwise(mine)))
-    cells = cells.select("band", "bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "key", "n", "mark", "comp")
-    cells = cells.repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "comp")
-    across = cells.mapInArrow(lambda batches: _across(batches, similar), "a binary, b binary")
-    more = verified(docs, reps, materialize(across.distinct()), similar)
-    ids = reps.select("key", "rep")
-    by_id = lambda t: t.join(ids.select(F.col("key").alias("a"), F.col("rep").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    linked = by_id(materialize(links.unionByName(more))).filter("a <> b")
-    ends = components(linked.unionByName(same))
-    out = rows.join(ends, rows["doc_id"] == ends["node"], "left")
+    cells = cells.select("bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "num", "comp").join(longer, "num")
+    cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "comp")
+    across = cells.mapInArrow(lambda batches: _across(batches, similar), "a long, b long")
+    across = materialize(across.distinct())
+    more = verified(docs, reps, across, similar)
+    ids = reps.select("num", "rep")
+    linked = links.unionByName(more)
+    for c, x in (("a", "x"), ("b", "y")):
+        linked = linked.join(ids.select(F.col("num").alias(c), F.col("rep").alias(x)), c)
+    linked = linked.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b")
+    final = components(linked.unionByName(same))
+    for done in (live, mixed, met, longer, across, links, more, ends, names, reps):
+        discard(done)
+    out = rows.join(final, rows["doc_id"] == final["node"], "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _placed(live: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """(num, bucket, comp): the component of every set of a bucket, its own number where it has no link."""
+    if ends is None:
+        return live.select("num", "bucket", F.col("num").alias("comp"))
+    roots = ends.select(F.col("node").alias("num"), "root")
+    return live.join(roots, "num", "left").select("num", "bucket", F.coalesce("root", "num").alias("comp"))
+
+
+def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, column: str, fn) -> DataFrame:
+    """(num, column): ``fn`` of the shingle set of every wanted number, written."""
+    named = materialize(reps.select("key", "rep", "num").join(wanted, "num"))
+    kind = type_of(docs, "doc_id")
+
+    def sets(batch):
+        found = [shingle_hashes(t.as_py()) for t in batch["text"]]
+        return {"key": [xxhash.xxh128_digest(x.tobytes()) for x in found], column: [fn(x) for x in found], "rep": batch["rep"]}
+
+    texts = docs.join(named.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("text", "rep")
+    held = map_batches(texts, sets, f"key binary, {column} binary, rep {kind}")
+    # an id may stand for several texts: only the set with the wanted key counts
+    held = materialize(held.join(named.select("key", "rep", "num"), ["key", "rep"]).groupBy("num").agg(F.first(column).alias(column)))
+    discard(named)
+    return held
+
+
+def _longer(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(num, mark, n): the second signature, in low bytes, of every wanted set, written."""
+
+    def mark(x: np.ndarray) -> bytes:
+        return signature(x, LONG).astype(np.uint8).tobytes() if len(x) else b""
+
+    found = _texts(docs, reps, wanted, "mark", mark)
+    out = materialize(found.join(reps.select("num", "n"), "num"))
+    discard(found)
+    return out
+
+
 def _across(batches, similar):
-    """Pairs of different components in each cell whose signatures agree enough."""
+    """Pairs of different components in each cell whose second signatures agree enough."""
     held, current = [], None
 
     def flush():
         n = np.array([x[1] for x in held])
-        mark = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(-1, _K)
-        _, comp = np.unique([x[3] for x in held], return_inverse=True)
+        mark = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(-1, LONG)
+        comp = np.array([x[3] for x in held])
         a, b = [], []
         if comp.min() != comp.max():
             for i in range(len(held) - 1):
                 rest = slice(i + 1, None)
                 fits = (comp[rest] != comp[i]) & (similar[0] * np.maximum(n[rest], n[i]) <= similar[1] * np.minimum(n[rest], n[i]))
                 near = np.flatnonzero(fits)
-                near = near[(mark[i + 1 + near] == mark[i]).sum(1) >= LEAST_AGREE] + i + 1
+                near = near[(mark[i + 1 + near, :_K] == mark[i, :_K]).sum(1) >= LEAST_AGREE]
+                near = near[(mark[i + 1 + near] == mark[i]).sum(1) >= LEAST_LONG] + i + 1
                 for j in near.tolist():
                     x, y = sorted((held[i][0], held[j][0]))
                     a.append(x)
@@ -201,37 +256,27 @@ def _across(batches, similar):
 
     for batch in batches:
         a, b = [], []
-        columns = [batch[c].to_pylist() for c in ("band", "bucket", "i", "j", "key", "n", "mark", "comp")]
-        for band, bucket, i, j, *row in zip(*columns):
-            if (band, bucket, i, j) != current:
+        columns = [batch[c].to_pylist() for c in ("bucket", "i", "j", "num", "n", "mark", "comp")]
+        for bucket, i, j, *row in zip(*columns):
+            if (bucket, i, j) != current:
                 if len(held) > 1:
                     x, y = flush()
                     a += x
                     b += y
-                held, current = [], (band, bucket, i, j)
+                held, current = [], (bucket, i, j)
             held.append(row)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     if len(held) > 1:
         a, b = flush()
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs of set keys whose full shingle sets are similar enough, written."""
-    spots = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = materialize(reps.select("key", "rep").join(spots, "key"))
-    kind = type_of(docs, "doc_id")
-
-    def sets(batch):
-        found = [shingle_hashes(t.as_py()).tobytes() for t in batch["text"]]
-        return {"key": [xxhash.xxh128_digest(x) for x in found], "shingles": found, "rep": batch["rep"]}
-
-    texts = docs.join(wanted.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("text", "rep")
-    held = map_batches(texts, sets, f"key binary, shingles binary, rep {kind}")
-    # an id may stand for several texts: only the set with the wanted key counts
-    held = materialize(held.join(wanted, ["key", "rep"]).groupBy("key").agg(F.first("shingles").alias("shingles")))
-    left, right = (held.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
-    both = materialize(pairs.join(left, "a")).join(right, "b")
+    """The pairs of numbers whose full shingle sets are similar enough, written."""
+    spots = pairs.select(F.col("a").alias("num")).unionByName(pairs.select(F.col("b").alias("num"))).distinct()
+    held = _texts(docs, reps, spots, "shingles", np.ndarray.tobytes)
+    left, right = (held.select(F.col("num").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
 
     def confirm(batch):
         good = []
@@ -242,4 +287,6 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, similar: tuple[
         keep = pa.array(good, pa.bool_())
         return {"a": batch["a"].filter(keep), "b": batch["b"].filter(keep)}
 
-    return materialize(map_batches(both.select("a", "b", "sa", "sb"), confirm, "a binary, b binary"))
+    out = materialize(map_batches(both.select("a", "b", "sa", "sb"), confirm, "a long, b long"))
+    discard(held)
+    return out
