@@ -12,9 +12,9 @@ Groups of thousands of copies are met without pairs inside a group:
    buckets' leaders whose signature agrees best. Confirmed links give components. This is repeated with
    other leaders for the buckets that hold several components, so that large groups grow together.
 3. Buckets that still hold several components are searched for all pairs across components (never
-   within one). Their documents get a second, longer signature, by which pairs well below the similarity are told
-   apart block by block; pairs that agree in enough coordinates are verified too. That catches every link the
-   leaders missed.
+   within one). Their documents come with their sets and a second, longer signature, by which pairs well below
+   the similarity are told apart block by block; the others are verified on the spot. A block joins what it
+   links, so large groups cost it no more links than they have components. That catches every link the leaders missed.
 
 Sets are named by numbers, and only buckets that hold two of them go on from the first look, as (bucket, number);
 signatures and sets are fetched for the pairs that need them.
@@ -180,15 +180,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     cells = cells.select("bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "num", "comp").join(longer, "num")
     cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "comp")
     across = cells.mapInArrow(lambda batches: _across(batches, similar), "a long, b long")
-    across = materialize(across.distinct())
-    more = verified(docs, reps, across, similar)
+    more = materialize(across.distinct())
     ids = reps.select("num", "rep")
     linked = links.unionByName(more)
     for c, x in (("a", "x"), ("b", "y")):
         linked = linked.join(ids.select(F.col("num").alias(c), F.col("rep").alias(x)), c)
     linked = linked.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b")
     final = components(linked.unionByName(same))
-    for done in (live, mixed, met, longer, across, links, more, ends, names, reps):
+    for done in (live, mixed, met, longer, links, more, ends, names, reps):
         discard(done)
     out = rows.join(final, rows["doc_id"] == final["node"], "left")
     component = F.coalesce("root", "doc_id")
@@ -221,42 +220,47 @@ def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, column: str, fn)
 
 
 def _longer(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(num, mark, n): the second signature, in low bytes, of every wanted set, written."""
+    """(num, mark): the second signature, in low bytes, and then the shingles of every wanted set, written."""
 
     def mark(x: np.ndarray) -> bytes:
-        return signature(x, LONG).astype(np.uint8).tobytes() if len(x) else b""
+        return signature(x, LONG).astype(np.uint8).tobytes() + x.tobytes() if len(x) else b""
 
-    found = _texts(docs, reps, wanted, "mark", mark)
-    out = materialize(found.join(reps.select("num", "n"), "num"))
-    discard(found)
-    return out
+    return _texts(docs, reps, wanted, "mark", mark)
 
 
 def _across(batches, similar):
-    """Pairs of different components in each cell whose second signatures agree enough."""
+    """Links between different components in each cell, verified on full sets.
+
+    A cell joins the components it links and skips pairs that are joined by then, so that it hands on fewer
+    links than it has components, whatever the sizes of these."""
     held, current = [], None
 
     def flush():
-        n = np.array([x[1] for x in held])
-        mark = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(-1, LONG)
-        comp = np.array([x[3] for x in held])
+        mark = np.frombuffer(b"".join(x[1][:LONG] for x in held), np.uint8).reshape(-1, LONG)
+        sets = [np.frombuffer(x[1], np.uint64, offset=LONG) for x in held]
+        n = np.array([len(x) for x in sets])
+        _, comp = np.unique([x[2] for x in held], return_inverse=True)
         a, b = [], []
-        if comp.min() != comp.max():
-            for i in range(len(held) - 1):
-                rest = slice(i + 1, None)
-                fits = (comp[rest] != comp[i]) & (similar[0] * np.maximum(n[rest], n[i]) <= similar[1] * np.minimum(n[rest], n[i]))
-                near = np.flatnonzero(fits)
-                near = near[(mark[i + 1 + near, :_K] == mark[i, :_K]).sum(1) >= LEAST_AGREE]
-                near = near[(mark[i + 1 + near] == mark[i]).sum(1) >= LEAST_LONG] + i + 1
-                for j in near.tolist():
-                    x, y = sorted((held[i][0], held[j][0]))
-                    a.append(x)
-                    b.append(y)
+        for i in range(len(held) - 1):
+            if comp.min() == comp.max():
+                break
+            rest = slice(i + 1, None)
+            fits = (comp[rest] != comp[i]) & (similar[0] * np.maximum(n[rest], n[i]) <= similar[1] * np.minimum(n[rest], n[i]))
+            near = np.flatnonzero(fits)
+            near = near[(mark[i + 1 + near, :_K] == mark[i, :_K]).sum(1) >= LEAST_AGREE]
+            alike = (mark[i + 1 + near] == mark[i]).sum(1)
+            for j in (near[np.argsort(-alike, kind="stable")] + i + 1)[: (alike >= LEAST_LONG).sum()].tolist():
+                if comp[i] != comp[j]:
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if similar[1] * shared >= similar[0] * (n[i] + n[j] - shared):
+                        comp[comp == comp[j]] = comp[i]
+                        a.append(held[i][0])
+                        b.append(held[j][0])
         return a, b
 
     for batch in batches:
         a, b = [], []
-        columns = [batch[c].to_pylist() for c in ("bucket", "i", "j", "num", "n", "mark", "comp")]
+        columns = [batch[c].to_pylist() for c in ("bucket", "i", "j", "num", "mark", "comp")]
         for bucket, i, j, *row in zip(*columns):
             if (bucket, i, j) != current:
                 if len(held) > 1:
