@@ -9,7 +9,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from relweave.llm import bpe, divergence, grades, hardneg, katz, lsh, neardup, packing, quality, suffixes, tokenfiles, topk, toxicity
 from relweave.session import shared_dir
 
@@ -122,12 +121,6 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20"""
 
 
-@register
-def pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """The five stages of corpus_pipeline."""
-    return corpus_pipeline.run(spark, folder)
-
-
 @register
 def op6_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document by the model of the training documents."""
