@@ -1,8 +1,9 @@
-"""Byte-level BPE ids of whole texts, through a bounded cache of pieces.
+"""Byte-level BPE ids of whole texts, as little-endian bytes.
 
-A single space between two characters that are not white space always begins a pre-token of the
-usual pattern, whatever stands before it. Texts are cut there, and the ids of each different piece
-are computed once per worker. Ids are little-endian bytes, so that joining pieces is joining bytes.
+Texts are merged by ranks as a whole wherever the vocabulary is a table of ranks. Other vocabularies go
+through a bounded cache of pieces: a single space between two characters that are not white space always
+begins a pre-token of the usual pattern, whatever stands before it, so texts are cut there, and the ids of
+each different piece are computed once per worker.
 """
 
 from __future__ import annotations
@@ -63,6 +64,22 @@ class PieceCoder:
             return array(self.code, chain.from_iterable(map(self.ids_of, pieces))).tobytes()
 
 
+class RankCoder:
+    """Encodes texts by ranks. It keeps no pieces: natural text has too many different words to remember."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, code: str):
+        import tiktoken
+
+        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.code = code
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        return [self.encode_one(t) for t in texts]
+
+    def encode_one(self, text: str) -> bytes:
+        return array(self.code, self.merge(text)).tobytes()
+
+
 @lru_cache(maxsize=4)
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a tiktoken file."""
@@ -71,12 +88,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def rank_coder(path: str, pattern: str) -> PieceCoder:
+def rank_coder(path: str, pattern: str) -> RankCoder:
     """32-bit ids by ranks; each match of the pattern is merged on its own."""
-    import tiktoken
-
-    coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return PieceCoder(coder.encode_ordinary, "I")
+    return RankCoder(read_ranks(path), pattern, "I")
 
 
 @lru_cache(maxsize=4)
@@ -90,31 +104,30 @@ def rank_table(path: str) -> list[bytes]:
 
 
 @lru_cache(maxsize=4)
-def file_coder(path: str, pattern: str | None = None) -> PieceCoder:
+def file_coder(path: str, pattern: str | None = None) -> RankCoder | PieceCoder:
     """Ids of a tokenizers file without special tokens; 16 bits wide where the vocabulary allows it.
 
-    New pieces are encoded by the tokenizers library. Where ``pattern`` is given and the file is a
-    plain byte-level BPE whose merges make ids in rising order, its vocabulary says the same as a
-    table of ranks, and the faster merging by ranks gives the same ids.
+    Where ``pattern`` is given and the file is a plain byte-level BPE whose merges make ids in rising
+    order, its vocabulary says the same as a table of ranks, and the faster merging by ranks gives the
+    same ids. The tokenizers library, which takes as much memory again, is loaded for other files only.
     """
     import os
 
+    if pattern and (found := _ranks_of(path)):
+        ranks, size = found
+        return RankCoder(ranks, pattern, id_code(size))
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(path)
     coder.encode_special_tokens = True  # their strings in a text are ordinary text
     code = id_code(coder.get_vocab_size(with_added_tokens=True))
-    if pattern and (ranks := _ranks_of(path)):
-        import tiktoken
-
-        by_rank = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return PieceCoder(by_rank.encode_ordinary, code)
     return PieceCoder(lambda piece: coder.encode(piece, add_special_tokens=False).ids, code)
 
 
-def _ranks_of(path: str) -> dict[bytes, int] | None:
-    """The vocabulary of a tokenizers file as ranks, if it is byte-level BPE with ids in merge order."""
+def _ranks_of(path: str) -> tuple[dict[bytes, int], int] | None:
+    """The vocabulary of a tokenizers file as ranks, and its size with the added tokens, if it is
+    byte-level BPE with ids in merge order."""
     import json
 
     with open(path, encoding="utf-8") as f:
@@ -131,7 +144,7 @@ def _ranks_of(path: str) -> dict[bytes, int] | None:
     letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
     special = {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(letter[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-    return ranks if all(bytes([b]) in ranks for b in range(256)) else None
+    return (ranks, len(special | model["vocab"].keys())) if all(bytes([b]) in ranks for b in range(256)) else None
 
 
 def id_code(size: int) -> str:
