@@ -36,7 +36,7 @@ DISCOUNTED = 5
 #: Bytes of text per partition of the tables.
 PART_BYTES = 8_000_000
 #: Bytes of text that a task turns into vectors at once when it counts, and when it asks.
-COUNT_BYTES, ASK_BYTES = 16_000_000, 8_000_000
+COUNT_BYTES, ASK_BYTES = 8_000_000, 8_000_000
 #: Distinct words in a part of the table that words are looked up in, and tokens that ask one part at once.
 PART_WORDS, PART_TOKENS = 100_000, 4_000_000
 #: The texts are scored in so many shares, one after the other, so that only one share's questions are on disk.
@@ -45,11 +45,13 @@ _U = np.uint64
 BEGIN, END = _U(1), _U(2)
 _SCHEMA = "kind string, bucket int, a binary, b binary, c binary, d binary"
 _BLANK = {c: b"" for c in "abcd"}
+#: Rows of these kinds hold many sorted keys, and hold them squeezed: they fill the disk between the steps.
+_SQUEEZED = ("pair", "delta")
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         made = self[word] = max(3, xxhash.xxh64_intdigest(word))
         return made
@@ -63,17 +65,41 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> _U(29))) * _U(0xD6E8FEB86659FD93)
 
 
-def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, token, text number) of every token of a batch, the end tokens included."""
-    rows = []
+def _sequence(texts) -> tuple[np.ndarray, list[int]]:
+    """The tokens of a batch, an end token after each text, and the tokens of each text."""
+    rows, end = [], np.array([END])
     for t in texts:
         words = t.as_py().lower().split()  # ASCII only, as these are bytes
-        rows.append(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)))
-    size = np.array([len(r) + 1 for r in rows])
-    token = np.concatenate([x for r in rows for x in (r, [END])]).astype(np.uint64)
+        rows += [np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)), end]
+    return np.concatenate(rows), [len(r) + 1 for r in rows[::2]]
+
+
+def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, token, text number) of every token of a batch, the end tokens included."""
+    token, size = _sequence(texts)
     context = np.concatenate([[BEGIN], token[:-1]])
-    context[np.concatenate([[0], np.cumsum(size)[:-1]])] = BEGIN
-    return context, token, np.repeat(np.arange(len(rows)), size)
+    context[context == END] = BEGIN  # after an end, the next text begins
+    return context, token, np.repeat(np.arange(len(size)), size)
+
+
+def _distinct_pairs(place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, count) of the different pairs in a sequence, by context and word.
+
+    ``place`` are the places of its tokens in ``word``, which is sorted and begins with the end token; it
+    is used up. A pair is one number, sorted where it stands: two of its places and no list of positions.
+    """
+    size = _U(len(word))
+    key = place.astype(_U)
+    del place
+    key[1:] += key[:-1].copy() * size  # an end, at place 0, stands for the begin that follows it
+    key.sort()
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    n = np.diff(start).astype(np.uint32)
+    key = key[start[:-1]]
+    del start
+    first = word.copy()
+    first[0] = BEGIN
+    return first[key // size], word[key % size], n
 
 
 def _runs(bucket: np.ndarray):
@@ -84,9 +110,11 @@ def _runs(bucket: np.ndarray):
 
 
 def _deal(kind: str, key: np.ndarray, bits: int, *columns: np.ndarray):
-    """One row per hash range for vectors that are sorted by ``key``."""
+    """One row per hash range for vectors that are sorted by ``key``; the key itself is squeezed as ``a`` of pairs."""
     for own, start, end in _runs(key >> _U(64 - bits)):
         blobs = dict(zip("abcd", (c[start:end].tobytes() for c in columns)))
+        if kind in _SQUEEZED:
+            blobs["a"] = _squeeze(columns[0][start:end])
         yield {"kind": kind, "bucket": own, **_BLANK, **blobs}
 
 
@@ -113,6 +141,12 @@ def _of(table: pa.Table, kind: str, column: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype)
 
 
+def _keys(table: pa.Table, kind: str) -> np.ndarray:
+    """The squeezed keys of a kind, in the order of its rows."""
+    found = [_loosen(v.as_py()) for k, v in zip(table["kind"].to_pylist(), table["a"]) if k == kind and len(v.as_py())]
+    return np.concatenate(found) if found else np.zeros(0, _U)
+
+
 def _sum_by(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, where = np.unique(key, return_inverse=True)
     return unique, np.bincount(where, value, len(unique))
@@ -173,13 +207,9 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
 
     def tally(batch) -> pa.RecordBatch:
         """Counts of one slice; its vectors are gone before the next one is read."""
-        context, token, _ = _tokens(batch["text"])
-        word, n = np.unique(token, return_counts=True)
-        found = list(_deal("word", word, bits, word, n.astype(np.uint32)))
-        order = np.lexsort((token, context))
-        a, b = context[order], token[order]
-        start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        a, b, n = a[start], b[start], np.diff(np.append(start, len(a))).astype(np.uint32)
+        word, place = np.unique(_sequence(batch["text"])[0], return_inverse=True)
+        found = list(_deal("word", word, bits, word, np.bincount(place).astype(np.uint32)))
+        a, b, n = _distinct_pairs(place.astype(np.uint32), word)
         # by the hash of the pair: all pairs of a frequent word would be too many for one task
         part = (_pair(a, b) >> _U(64 - bits)).astype(np.uint32)
         order = np.argsort(part, kind="stable")
@@ -198,8 +228,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
         bucket = table["bucket"][0].as_py()
         word, n = _sum_by(_of(table, "word", "a", "<u8"), _of(table, "word", "b", "<u4"))
         b, c = (_of(table, "pair", x, t) for x, t in (("b", "<u8"), ("c", "<u4")))
-        a = [_loosen(v.as_py()) for k, v in zip(table["kind"].to_pylist(), table["a"]) if k == "pair"]
-        a = np.concatenate(a) if a else np.zeros(0, _U)
+        a = _keys(table, "pair")
         order = np.lexsort((b, a))
         a, b, c = a[order], b[order], c[order]
         start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, int)
@@ -208,9 +237,10 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
         ranks = np.concatenate([np.bincount(np.minimum(x.astype(np.int64), DISCOUNTED + 2), minlength=DISCOUNTED + 3) for x in (n, c)])
         stats = np.concatenate([[int(n.sum()), len(word)], ranks]).astype("<i8")
         keep = c >= least
+        kept = _squeeze(a[keep]) if keep.any() else b""
         return _out([
             {"kind": "word", "bucket": bucket, **_BLANK, "a": word.tobytes(), "b": n.astype("<i8").tobytes(), "d": stats.tobytes()},
-            {"kind": "pair", "bucket": bucket, **_BLANK, "a": a[keep].tobytes(), "b": b[keep].tobytes(), "c": c[keep].astype("<i8").tobytes()},
+            {"kind": "pair", "bucket": bucket, **_BLANK, "a": kept, "b": b[keep].tobytes(), "c": c[keep].astype("<i8").tobytes()},
         ])
 
     counted = materialize(_grouped(docs.mapInArrow(count, _SCHEMA), merge))
@@ -241,27 +271,35 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
     def by_second(batches):
         for batch in batches:
             for a, b, c in zip(*(batch[x].to_pylist() for x in "abc")):
-                a, b, c = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), np.frombuffer(c, "<i8")
+                if not b:
+                    continue
+                a, b, c = _loosen(a), np.frombuffer(b, "<u8"), np.frombuffer(c, "<i8")
                 order = np.argsort(b, kind="stable")
                 yield _rows(list(_deal("pair", b[order], bits, b[order], a[order], c[order])))
 
-    def with_share(table: pa.Table) -> pa.Table:
+    def with_count(table: pa.Table) -> pa.Table:
+        """The words as they are, and the pairs by their first word with the count of the second."""
         word, n = _of(table, "word", "a", "<u8"), _of(table, "word", "b", "<i8")
-        b, a, c = _of(table, "pair", "a", "<u8"), _of(table, "pair", "b", "<u8"), _of(table, "pair", "c", "<i8")
+        b, a, c = _keys(table, "pair"), _of(table, "pair", "b", "<u8"), _of(table, "pair", "c", "<i8")
         at, _ = _find(word, b)
-        p = share(n)[at] if len(b) else np.zeros(0)
+        n_b = n[at] if len(b) else np.zeros(0, np.int64)
         order = np.argsort(a, kind="stable")
-        return _out(list(_deal("pair", a[order], bits, a[order], b[order], c[order], p[order])))
+        found = list(_deal("word", word, bits, word, n))
+        return _out(found + list(_deal("pair", a[order], bits, a[order], b[order], c[order], n_b[order])))
 
     pairs = counted.filter("kind = 'pair'").mapInArrow(by_second, _SCHEMA)
-    words = counted.filter("kind = 'word'")
-    shared = _grouped(words.withColumn("d", F.lit(b"")).unionByName(pairs), with_share)
+    words = counted.filter("kind = 'word'").withColumn("d", F.lit(b""))
+    counts = materialize(_grouped(words.unionByName(pairs), with_count))
+    discard(counted)  # the next step shuffles the pairs again
+    release(df.sparkSession)
 
     def weights(table: pa.Table) -> pa.Table:
         # every word is a context as often as it occurs, and a text's begin as often as its end
         ctx, total = _of(table, "word", "a", "<u8"), _of(table, "word", "b", "<i8")
         ctx = np.where(ctx == END, BEGIN, ctx)
-        a, b, c, p = (_of(table, "pair", x, t) for x, t in (("a", "<u8"), ("b", "<u8"), ("c", "<i8"), ("d", "<f8")))
+        a = _keys(table, "pair")
+        b, c, n_b = (_of(table, "pair", x, t) for x, t in (("b", "<u8"), ("c", "<i8"), ("d", "<i8")))
+        p = share(n_b)
         d = np.ones(DISCOUNTED + 2)
         for r, v in pair_d.items():
             d[r] = v
@@ -283,7 +321,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
             found += _deal("hot", key[hot], bits, c[hot].astype("<i8"))
         return _out(found)
 
-    weighted = _grouped(words.withColumn("d", F.lit(b"")).unionByName(shared), weights)
+    weighted = _grouped(counts, weights)
 
     def final_words(batches):
         for batch in batches:
@@ -292,8 +330,8 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
                 base = np.log10((n + 1) / (tokens + types + 1))
                 yield _rows([{"kind": "word", "bucket": bucket, **_BLANK, "a": a, "b": np.log10(share(n)).tobytes(), "c": base.tobytes()}])
 
-    tables = materialize(weighted.unionByName(words.mapInArrow(final_words, _SCHEMA)))
-    discard(counted)
+    tables = materialize(weighted.unionByName(counts.filter("kind = 'word'").mapInArrow(final_words, _SCHEMA)))
+    discard(counts)
     release(df.sparkSession)
     pair_turns = collections.Counter()
     for r in tables.filter("kind = 'hot'").select("bucket", "a").collect():  # at most four times the partitions
@@ -381,7 +419,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
         ctx, alpha = _of(table, "alpha", "a", "<u8"), _of(table, "alpha", "b", "<f8")
         order = np.argsort(ctx)
         ctx, alpha = ctx[order], alpha[order]
-        pair, delta = _of(table, "delta", "a", "<u8"), _of(table, "delta", "b", "<f8")
+        pair, delta = _keys(table, "delta"), _of(table, "delta", "b", "<f8")
         order = np.argsort(pair)
         pair, delta = pair[order], delta[order]
         for i, name in enumerate(names):

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from array import array
 
@@ -76,6 +77,17 @@ def test_file_coder_equals_the_library():
         assert tokens.file_coder(FILE, P.PATTERN).encode_one(text) == ids == tokens.file_coder(FILE).encode_one(text)
 
 
+def test_coders_by_rank_remember_no_words():
+    for coder in (tokens.file_coder(FILE, P.PATTERN), tokens.rank_coder(RANKS, P.PATTERN)):
+        text = " ".join(f"w{i:x}q" for i in range(30_000))
+        coder.encode_one("a b")
+        tracemalloc.start()
+        coded = coder.encode_one(text)
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        assert held < 2 * len(coded)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2_047, 2_048, 2_049, 9_000])
 @pytest.mark.parametrize("bits", [4, 16, 24])
 def test_range_coder_round_trip(n, bits):
@@ -391,6 +403,23 @@ def test_links_below_the_bands_are_refused(odd):
         neardup.near_duplicates(odd, similar=(50, 100))
 
 
+def test_katz_counts_a_slice_in_little_memory():
+    draw = np.random.default_rng(1)
+    token = draw.integers(3, 60_000, 200_000).astype(np.uint64) * np.uint64(1 << 40)
+    token[draw.integers(0, len(token), 900)] = katz.END
+    token[[0, -1]] = katz.END
+    word, place = np.unique(token, return_inverse=True)
+    place = place.astype(np.uint32)
+    tracemalloc.start()
+    a, b, n = katz._distinct_pairs(place, word)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    before = [int(katz.BEGIN), *(int(t) if t != katz.END else int(katz.BEGIN) for t in token[:-1])]
+    want = sorted(collections.Counter(zip(before, token.tolist())).items())
+    assert list(zip(zip(a.tolist(), b.tolist()), n.tolist())) == want
+    assert most < 8 * 6 * len(token)
+
+
 def test_katz(spark, docs, odd, none):
     rows = docs[:120] + [(i, t) for i, t, _ in ODD if i is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
