@@ -7,7 +7,9 @@ import collections
 import pytest
 from pyspark.sql import functions as F
 
+from relweave.functions.aggregates import class_counts
 from relweave.operators import sampling as P
+from relweave.operators import selection as L
 
 #: How 900 rows get their ids: each its own, ten rows each, one for all, none, or a mix.
 IDS = {
@@ -100,3 +102,55 @@ def test_weights_steer_a_sample(spark):
     df = spark.createDataFrame(rows, SCHEMA + ", weight double")
     got = {r["w"]: r["n"] for r in P.weighted_sample(df, 2_000).groupBy(F.col("weight").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert 0.0 not in got and sum(got.values()) == 2_000 and 5 < got[9.0] / got[1.0] < 14
+
+
+def test_classes_are_dealt_out_anew_without_moving_rows(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("row_id"), (F.col("id") % 7).alias("at"), "id")
+    df = df.withColumn("label", F.when(F.col("id") < 500, "b").when(F.col("id") < 2999, "a"))  # one row has no class
+    sizes = class_counts(df)
+    out = df.withColumn("y", P.permute_classes(df, sizes, seed="x", row_id=("row_id", "id")))
+    assert class_counts(out, "y") == sizes  # ids alike are told apart by the second column
+    both = out.filter("label = 'b' and y = 'b'").count()
+    assert 45 < both < 125  # 83 expected
+    other = df.withColumn("y", P.permute_classes(df, sizes, seed="z", row_id=("row_id", "id")))
+    assert out.join(other.select("id", F.col("y").alias("y2")), "id").filter("not y <=> y2").count() > 400
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nth_numbers_narrow_to_the_rank(spark, monkeypatch):
+    monkeypatch.setattr(P, "_FEW", 3)
+    values = sorted([(i * 2654435761 * 40503) % 2**64 - 2**63 for i in range(500)] + [7] * 20)
+    df = spark.createDataFrame([(v,) for v in reversed(values)], "h long")
+    ranks = [1, 2, 250, values.index(7) + 1, values.index(7) + 20, 519, 520]
+    assert P.nth_numbers(df, F.col("h"), ranks) == [values[r - 1] for r in ranks]
+    assert P.nth_numbers(df, F.col("h"), []) == []
+
+
+def test_nth_counts_all_rows_without_sorting_them(spark, monkeypatch):
+    df = spark.range(5000).select(F.col("id").alias("row_id"))
+    plans = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or collect(d))
+    value, taken, tied = P.nth(df, P.draw(0), 1234)
+    monkeypatch.undo()
+    assert "Sort" not in plans[0]
+    draws = sorted(r[0] for r in df.select(P.draw(0)).collect())
+    assert (value, taken, tied) == (draws[1233], 1, 1)
+
+
+def _signal(spark, ids):
+    i = F.col("id")
+    noise = F.pmod(F.xxhash64("id"), F.lit(97)).cast("double")
+    return spark.range(1200).select(ids.alias("row_id"), (i % 3 == 0).cast("int").alias("label"), (i % 3).cast("double").alias("x"), noise.alias("z"))
+
+
+@pytest.mark.parametrize("ids", ["id", "id div 40", "cast(null as bigint)"])
+def test_null_importance_orders_no_rows(spark, monkeypatch, ids):
+    def refused(*args, **kw):
+        raise AssertionError("rows are ordered")
+
+    monkeypatch.setattr(P, "row_index", refused)
+    out = L.null_importance(_signal(spark, F.expr(ids)), ["x", "z"], runs=3, trees=4, max_depth=3).collect()
+    found = {r["feature"]: r for r in out}
+    assert set(found) == {"x", "z"}
+    assert found["x"]["gain_score"] == 100.0 and found["x"]["gain_log"] > 1
