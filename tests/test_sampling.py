@@ -154,3 +154,11 @@ def test_null_importance_orders_no_rows(spark, monkeypatch, ids):
     found = {r["feature"]: r for r in out}
     assert set(found) == {"x", "z"}
     assert found["x"]["gain_score"] == 100.0 and found["x"]["gain_log"] > 1
+
+
+def test_backward_elimination_fits_each_feature_set_once(spark, monkeypatch):
+    fitted = []
+    forest = L.random_forest
+    monkeypatch.setattr(L, "random_forest", lambda *a, **kw: fitted.append(1) or forest(*a, **kw))
+    assert L.backward_elimination(_signal(spark, F.col("id")), ["x", "z"], trees=4, max_depth=3) == ["x"]
+    assert len(fitted) == 2  # both features, and the one that stays
