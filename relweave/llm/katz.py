@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import collections
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,24 +40,43 @@ COUNT_BYTES, ASK_BYTES = 8_000_000, 8_000_000
 #: Distinct words in a part of the table that words are looked up in, and tokens that ask one part at once.
 PART_WORDS, PART_TOKENS = 100_000, 4_000_000
 #: The texts are scored in so many shares, one after the other, so that only one share's questions are on disk.
-ROUNDS = 2
+ROUNDS = 3
 _U = np.uint64
 BEGIN, END = _U(1), _U(2)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Masks of the first bytes of eight, by their number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 _SCHEMA = "kind string, bucket int, a binary, b binary, c binary, d binary"
 _BLANK = {c: b"" for c in "abcd"}
 #: Rows of these kinds hold many sorted keys, and hold them squeezed: they fill the disk between the steps.
 _SQUEEZED = ("pair", "delta")
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        made = self[word] = max(3, xxhash.xxh64_intdigest(word))
-        return made
-
-
-_WORDS = _Words()
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word, in order; by pieces of a megabyte, so that a long text needs little at once."""
+    hashes, starts, at = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        gap = _SPACE.search(raw, at + (1 << 20))
+        end = gap.start() if gap else len(raw)
+        piece = np.frombuffer(raw[at:end].lower() + bytes(8), np.uint8)  # ASCII only, as these are bytes
+        inside = np.zeros(end - at + 2, np.int8)
+        body = piece[:-8]
+        inside[1:-1] = (body != 32) & (body - np.uint8(9) > 4)
+        edges = np.flatnonzero(np.diff(inside))
+        first, size = edges[::2], edges[1::2] - edges[::2]
+        eight = np.ndarray(len(piece) - 7, "<u8", piece, strides=(1,))  # the eight bytes from every place on
+        key = size.astype(_U) * _U(0x9E3779B97F4A7C15)
+        rest = np.arange(len(first))
+        for done in range(0, int(size.max(initial=0)), 8):
+            rest = rest[size[rest] > done]
+            x = key[rest] ^ (eight[first[rest] + done] & _FIRST[np.minimum(size[rest] - done, 8)])
+            x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+            x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+            key[rest] = x ^ (x >> _U(32))
+        hashes.append(np.maximum(key, _U(3)))
+        starts.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,11 +86,12 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sequence(texts) -> tuple[np.ndarray, list[int]]:
     """The tokens of a batch, an end token after each text, and the tokens of each text."""
-    rows, end = [], np.array([END])
-    for t in texts:
-        words = t.as_py().lower().split()  # ASCII only, as these are bytes
-        rows += [np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)), end]
-    return np.concatenate(rows), [len(r) + 1 for r in rows[::2]]
+    found = [t.as_py() for t in texts]
+    word, start = _words(b"\n".join(found))
+    n = np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in found)])))
+    out = np.full(len(word) + len(found), END)
+    out[np.arange(len(word)) + np.repeat(np.arange(len(found)), n)] = word
+    return out, (n + 1).tolist()
 
 
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,6 +122,19 @@ def _distinct_pairs(place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np
     return first[key // size], word[key % size], n
 
 
+def _asked(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, count) of the different pairs of keys and 16-bit text numbers, in order: two plain sorts."""
+    order = np.argsort(key)
+    key, of = key[order], of[order]
+    new = np.concatenate([[False], key[1:] != key[:-1]])
+    both = np.cumsum(new, dtype=_U) << _U(16) | of
+    both.sort()
+    key = key[np.flatnonzero(np.concatenate([[True], new[1:]]))]
+    start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    both, times = both[start], np.diff(np.append(start, len(both))).astype("<u4")
+    return key[both >> _U(16)], (both & _U(0xFFFF)).astype(np.uint16), times
+
+
 def _runs(bucket: np.ndarray):
     """(value, start, end) of every run of equal values."""
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
@@ -243,7 +276,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
             {"kind": "pair", "bucket": bucket, **_BLANK, "a": kept, "b": b[keep].tobytes(), "c": c[keep].astype("<i8").tobytes()},
         ])
 
-    counted = materialize(_grouped(docs.mapInArrow(count, _SCHEMA), merge))
+    counted = materialize(_grouped(docs.mapInArrow(count, _SCHEMA), merge), "zstd")
     release(df.sparkSession)
     part_of = {r["bucket"]: np.frombuffer(r["d"], "<i8") for r in counted.filter("kind = 'word'").select("bucket", "d").collect()}  # 20 numbers a partition
     stats = list(part_of.values())
@@ -289,7 +322,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
 
     pairs = counted.filter("kind = 'pair'").mapInArrow(by_second, _SCHEMA)
     words = counted.filter("kind = 'word'").withColumn("d", F.lit(b""))
-    counts = materialize(_grouped(words.unionByName(pairs), with_count))
+    counts = materialize(_grouped(words.unionByName(pairs), with_count), "zstd")
     discard(counted)  # the next step shuffles the pairs again
     release(df.sparkSession)
 
@@ -330,7 +363,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int =
                 base = np.log10((n + 1) / (tokens + types + 1))
                 yield _rows([{"kind": "word", "bucket": bucket, **_BLANK, "a": a, "b": np.log10(share(n)).tobytes(), "c": base.tobytes()}])
 
-    tables = materialize(weighted.unionByName(counts.filter("kind = 'word'").mapInArrow(final_words, _SCHEMA)))
+    tables = materialize(weighted.unionByName(counts.filter("kind = 'word'").mapInArrow(final_words, _SCHEMA)), "zstd")
     discard(counts)
     release(df.sparkSession)
     pair_turns = collections.Counter()
@@ -374,11 +407,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                 key, of = np.concatenate([token, first[0]]), np.concatenate([doc, first[1]])
             else:
                 key, of = _pair(context, token), doc
-            order = np.lexsort((of, key))
-            key, of = key[order], of[order]
-            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
-            times = np.diff(np.append(start, len(key))).astype("<u4")
-            key, of = key[start], of[start]
+            key, of, times = _asked(key, of)
             bucket = (key >> _U(64 - wide)).astype(np.int64) if wide else np.zeros(len(key), np.int64)
             for own, i, j in _runs(bucket):
                 turn = (number ^ (number >> 32)) % turns.get(own, 1)

@@ -13,6 +13,7 @@ from array import array
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -420,6 +421,32 @@ def test_katz_counts_a_slice_in_little_memory():
     assert most < 8 * 6 * len(token)
 
 
+def test_katz_words_without_a_dictionary():
+    """Hashes of words come from their bytes at once, also across pieces of a long text; before, word by word."""
+    draw = np.random.default_rng(3)
+    alphabet = [b" ", b"\n", b"\t", b"\x0b", b"\x0c", b"\r", b"A", b"a", b"Z", b"[", b"\x08", b"\x0e", b"\x1f", b"\x00", b"`", b"\xc3\xa9", b"bcdefghijkl"]
+    texts = [b"".join(alphabet[i] for i in draw.integers(0, len(alphabet), n)) for n in (0, 1, 2, 3, 8, 60, 2000, 0)]
+    texts.append(b" ".join(b"Word%d" % i for i in range(250_000)))
+    texts.append(texts[-1].lower())
+    token, size = katz._sequence(pa.array(texts, pa.binary()))
+    words = [t.lower().split() for t in texts]
+    assert size == [len(w) + 1 for w in words]
+    flat, known = [x for w in words for x in [*w, None]], {}
+    assert len(flat) == len(token)
+    assert all(known.setdefault(w, h) == h for w, h in zip(flat, token.tolist()))
+    assert known[None] == katz.END and len(set(known.values())) == len(known) and int(katz.BEGIN) not in known.values()
+    assert not hasattr(katz, "_WORDS")
+
+
+def test_katz_asks_once_for_a_key_and_text():
+    draw = np.random.default_rng(4)
+    key, of = draw.integers(0, 40, 5000).astype(np.uint64) << np.uint64(58), draw.integers(0, 30, 5000).astype(np.uint16)
+    want = collections.Counter(zip(key.tolist(), of.tolist()))
+    a, b, n = katz._asked(key, of)
+    assert list(zip(a.tolist(), b.tolist())) == sorted(want) and n.tolist() == [want[x] for x in sorted(want)]
+    assert b.dtype == np.uint16 and n.dtype == np.uint32
+
+
 def test_katz(spark, docs, odd, none):
     rows = docs[:120] + [(i, t) for i, t, _ in ODD if i is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
