@@ -103,6 +103,17 @@ def test_range_coder_round_trip(n, bits):
             mixcoder.decode(bytes(payload), coded[1], coded[2], n, bits)
 
 
+def test_range_coder_renews_its_parts_once_a_window(monkeypatch):
+    renewed, plain = [], mixcoder._Model._intervals
+    monkeypatch.setattr(mixcoder._Model, "_intervals", lambda model: renewed.append(1) or plain(model))
+    ids = np.minimum(np.random.default_rng(5).zipf(1.2, 9_000), 49_999)
+    ids[3_000:6_000] = np.resize(ids[:50], 3_000)
+    coded = mixcoder.encode(ids, 16)
+    assert (mixcoder.decode(*coded, len(ids), 16) == ids).all()
+    assert len(renewed) <= 2 * (2 + 4 + mixcoder.BLOCK // 128)
+    assert len(coded[0]) < len(ids)  # at 16 bits an id it would be twice as much
+
+
 def test_token_files(spark, odd, none, tmp_path):
     coder = tokens.file_coder(FILE)
     for df, rows in ((odd, ODD), (none, [])):
