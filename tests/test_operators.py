@@ -19,6 +19,7 @@ from relweave.operators import clean as C
 from relweave.operators import encode as E
 from relweave.operators import generate as G
 from relweave.operators import sampling as P
+from relweave.operators import selection
 from relweave.operators.merge import MergeOptions, MergePlan, merge_tables, relation_edges, table_depths, to_many_join, to_one_join
 from relweave.operators.skyline import choose_rows, skyline
 from relweave.operators.temporal import as_of_join, as_of_joins, bucket_count, rolling_join, window_size
@@ -476,6 +477,18 @@ def test_permutation_keeps_the_label_counts(skewed, tiny):
     assert out.count() == 400 and out.agg(F.sum("permuted")).first()[0] == 134
 
 
+def test_every_row_is_a_donor_once(spark):
+    rows = [(i % 5 if i % 7 else None, float(i) if i % 3 else None, i) for i in range(60)] + [(1, 2.0, 60)] * 2
+    df = spark.createDataFrame(rows, "row_id long, x double, n long")
+    for some in (df, df.limit(1), df.limit(0)):
+        out = selection.shuffle_rows(some, ["x", "n"]).collect()
+        have = sorted(some.collect(), key=repr)
+        assert sorted([r[:3] for r in out], key=repr) == [tuple(r) for r in have]
+        assert sorted([tuple(r["__donor"]) for r in out], key=repr) == sorted([tuple(r)[1:] for r in have], key=repr)
+    out = selection.shuffle_rows(df, ["x", "n"]).collect()
+    assert sum(r["__donor"]["n"] == r["n"] for r in out) <= 2  # the two equal rows may be each other's
+
+
 def test_weighted_sample_prefers_heavy_rows(spark):
     df = spark.range(2000).select(F.col("id").alias("row_id"), F.when(F.col("id") < 1000, 9.0).otherwise(1.0).alias("weight"))
     heavy = P.weighted_sample(df, 500).filter("row_id < 1000").count()
