@@ -10,6 +10,7 @@ from relweave import Scale
 from relweave.functions import rolling as frames
 from relweave.functions.ordered import Scan, key_sizes, lag, prefix_scan, row_index
 from relweave.functions.rolling import rolling
+from relweave.operators.generate import cumulative_features
 
 
 @pytest.fixture(scope="module")
@@ -167,3 +168,16 @@ def test_global_plans_have_no_single_partition_over_rows(frame, tiny):
     plan = row_index(frame[0], ["t", "id"], scale=tiny)._jdf.queryExecution().toString()
     body = plan.split("== Physical Plan ==")[1]
     assert body.count("SinglePartition") <= 1  # the per-block totals only
+
+
+def test_scans_of_one_column_share_their_running_values(spark, capsys):
+    df = spark.createDataFrame([(i, float(i % 5) if i % 3 else None) for i in range(50)], "row_id long, n_x double")
+    out = cumulative_features(df, ["n_x"])
+    out.explain(True)
+    logical = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert logical.count("windowspecdefinition") == 4  # sum, rows, max, min
+    n = total = 0
+    for r in out.orderBy("row_id").collect():
+        n, total = n + 1, total + (r.n_x or 0.0)
+        want = (total, total / n) if r.n_x is not None else (None, None)
+        assert (r.n_cumsum__n_x, r.n_cummean__n_x) == want
