@@ -60,6 +60,7 @@ class _Model:
         slots = _SLOTS1 + _SLOTS2
         self.lanes, self.lane, self.base = lanes, lane, np.stack([lane * slots, lane * slots + _SLOTS1])
         self.table = np.zeros(lanes * slots, np.uint32)
+        self.wide = -(-lanes // 8) * 8
         self.tries = np.zeros((3, 4, 4, 2, lanes), np.int32)  # what came (literal, order 1, order 2) by cell
         self.weights = np.repeat(np.array([[13_000], [36_000], [16_000]], np.int32), lanes, 1)
         self.classes = _class_count(bits)
@@ -146,16 +147,16 @@ class _Model:
     def find(self, value: np.ndarray, end1: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The class whose part of the range holds the value (the last start that is not above it) and its place."""
         if self.spans is None:
-            marks = np.zeros((_SPANS, self.lanes), np.uint8)
+            marks = np.zeros((_SPANS, self.wide), np.uint8)
             marks[(self.ends[1:-1] + (_LEAST - 1)) // _LEAST, self.lane] = 1
-            self.spans = np.cumsum(marks, 0, dtype=np.uint8).ravel()
+            eight = marks.view(np.uint64)  # lanes at once, none of which counts to 256
+            self.spans = np.cumsum(eight, 0, out=eight).view(np.uint8).ravel()
         target = value - end1
-        target += 1
         target <<= 12
-        target -= 1
+        target += _TOTAL - 1
         target = (target / mass).astype(np.int64)  # exact, both are short
         place = target >> 3
-        place *= self.lanes
+        place *= self.wide
         place += self.lane
         kind = self.spans.take(place, mode="clip").astype(np.int64)
         place = kind * self.lanes
@@ -287,7 +288,7 @@ def encode(ids: np.ndarray, bits: int) -> tuple[bytes, bytes, bytes]:
     packed = [_pack(lows[i : i + _PIECE], grid[i : i + _PIECE]) for i in range(0, blocks, _PIECE)]
     raw, raws = map(np.concatenate, zip(*packed))
     payload = b"".join(coded[i, :n].tobytes() for i, n in enumerate(counts)) + raw.tobytes()
-    sums = [zlib.crc32(grid[i, :n].astype("<u4").tobytes()) for i, n in enumerate(size)]
+    sums = [zlib.crc32(grid[i, :n].astype("<u4", copy=False)) for i, n in enumerate(size)]
     return payload, np.concatenate([counts, raws]).astype("<u4").tobytes(), np.array(sums, "<u4").tobytes()
 
 
@@ -312,6 +313,8 @@ def decode(payload: bytes, words: bytes, sums: bytes, n: int, bits: int) -> np.n
     bases, masks = bases.astype(np.uint32), ((1 << widths) - 1).astype(np.uint64)
     grid = np.zeros((BLOCK, blocks), np.uint32)
     x = before = np.zeros(blocks, np.uint32)
+    # of a literal, order 1 and order 2
+    starts, ends, ids = (np.zeros((3, blocks), kind) for kind in (np.int64, np.int64, np.uint32))
     for t0, t1 in _windows(int(size.max())):
         cells = np.empty((t1 - t0, blocks), np.int64)
         came, kinds = np.empty(cells.shape, np.uint8), []
@@ -319,8 +322,8 @@ def decode(payload: bytes, words: bytes, sums: bytes, n: int, bits: int) -> np.n
             places = model.keys(x, before)
             before, x = x, grid[t]
             found = model.table.take(places, mode="clip")
-            hit1, hit2 = found >> 2
-            cell = cells[t - t0] = model.cells(found, hit1 == hit2)
+            named = np.right_shift(found, 2, out=ids[1:])
+            cell = cells[t - t0] = model.cells(found, named[0] == named[1])
             end2, end1 = model.end2.take(cell, mode="clip"), model.end1.take(cell, mode="clip")
             if t == last:
                 left = int(code[-1])  # of the last block, which may be short
@@ -330,9 +333,13 @@ def decode(payload: bytes, words: bytes, sums: bytes, n: int, bits: int) -> np.n
             two, hit = value < end2, value < end1
             mass = 65_536 - end1
             kind, place = model.find(value, end1, mass)
-            start, end = model.literal(place, end1, mass)
-            start = np.where(two, 0, np.where(hit, end2, start))
-            end = np.where(two, end2, np.where(hit, end1, end))
+            what = np.add(two, hit, dtype=np.int64)
+            came[t - t0] = what
+            what *= blocks
+            what += model.lane
+            starts[0], ends[0] = model.literal(place, end1, mass)
+            starts[1], ends[1], ends[2] = end2, end1, end2
+            start, end = starts.take(what), ends.take(what)
             end -= start
             code -= part * start
             np.multiply(part, end, out=rng)
@@ -341,9 +348,9 @@ def decode(payload: bytes, words: bytes, sums: bytes, n: int, bits: int) -> np.n
             rest &= masks.take(kind, mode="clip")
             lit = ~hit
             bit += widths.take(kind, mode="clip") * lit
-            rest = rest.astype(np.uint32)
-            rest += bases.take(kind, mode="clip")
-            x[:] = np.where(two, hit2, np.where(hit, hit1, rest))
+            ids[0] = rest
+            ids[0] += bases.take(kind, mode="clip")
+            ids.take(what, out=x, mode="clip")
             if t >= last:
                 code[-1], rng[-1], lit[-1] = 0, 1 << _TOP, False
             small = rng - (1 << _LOW)
@@ -356,13 +363,12 @@ def decode(payload: bytes, words: bytes, sums: bytes, n: int, bits: int) -> np.n
             code <<= small
             code |= word
             model.note(found, places, x << 2)
-            np.add(two, hit, out=came[t - t0], dtype=np.uint8)
             kinds.append(place[lit])
         model.renew(cells, came, np.concatenate(kinds))
     if left or code.any():
         raise ValueError("a token segment is damaged: the coded words do not end where they should")
-    ids = np.ascontiguousarray(grid.T)
+    rows = np.ascontiguousarray(grid.T).astype("<u4", copy=False)
     for i, (length, want) in enumerate(zip(size, np.frombuffer(sums, "<u4"), strict=True)):
-        if zlib.crc32(ids[i, :length].astype("<u4").tobytes()) != want:
+        if zlib.crc32(rows[i, :length]) != want:
             raise ValueError(f"a token segment is damaged: block {i} does not have its checksum")
-    return ids.ravel()[:n].astype(np.int64)
+    return rows.ravel()[:n]

@@ -57,7 +57,7 @@ def write(
 
         def flush():
             raw = b"".join(x[1] for x in held)
-            ids = as_ids(raw, coder.code).astype(np.int64)
+            ids = as_ids(raw, coder.code)
             bits = max(4, int(ids.max()).bit_length())
             if bits > BITS:
                 raise ValueError("ids must lie below 2**24")
@@ -99,7 +99,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch[c][i].as_py() for c in batch.schema.names if c != "doc_ids"}
-                ids = decode(row["payload"], row["words"], row["sums"], row["n_ids"], row["bits"]).astype("<u4")
+                ids = decode(row["payload"], row["words"], row["sums"], row["n_ids"], row["bits"])
                 ends = np.cumsum(np.frombuffer(row["lengths"], "<u8").astype(np.int64))
                 raw, at, start = ids.tobytes(), row["first"] + row["before"], 0
                 docs, starts, found = batch["doc_ids"][i].values, [], []

@@ -20,6 +20,7 @@ import numpy as np
 #: Pieces a worker remembers before it starts anew.
 CACHE_PIECES = 120_000
 
+_NO_SPECIAL: frozenset[str] = frozenset()
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -70,14 +71,20 @@ class RankCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, code: str):
         import tiktoken
 
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        # one special string, never allowed, so never made: without any, every place of a text would be tried
+        special = {"<|none|>": max(ranks.values(), default=-1) + 1}
+        self.merger = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.code = code
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         return [self.encode_one(t) for t in texts]
 
     def encode_one(self, text: str) -> bytes:
-        return array(self.code, self.merge(text)).tobytes()
+        try:  # 32-bit ids as they are, not a list of numbers
+            ids = self.merger.encode_to_numpy(text, allowed_special=_NO_SPECIAL, disallowed_special=())
+        except UnicodeEncodeError:  # half a surrogate pair
+            ids = np.array(self.merger.encode_ordinary(text), np.uint32)
+        return ids.astype("<u2" if self.code == "H" else "<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=4)

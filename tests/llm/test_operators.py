@@ -114,6 +114,15 @@ def test_range_coder_renews_its_parts_once_a_window(monkeypatch):
     assert len(coded[0]) < len(ids)  # at 16 bits an id it would be twice as much
 
 
+def test_rank_coder_knows_no_special_text():
+    coder = tokens.rank_coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    table = tokens.rank_table(P.path("byte_bpe_multi_50k.tiktoken"))
+    for text in ("<|none|>", "a <|none|> b<|no", "\u00e9<|none|>\u4e2d", ""):
+        ids = tokens.as_ids(coder.encode_one(text), "I")
+        assert b"".join(table[i] for i in ids) == text.encode()
+    assert coder.encode_one("a\ud800") == coder.encode_one("a\ufffd")
+
+
 def test_token_files(spark, odd, none, tmp_path):
     coder = tokens.file_coder(FILE)
     for df, rows in ((odd, ODD), (none, [])):
