@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import collections
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from relweave.functions.aggregates import class_counts
+from relweave.operators import cells as C
 from relweave.operators import sampling as P
 from relweave.operators import selection as L
 
@@ -162,3 +164,62 @@ def test_backward_elimination_fits_each_feature_set_once(spark, monkeypatch):
     monkeypatch.setattr(L, "random_forest", lambda *a, **kw: fitted.append(1) or forest(*a, **kw))
     assert L.backward_elimination(_signal(spark, F.col("id")), ["x", "z"], trees=4, max_depth=3) == ["x"]
     assert len(fitted) == 2  # both features, and the one that stays
+
+
+def test_null_importance_query_grows_the_whole_forests(monkeypatch):
+    from relweave.plans import catalog_models as M
+
+    seen = []
+    monkeypatch.setattr(M, "_lines", lambda *a: None)
+    monkeypatch.setattr(M, "tidy", lambda d: d)
+    monkeypatch.setattr(L, "null_importance", lambda df, names, **kw: seen.append(kw))
+    M.null_importance(None, "")
+    whole = {"runs": L.NULL_RUNS, "trees": L.FOREST_TREES, "max_depth": L.FOREST["max_depth"]}
+    assert [{**whole, **kw} for kw in seen] == [whole]  # it was 3 runs of 5 trees of depth 4
+
+
+@pytest.mark.parametrize("most", [C.MAX_CELLS, 1])
+def test_forests_of_cells_match_those_of_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "MAX_CELLS", most)  # 1: forests of rows, as for tables of too many cells
+    i = F.col("id")
+    y = (F.pmod(F.xxhash64("id"), F.lit(10)) < F.when(i % 40 > 18, 8).otherwise(2)).cast("int")
+    df = spark.range(4000).select((i % 40).cast("double").alias("a"), (i % 3).cast("double").alias("b"), y.alias("label"), i.alias("row_id"))
+    kw = {"max_depth": 4, "bagging_fraction": 0.8, "feature_fraction": "sqrt"}
+    rows = df.select(F.col("row_id").alias("__id"), F.lit(0).alias("__at"), F.col("label").alias("__y"), "a", "b")
+    mine = L._importances(rows, ["a", "b"], [F.col("__y")], 2, [0], 80, {**L.FOREST, **kw})[0]
+    theirs = {r["feature"]: r for r in L.forest_importance(df, ["a", "b"], trees=80, **kw).collect()}
+    for f, (gain, split) in zip(["a", "b"], mine, strict=True):
+        assert gain == pytest.approx(theirs[f]["gain"], rel=0.15, abs=0.02 * theirs["a"]["gain"])
+        assert split == pytest.approx(theirs[f]["split"], rel=0.25, abs=20)
+
+
+def test_trees_of_cells_split_and_prune_like_the_rows():
+    class Once:  # every row is drawn once
+        random = np.random.default_rng(0).random
+
+        def poisson(self, sizes):
+            return np.asarray(sizes)
+
+    rng = Once()
+    bins = np.array([[0, 0, 1, 1], [0, 1, 0, 1]], "uint8")
+    gain, split = C.grow(bins, np.array([[30, 10, 0, 0], [0, 0, 20, 20]]), rng)
+    assert split.tolist() == [1, 0] and gain[0] == pytest.approx(40.0)  # gini 0.5 of 80 rows
+    gain, split = C.grow(bins, np.array([[30, 30, 30, 30], [1, 2, 3, 4]]), rng)
+    assert split.tolist() == [0, 0] and gain.tolist() == [0, 0]  # all leaves predict class 0
+    gain, split = C.grow(bins, np.array([[9, 0, 0, 9], [0, 9, 9, 0]]), rng)
+    assert split.sum() == 0  # no first split gains anything
+
+
+def test_bins_are_every_value_of_few_and_quantiles_of_many(spark):
+    df = spark.range(3200).select((F.col("id") % 5).cast("double").alias("few"), F.col("id").cast("double").alias("many"), F.lit(1.0).alias("one"))
+    df = df.unionByName(spark.createDataFrame([(9.0, 5e9, 1.0)], df.schema))
+    few, many, one = C.bin_edges(df, ["few", "many", "one"])
+    assert few == [0, 1, 2, 3, 4] and one == [] and len(many) == 31  # a rare value has its own bin
+    assert all(abs(e - 100 * (j + 1)) <= 1 for j, e in enumerate(many))
+    at = df.select(C.bin_of(F.col("many"), many).alias("b")).groupBy("b").count().collect()
+    assert sorted(r["b"] for r in at) == list(range(32)) and all(98 <= r["count"] <= 102 for r in at)
+
+
+def test_null_importance_refuses_rows_without_a_class(spark):
+    with pytest.raises(ValueError, match="classes"):
+        L.null_importance(_signal(spark, F.col("id")).withColumn("label", F.when(F.col("row_id") > 3, F.col("label"))), ["x"], runs=1, trees=2)
