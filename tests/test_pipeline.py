@@ -14,6 +14,7 @@ from relweave.plans import ensemble as M
 from relweave.plans import models as T
 from relweave.plans.automl import ModelOptions, RelationalModel, run_folder
 from relweave.plans.registry import QUERIES
+from relweave.session import spread
 from relweave.sources.tables import read_labels, read_table, read_test, read_train, write_predictions, write_table
 
 TYPES = {"c_k": "cat", "n_x": "num", "m_s": "multi-cat", "t_01": "time"}
@@ -257,3 +258,29 @@ def test_search_scores_rows_outside_the_sample(spark, sf, name, per_row, monkeyp
     out = QUERIES[name](spark, sf)
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     assert n > 300 and out.select("row_id").distinct().count() == n and out.count() == per_row * n
+
+
+def test_gbt_query_runs_the_whole_pipeline_on_all_rows(monkeypatch):
+    from relweave.plans import catalog_models as M
+
+    seen = []
+
+    def stopped(options):
+        seen.append(options)
+        raise InterruptedError
+
+    monkeypatch.setattr(M, "_urgent", lambda *a: type("D", (), {"main": None}))
+    monkeypatch.setattr(M, "folds", lambda *a: None)
+    monkeypatch.setattr(M, "RelationalModel", stopped)
+    with pytest.raises(InterruptedError):
+        M.gbt_fit_predict(None, "")
+    # it fitted 3 rounds after 2 trials of 2 rounds and 2 folds, on at most 4 million rows
+    assert seen == [ModelOptions(merge=seen[0].merge)] and seen[0].max_rows is None and seen[0].final_rounds == 300
+
+
+def test_small_tables_are_dealt_over_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(1000).coalesce(1)
+    assert spread(few).rdd.getNumPartitions() == cores and spread(few).count() == 1000
+    many = spark.range(1000).repartition(cores + 1)
+    assert spread(many) is many
