@@ -178,19 +178,29 @@ def test_null_importance_query_grows_the_whole_forests(monkeypatch):
     assert [{**whole, **kw} for kw in seen] == [whole]  # it was 3 runs of 5 trees of depth 4
 
 
-@pytest.mark.parametrize("most", [C.MAX_CELLS, 1])
-def test_forests_of_cells_match_those_of_rows(spark, monkeypatch, most):
-    monkeypatch.setattr(C, "MAX_CELLS", most)  # 1: forests of rows, as for tables of too many cells
+def test_forests_of_cells_match_those_of_rows(spark):
     i = F.col("id")
     y = (F.pmod(F.xxhash64("id"), F.lit(10)) < F.when(i % 40 > 18, 8).otherwise(2)).cast("int")
     df = spark.range(4000).select((i % 40).cast("double").alias("a"), (i % 3).cast("double").alias("b"), y.alias("label"), i.alias("row_id"))
     kw = {"max_depth": 4, "bagging_fraction": 0.8, "feature_fraction": "sqrt"}
-    rows = df.select(F.col("row_id").alias("__id"), F.lit(0).alias("__at"), F.col("label").alias("__y"), "a", "b")
-    mine = L._importances(rows, ["a", "b"], [F.col("__y")], 2, [0], 80, {**L.FOREST, **kw})[0]
+    actual, nulls = L._on_cells(df, ["a", "b"], "label", 1, 0, "row_id", 80, kw)
+    mine = {r["feature"]: r for r in actual.collect()}
     theirs = {r["feature"]: r for r in L.forest_importance(df, ["a", "b"], trees=80, **kw).collect()}
-    for f, (gain, split) in zip(["a", "b"], mine, strict=True):
-        assert gain == pytest.approx(theirs[f]["gain"], rel=0.15, abs=0.02 * theirs["a"]["gain"])
-        assert split == pytest.approx(theirs[f]["split"], rel=0.25, abs=20)
+    for f in ("a", "b"):
+        assert mine[f]["gain_actual"] == pytest.approx(theirs[f]["gain"], rel=0.15, abs=0.02 * theirs["a"]["gain"])
+        assert mine[f]["split_actual"] == pytest.approx(theirs[f]["split"], rel=0.25, abs=20)
+    assert max(r["gain"] for r in nulls.collect()) < 0.2 * mine["a"]["gain_actual"]
+
+
+@pytest.mark.parametrize("ids,most", [("id", C.MAX_CELLS), ("cast(null as bigint)", C.MAX_CELLS), ("id", 1)])
+def test_null_importance_of_many_trees(spark, monkeypatch, ids, most):
+    monkeypatch.setattr(C, "MAX_CELLS", most)  # 1: too many cells, so forests of rows
+    grown, grow = [], L.importances
+    monkeypatch.setattr(L, "importances", lambda *a: grown.append(1) or grow(*a))
+    out = L.null_importance(_signal(spark, F.expr(ids)), ["x", "z"], runs=3, trees=L.FEW_TREES + 1, max_depth=3).collect()
+    found = {r["feature"]: r for r in out}
+    assert set(found) == {"x", "z"} and found["x"]["gain_score"] == 100.0 and found["x"]["gain_log"] > 1
+    assert len(grown) == (most > 1)
 
 
 def test_trees_of_cells_split_and_prune_like_the_rows():
@@ -222,4 +232,4 @@ def test_bins_are_every_value_of_few_and_quantiles_of_many(spark):
 
 def test_null_importance_refuses_rows_without_a_class(spark):
     with pytest.raises(ValueError, match="classes"):
-        L.null_importance(_signal(spark, F.col("id")).withColumn("label", F.when(F.col("row_id") > 3, F.col("label"))), ["x"], runs=1, trees=2)
+        L.null_importance(_signal(spark, F.col("id")).withColumn("label", F.when(F.col("row_id") > 3, F.col("label"))), ["x"], runs=1, trees=L.FEW_TREES + 1)
