@@ -438,8 +438,8 @@ def _part_goals(spark, sf):
 @query("pareto_three", f"with {_PART_GOALS} select c_part, {rnd('cost', 'cost', 4)}, {rnd('volume', 'volume', 4)}, {rnd('tax', 'tax')} from f")
 def pareto_three(spark, sf):
     """Parts that are cheap, sell much and are taxed little: no other part is better in all three."""
-    out = tidy(skyline(_part_goals(spark, sf), ["cost", "volume", "tax"]), 6)
-    return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("cost", "volume")})
+    out = skyline(_part_goals(spark, sf), ["cost", "volume", "tax"])
+    return tidy(out.withColumns({c: F.round(c, 4) for c in ("cost", "volume")}))
 
 
 def _gap_sql(goal: str) -> str:
